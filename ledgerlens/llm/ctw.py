@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, lower_words, raw, shuffle_parts, written
 
-DEPTH = 4
+DEPTH = 5
 HALF = math.log(0.5)
 FEATURES = "kind int, bucket int, block int, part int, keys binary, counts binary, size int, tokens long"
 ANSWERS = "kind int, block int, bucket int, part int, vals binary"

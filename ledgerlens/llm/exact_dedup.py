@@ -94,3 +94,14 @@ r AS (SELECT doc_id, norm, row_number() OVER w AS rn, first_value(doc_id) OVER w
       FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id))
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the hexadecimal SHA-256 of the normalised text as a further column."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            digest = [hashlib.sha256(t.translate(None, SPACE)).hexdigest() for t in raw(b.column(b.schema.names.index("text")))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.string())], [*b.schema.names, name])
+
+    return docs.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` string")
