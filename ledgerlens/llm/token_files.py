@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     """Writes the files; returns the manifest with each file's base: part, name, n_docs, n_ids, base."""
     spark = docs.sparkSession
     # A set number of partitions: the range bounds alone decide which documents are in a file.
-    ordered = id_text(docs).repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = id_text(docs).repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     # One row a partition: small however large the corpus is.
     rows = sorted(ordered.mapInArrow(_writer(folder, vocabulary_path(vocabulary), end_id), MANIFEST).collect())
     base, listed = 0, []
