@@ -29,6 +29,7 @@ DEPTH = 5
 HALF = math.log(0.5)
 FEATURES = "kind int, bucket int, block int, part int, keys binary, counts binary, size int, tokens long"
 ANSWERS = "kind int, block int, bucket int, part int, vals binary"
+BLOCKS = 2  # blocks of documents to a shuffle partition
 PARTS = 16  # a block's documents are taken in this many parts at most, so that memory is bounded by a part
 
 
@@ -138,57 +139,50 @@ def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list
     return np.asarray(own, np.int64), total, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), rows
 
 
-class Tree:
-    """The nodes of depths 1..DEPTH over the grams of whole last-byte contexts; depth 0 comes from outside."""
-
-    def __init__(self, code: np.ndarray, count: np.ndarray):
-        self.code, x = code, code & 0xFF
-        self.estimate = [[None] * 8 for _ in range(DEPTH + 1)]  # of each gram's bit at each depth and place
-        self.weight = [[None] * 8 for _ in range(DEPTH + 1)]
-        self.root: dict[int, list[float]] = {}  # node of depth 0: zeros, ones, sum of the children's log P_w
-        for k in range(8):
-            node, bit = (x >> (8 - k)) | (1 << k), (x >> (7 - k)) & 1
-            below, below_at = None, None
-            for d in range(DEPTH, -1, -1):
-                context = (code >> 8) & ((1 << (8 * d)) - 1)
-                at, key = pd.factorize((context << 8) | node)
-                a = np.bincount(at, count * (bit == 0), len(key))
-                b = np.bincount(at, count * (bit == 1), len(key))
-                inside = 0.0
-                if below is not None:
-                    first = np.full(len(below), -1)
-                    first[below_at] = at  # a child's parent
-                    inside = np.bincount(first, below, len(key))
-                if d == 0:
-                    for n, u, v, w in zip(key, a, b, inside, strict=True):
-                        self.root[int(n)] = [u, v, w]
-                    break
-                pe = kt(a, b)
-                pw = pe if d == DEPTH else np.logaddexp(HALF + pe, HALF + inside)
-                w = np.ones(len(key)) if d == DEPTH else np.exp(HALF + pe - pw)
-                self.estimate[d][k] = ((np.where(bit == 1, b[at], a[at]) + 0.5) / (a + b + 1)[at]).astype(np.float64)
-                self.weight[d][k] = w[at]
-                below, below_at = pw, at
-
-    def log10(self, root: dict[int, tuple[float, float, float]]) -> np.ndarray:
-        """log10 probability of each gram's byte after its context. root: weight and estimates of zero and one at depth 0."""
-        out, x = np.zeros(len(self.code)), self.code & 0xFF
-        table = np.full((256, 3), 0.5)
-        for n, v in root.items():
-            table[n] = v
-        for k in range(8):
-            p = self.estimate[DEPTH][k]
-            for d in range(DEPTH - 1, 0, -1):
-                p = self.weight[d][k] * self.estimate[d][k] + (1 - self.weight[d][k]) * p
-            node, bit = (x >> (8 - k)) | (1 << k), (x >> (7 - k)) & 1
+def tree(code: np.ndarray, count: np.ndarray, root: dict[int, tuple[float, float, float]] | None) -> tuple[np.ndarray, dict[int, list[float]]]:
+    """The tree over the grams of whole last-byte contexts, one of the eight decisions at a time and from the deepest node up, so that only a decision's nodes are held.
+
+    root: weight and estimates of zero and one of the nodes of depth 0. Returns each gram's log10 probability (zeros without root), and for each node of depth 0 the zeros, the ones and the sum of its children's log P_w here.
+    """
+    x, out, top = code & 0xFF, np.zeros(len(code)), {}
+    table = np.full((256, 3), 0.5)
+    for n, v in (root or {}).items():
+        table[n] = v
+    context = [pd.factorize((code >> 8) & ((1 << (8 * d)) - 1))[0].astype(np.int64) << 8 for d in range(DEPTH + 1)]
+    for k in range(8):
+        node, bit = (x >> (8 - k)) | (1 << k), (x >> (7 - k)) & 1
+        below = below_at = p = None
+        for d in range(DEPTH, -1, -1):
+            at, key = pd.factorize(context[d] | node)
+            a = np.bincount(at, count * (bit == 0), len(key))
+            b = np.bincount(at, count * (bit == 1), len(key))
+            inside = 0.0
+            if below is not None:
+                parent = np.empty(len(below), np.int64)
+                parent[below_at] = at
+                inside = np.bincount(parent, below, len(key))
+            if d == 0:
+                for n, u, v, w in zip(key & 0xFF, a, b, inside, strict=True):
+                    top[int(n)] = [u, v, w]
+                break
+            pe = kt(a, b)
+            estimate = ((np.where(bit == 1, b[at], a[at]) + 0.5) / (a + b + 1)[at])
+            if d == DEPTH:
+                below, p = pe, estimate
+            else:
+                below = np.logaddexp(HALF + pe, HALF + inside)
+                w = np.exp(HALF + pe - below)[at]
+                p = w * estimate + (1 - w) * p
+            below_at = at
+        if root is not None:
             w = table[node, 0]
             out += np.log10(w * table[node, 1 + bit] + (1 - w) * p)
-        return out
+    return out, top
 
 
 def _roots(t: pa.Table) -> pa.Table:
     code, count, _, _ = _summed(t)
-    root = Tree(code, count).root
+    _, root = tree(code, count, None)
     return pa.table({"node": pa.array(list(root), pa.int32()), "a": pa.array([v[0] for v in root.values()], pa.float64()), "b": pa.array([v[1] for v in root.values()], pa.float64()), "w": pa.array([v[2] for v in root.values()], pa.float64())})
 
 
@@ -201,7 +195,7 @@ def _answers(root: dict[int, tuple[float, float, float]]):
     def work(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         keys, count, at, rows = _summed(t)
-        value = (Tree(keys, count).log10(root) if kind else count).astype("<f8" if not kind else "<f4")
+        value = (tree(keys, count, root)[0] if kind else count).astype("<f8" if not kind else "<f4")
         return pa.table({"kind": pa.array([kind] * len(rows), pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "part": pa.array([0] * len(rows), pa.int32()), "vals": pa.array([value[i].tobytes() for i in at], pa.binary())})
 
     return work
@@ -213,25 +207,25 @@ def _scores(buckets: int):
         for kind in (0, 1):
             rows = sorted((r["bucket"], r["vals"]) for r in answers.filter(pa.compute.equal(answers.column("kind"), kind)).to_pylist())
             got[kind] = np.concatenate([np.frombuffer(v, "<f4" if kind else "<f8") for _, v in rows] or [np.zeros(0)]).astype(np.float64)
-        parts = list(_parts(docs))
-        # Again the block's distinct keys in the order in which it asked.
-        table = {}
-        for kind in (0, 1):
-            keys = [np.asarray(pd.unique(grams([sequence(x) for x in raw(p.column("text"))])[0]) if kind else vocab(raw(p.column("text")))[0], np.int64) for _, p in parts]
-            keys = np.asarray(pd.unique(np.concatenate(keys)), np.int64)
-            order, _ = _ordered(keys, gram_bucket(keys, buckets) if kind else word_bucket(keys, buckets), buckets)
-            keys = keys[order]
-            by = np.argsort(keys, kind="stable")
-            table[kind] = keys[by], got[kind][by]
-        out = []
-        for _, p in parts:
+        # Again the block's distinct keys in the order in which it asked; each part keeps its places in them.
+        parts = []
+        for _, p in _parts(docs):
             texts = raw(p.column("text"))
-            total = lambda v, size: np.diff(np.r_[0.0, np.cumsum(v)][np.r_[0, np.cumsum(size)]])
             h, at, size = vocab(texts)
-            c = table[0][1][np.searchsorted(table[0][0], h)] if len(h) else h.astype(float)
             code, length = grams([sequence(x) for x in texts])
             g, own = pd.factorize(code)
-            v = table[1][1][np.searchsorted(table[1][0], own)]
+            parts.append((p.select(["doc_id", "held_out"]), h, at.astype(np.int32), size, np.asarray(own, np.int64), g.astype(np.int32), length))
+        values = []
+        for kind, field in ((0, 1), (1, 4)):
+            at, keys = pd.factorize(np.concatenate([x[field] for x in parts]))
+            keys = np.asarray(keys, np.int64)
+            order, _ = _ordered(keys, gram_bucket(keys, buckets) if kind else word_bucket(keys, buckets), buckets)
+            value = np.empty(len(keys))
+            value[order] = got[kind]
+            values.append(np.split(value[at], np.cumsum([len(x[field]) for x in parts])[:-1]))
+        out = []
+        total = lambda v, size: np.diff(np.r_[0.0, np.cumsum(v)][np.r_[0, np.cumsum(size)]])
+        for (p, _, at, size, _, g, length), c, v in zip(parts, *values, strict=True):
             out.append(pa.table({"doc_id": p.column("doc_id"), "held_out": p.column("held_out"), "n_words": pa.array(size), "n_known_words": pa.array(total((c > 0)[at], size).astype(np.int64)), "log_counts": pa.array(total(np.log10(c + 1)[at], size)), "score": pa.array(total(v[g], length)), "n_bytes": pa.array(length)}))
         return pa.concat_tables(out)
 
@@ -242,7 +236,7 @@ def ctw_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; learns from rows where held_out is false."""
     spark = docs.sparkSession
     buckets = shuffle_parts(spark)
-    blocks = buckets
+    blocks = BLOCKS * buckets
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("block", block)
     seen = written(docs.groupBy("block").applyInArrow(_features(buckets), FEATURES), "features")
