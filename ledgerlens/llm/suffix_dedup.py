@@ -14,9 +14,11 @@ Cases: null text is empty; texts shorter than WINDOW lose nothing; repeated rows
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,30 +36,47 @@ SPANS = "block int, meta binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+CHUNK = 4 << 20
+BLOCKS = 2  # blocks of documents to a shuffle partition
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[1]
     return h ^ (h >> np.uint64(29))
 
 
+with np.errstate(over="ignore"):
+    _BYTES = _mixed(np.arange(256, dtype=np.uint64) * _MIX[0] + np.uint64(77))
+_POWER = {w: np.uint64(pow(0xD6E8FEB86659FD93, w, 1 << 64)) for w in (1, 2, 4, 8)}
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Anchor hash, text number, first byte and end of each phrase, and the anchor's place in it."""
     out = [[], [], [], [], []]
-    size = np.array([len(t) for t in texts], np.int64)
+    of, base, parts = [], [], []
+    for i, t in enumerate(texts):  # very long texts in overlapping parts, which have each window once
+        for b in range(0, max(1, len(t) - WINDOW + 1), CHUNK):
+            of.append(i)
+            base.append(b)
+            parts.append(t[b : b + CHUNK + WINDOW - 1] if len(t) > CHUNK else t)
+    of, base = np.array(of, np.int64), np.array(base, np.int64)
+    size = np.array([len(t) for t in parts], np.int64)
     at = 0
-    while at < len(texts):
-        upto = at + 1
-        while upto < len(texts) and size[at : upto + 1].sum() < 4 << 20:
+    while at < len(parts):
+        upto, total = at + 1, size[at]
+        while upto < len(parts) and total + size[upto] < CHUNK:
+            total += size[upto]
             upto += 1
-        big = np.frombuffer(b"".join(texts[at:upto]), np.uint8)
+        big = np.frombuffer(b"".join(parts[at:upto]), np.uint8)
         ends = np.cumsum(size[at:upto])
         n_windows = len(big) - WINDOW + 1
         if n_windows > 0:
             with np.errstate(over="ignore"):
-                h = _mixed(np.arange(256, dtype=np.uint64) * _MIX[0] + np.uint64(77))[big]
+                h = _BYTES[big]
                 for w in (1, 2, 4):
-                    h = _mixed(h[:-w] * _MIX[0] + h[w:])
-                half = _mixed(h[:-8] * _MIX[0] + h[8:])
-                h = _mixed(half[:-8] * _MIX[0] + h[16:])
+                    h = h[:-w] * _POWER[w] + h[w:]
+                half = h[:-8] * _POWER[8] + h[8:]
+                h = _mixed(half[:-8] * _POWER[8] + h[16:])
             pos = _first_least(h, n_windows)
             doc = np.repeat(np.arange(upto - at), size[at:upto])[:n_windows]
             s = np.flatnonzero(np.arange(n_windows) + WINDOW <= ends[doc])
@@ -67,23 +86,21 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 last = np.r_[first[1:], len(s)] - 1
                 d = doc[s[first]]
                 begin = ends[d] - size[at:upto][d]
-                for o, v in zip(out, (h[p[first]], d + at, s[first] - begin, s[last] + WINDOW - begin, p[first] - s[first]), strict=True):
+                for o, v in zip(out, (h[p[first]], of[at:upto][d], s[first] - begin + base[at:upto][d], s[last] + WINDOW - begin + base[at:upto][d], p[first] - s[first]), strict=True):
                     o.append(v)
         at = upto
     return np.concatenate([*out[0], np.zeros(0, np.uint64)]), *(np.concatenate([*o, np.zeros(0, np.int64)]).astype(np.int64) for o in out[1:])
 
 
-def _first_least(key: np.ndarray, n: int) -> np.ndarray:
-    """Place of the first least of key[i : i + SPAN] for each i < n."""
-    low, at = key, np.arange(len(key))
+def _first_least(h: np.ndarray, n: int) -> np.ndarray:
+    """Place of the first least of h[i : i + SPAN], by its upper 40 bits, for each i < n; fewer than 2**24 places."""
+    low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= SPAN:
-        take = low[width:] < low[:-width]
-        low, at = np.where(take, low[width:], low[:-width]), np.where(take, at[width:], at[:-width])
+        low = np.minimum(low[width:], low[:-width])
         width *= 2
     rest = SPAN - width
-    take = low[rest:] < low[: len(low) - rest]
-    return np.where(take, at[rest:], at[: len(at) - rest])[:n]
+    return (np.minimum(low[rest:], low[: len(low) - rest])[:n] & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def suffix_array(t: list[int] | bytes) -> list[int]:
@@ -256,6 +273,7 @@ def _phrase_rows(buckets: int):
         known = {r["bucket"]: np.sort(_wide(r["hashes"])) for r in shared.to_pylist()}
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         rows, spans = [], []
+        pack = zstandard.ZstdCompressor(level=3)
         for i, o in _blobs(bucket, buckets, np.argsort(bucket, kind="stable")):
             if not len(want := known.get(i, np.zeros(0, np.uint64))):
                 continue
@@ -274,8 +292,8 @@ def _phrase_rows(buckets: int):
                     data.append(p)
             if keep:
                 k = np.array(keep)
-                meta = np.stack([off[k], ids[d[k]], d[k], s[k], e[k]], axis=1).astype("<i8")
-                rows.append((i, block, meta.tobytes(), b"".join(data)))
+                meta = [off[k].astype("<u1"), ids[d[k]].astype("<i8"), d[k].astype("<u4"), s[k].astype("<i8"), (e[k] - s[k]).astype("<u1")]
+                rows.append((i, block, pack.compress(b"".join(c.tobytes() for c in meta)), pack.compress(b"".join(data))))
         if spans:
             rows.append((-1, block, np.array(spans, "<i8").tobytes(), b""))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "meta": pa.array([r[2] for r in rows], pa.binary()), "bytes": pa.array([r[3] for r in rows], pa.binary())})
@@ -283,17 +301,30 @@ def _phrase_rows(buckets: int):
     return work
 
 
+def _mates(phrases, offs: dict[bytes, int]) -> list[bytes]:
+    """Phrases of an anchor that may share a window with another: of the WINDOW - K bytes around the anchor, half or more lie on one side, so that they share that half."""
+    half = (WINDOW - K) // 2
+    left = {p: p[offs[p] - half : offs[p]] if offs[p] >= half else None for p in phrases}
+    right = {p: p[offs[p] + K : offs[p] + K + half] if len(p) - offs[p] - K >= half else None for p in phrases}
+    n_left, n_right = Counter(left.values()), Counter(right.values())
+    return [p for p in phrases if left[p] is not None and n_left[left[p]] > 1 or right[p] is not None and n_right[right[p]] > 1]
+
+
 def _repeats(t: pa.Table) -> pa.Table:
     """Spans of windows that also start in a document of smaller doc_id: row, first byte and end, by block."""
     groups: dict[bytes, dict[bytes, list[tuple[int, int, int, int]]]] = {}
     offs: dict[bytes, int] = {}
+    unpack = zstandard.ZstdDecompressor().decompress
     for r in t.to_pylist():
-        at, data = 0, r["bytes"]
-        for off, doc, row, s, e in np.frombuffer(r["meta"], "<i8").reshape(-1, 5).tolist():
-            p = data[at : at + e - s]
+        at, data, meta, cols, skip = 0, unpack(r["bytes"]), unpack(r["meta"]), [], 0
+        for kind in ("<u1", "<i8", "<u4", "<i8", "<u1"):
+            cols.append(np.frombuffer(meta, kind, len(meta) // 22, skip).tolist())
+            skip += len(meta) // 22 * np.dtype(kind).itemsize
+        for off, doc, row, s, n in zip(*cols, strict=True):
+            p = data[at : at + n]
             groups.setdefault(p[off : off + K], {}).setdefault(p, []).append((doc, r["block"], row, s))
             offs[p] = off
-            at += e - s
+            at += n
     found: dict[int, list[tuple[int, int, int]]] = {}
     for phrases in groups.values():
         least = [min(x)[0] for x in phrases.values()]
@@ -301,8 +332,11 @@ def _repeats(t: pa.Table) -> pa.Table:
             for doc, block, row, s in who:
                 if doc > m:
                     found.setdefault(block, []).append((row, s, s + len(p)))
-        if len(phrases) > 1:
-            for p, who, m, got in zip(phrases, phrases.values(), least, least_owner(list(phrases), [offs[p] for p in phrases], least), strict=True):
+        mates = _mates(phrases, offs) if len(phrases) > 1 else []
+        if len(mates) > 1:
+            own = [min(phrases[p])[0] for p in mates]
+            for p, m, got in zip(mates, own, least_owner(mates, [offs[p] for p in mates], own), strict=True):
+                who = phrases[p]
                 for k, owner in enumerate(got):
                     if owner < m:
                         for doc, block, row, s in who:
@@ -337,7 +371,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     buckets = shuffle_parts(spark)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS * buckets)).cast("int")
     docs = id_text(docs).withColumn("block", block).repartition("block")  # one exchange, used three times
     found = docs.groupBy("block").applyInArrow(_anchor_rows(buckets), ANCHORS).groupBy("bucket").applyInArrow(_shared, ANCHORS)
     phrases = docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_phrase_rows(buckets), PHRASES)
