@@ -27,6 +27,8 @@ from .common import checkpointed, id_text, lower_words, raw, shuffle_parts, smal
 SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS, CHUNK_BITS = 20, 12
+SHORT = 64
+BLOOM_BITS, BLOOM_HASHES = 26, 4
 FIRST = "doc_id long, n long, k1 long, k2 long, run int, chunk int, counts binary"
 PACKED = "bucket int, tok binary, pos binary, own binary, k1 binary, k2 binary, n binary"
 PAIR = "kind int, tok long, a1 long, a2 long, an long, ai long, b1 long, b2 long, bn long, bi long"
@@ -144,7 +146,7 @@ def _postings(sketch, buckets: int):
                 keys.append(k)
                 sizes.append(n)
                 held += p
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -209,17 +211,38 @@ def _lists(t: pa.Table) -> pa.Table:
     })
 
 
+def _settled(i, j, n, sure):
+    """Whether the pivot's answers rule a pair out: |x & y| <= |p & y| + |x| - |x & p|, and with x and y exchanged."""
+    known = (sure[i] >= 0) & (sure[j] >= 0)
+    return known & (np.minimum(sure[j] + n[i] - sure[i], sure[i] + n[j] - sure[j]) < need(n[i], n[j]))
+
+
 def _block_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of different classes within the lists of a group, by blocks of size and, in them, of position; pairs that the pivot's answers settle are left out."""
-    g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "id", "cls", "n", "pos", "sure")}
-    order = np.lexsort((g["pos"], g["n"], g["tok"]))
-    tok, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "id", "cls", "n", "pos", "sure"))
+    """Pairs of different classes within the lists of a bucket, by blocks of size and, in them, of position; pairs that the pivot's answers settle are left out."""
+    g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure")}
+    order = np.lexsort((g["pos"], g["n"], g["size_class"], g["tok"]))
+    tok, size_class, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure"))
+    start = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (size_class[1:] != size_class[:-1])])
+    stop = np.r_[start[1:], len(tok)]
+    end = np.repeat(stop, stop - start)
+    short = np.repeat(stop - start <= SHORT, stop - start)
     out_a, out_b = [], []
-    start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-    for a, b in zip(start, np.r_[start[1:], len(tok)], strict=True):
-        block = np.flatnonzero(np.r_[True, n[a + 1 : b] != n[a:b - 1]]) + a  # one block a set size, ordered by position
-        edge = np.r_[block[1:], b]
-        sizes = n[block]
+    # Short lists, all at once: each entry with the next, the next but one, and so on while sizes may still link.
+    i = np.flatnonzero(short)
+    for step in range(1, SHORT):
+        i = i[i + step < end[i]]
+        i = i[NUM * n[i + step] <= DEN * n[i]]  # sizes ascend, so no later entry can link either
+        if not len(i):
+            break
+        j = i + step
+        take = (cls[i] != cls[j]) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure)
+        out_a.append(ids[i[take]])
+        out_b.append(ids[j[take]])
+    for a, b in zip(start, stop, strict=True):
+        if b - a <= SHORT:
+            continue
+        block = np.flatnonzero(np.r_[True, n[a + 1 : b] != n[a : b - 1]]) + a  # one block a set size, ordered by position
+        edge, sizes = np.r_[block[1:], b], n[block]
         for i in range(a, b):
             lo, hi = np.searchsorted(sizes, n[i]), np.searchsorted(sizes, DEN * n[i] // NUM, "right")
             for k in range(lo, hi):
@@ -229,10 +252,7 @@ def _block_pairs(t: pa.Table) -> pa.Table:
                 upto = block[k] + np.searchsorted(pos[block[k] : edge[k]], sizes[k] - least, "right")  # the rest of the block is skipped
                 j = np.arange(max(block[k], i + 1) if k == lo else block[k], upto)
                 j = j[cls[j] != cls[i]]
-                # |x & y| <= |p & y| + |x| - |x & p|, both ways; sure is the known overlap with the list's pivot or -1
-                known = (sure[i] >= 0) & (sure[j] >= 0)
-                bound = np.minimum(sure[j] + n[i] - sure[i], sure[i] + n[j] - sure[j])
-                j = j[~known | (bound >= least)]
+                j = j[~_settled(np.full(len(j), i), j, n, sure)]
                 if len(j):
                     out_a.append(np.full(len(j), ids[i]))
                     out_b.append(ids[j])
@@ -253,16 +273,74 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "an": b.column("an"), "bn": b.column("bn"), "both": pa.array(got, pa.int64())})
 
 
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = mixed(ids.astype(np.uint64) * _MIX[0] + np.uint64(1))
+        return np.stack([((h >> np.uint64(32)) + np.uint64(k) * (h & np.uint64(0xFFFFFFFF) | np.uint64(1))) & np.uint64((1 << bits) - 1) for k in range(BLOOM_HASHES)])
+
+
+def _bloom(ids: DataFrame, bits: int) -> bytes:
+    """Bloom filter of the ids, of 2**bits bits, built in parts on the executors: at most 8 MB at the driver."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << bits, bool)
+        for b in batches:
+            on[_places(b.column(0).to_numpy(), bits).ravel()] = True
+        packed = np.packbits(on, bitorder="little").reshape(-1, 1 << max(0, bits - 3 - 6))
+        at = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(at, pa.int32()), "counts": pa.array([packed[i].tobytes() for i in at], pa.binary())})
+
+    def union(t: pa.Table) -> pa.Table:
+        x = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in t.column("counts").to_pylist()])
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([x.tobytes()], pa.binary())})
+
+    out = bytearray(1 << max(0, bits - 3))
+    for r in ids.mapInArrow(build, "chunk int, counts binary").groupBy("chunk").applyInArrow(union, "chunk int, counts binary").collect():
+        out[r.chunk * len(r.counts) : (r.chunk + 1) * len(r.counts)] = r.counts
+    return bytes(out)
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents with one of the ids. A Bloom filter of bounded size goes ahead of the join, so that most other texts aren't shuffled; where the ids outgrow it, it only lets more through."""
+    ids = written(ids, "wanted")
+    bits = min(BLOOM_BITS, max(12, (12 * ids.count()).bit_length()))
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.frombuffer(bloom.value, np.uint8)
+        for b in batches:
+            p = _places(b.column(0).fill_null(-1).to_numpy(), bits).astype(np.int64)
+            yield b.filter(pa.array(((on[p >> 3] >> (p & 7)) & 1).all(0)))
+
+    return id_text(docs).mapInArrow(sift, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """a, b, an, bn, both (exact intersection) of candidate pairs a, b of document ids with sizes an, bn."""
+    pairs = written(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(id_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, members binary"), f"{name}-sets")
+    sets = written(_wanted(docs, wanted).mapInArrow(_set_rows, "id long, members binary"), f"{name}-sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     # b is the copy, a the pivot that many pairs share: each copy's set moves once, to where its pivot is.
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "an", "bn", "x", "y")
     return written(both.mapInArrow(_overlap, "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
 
 
+def roots(up: DataFrame, rounds: int = 40) -> DataFrame:
+    """id, cls of every node of a forest given as (id, up), cls being the least id of its tree: pointers are doubled until all reach a root."""
+    at = checkpointed(up.select("id", "up"))
+    for _ in range(rounds):
+        nxt = checkpointed(at.join(at.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        at = nxt.select("id", "up")
+        if not nxt.where("moved").limit(1).count():
+            break
+    else:
+        raise RuntimeError("the forest is deeper than 2 ** rounds")
+    tree = at.union(at.select(F.col("up").alias("id"), "up").distinct())
+    least = tree.groupBy("up").agg(F.min("id").alias("cls"))
+    return checkpointed(tree.join(least, "up").select("id", "cls"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id, cls (least id reachable) of every end of edges (a, b): each round all take the least label around them, then their label's label. Cut by reliable checkpoints; nothing is gathered on the driver but a count."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
@@ -278,6 +356,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _joined(cls: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id, cls) after links (a, b) between classes; a document without a class is one of its own."""
+    to = components(links.distinct())
+    to = to.select(F.col("id").alias("cls"), F.col("cls").alias("to"))
+    alone = to.join(cls.select("cls").distinct(), "cls", "left_anti").select(F.col("cls").alias("id"), F.col("to").alias("cls"))
+    return checkpointed(cls.join(to, "cls", "left").select("id", F.coalesce("to", "cls").alias("cls")).union(alone))
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -294,25 +380,43 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     lists = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, PAIR)
     lists = written(lists, "lists")
     named = lambda df, k: df.join(key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k)), [f"{k}1", f"{k}2"])
-    stars = named(named(lists.where("kind = 0").select("a1", "a2", "an", "b1", "b2", "bn").distinct(), "a"), "b").select("a", "b", "an", "bn")
-    answers = _verified(written(stars, "stars"), docs, "answers")
+    stars = named(named(lists.where("kind = 0").select("a1", "a2", "an", "b1", "b2", "bn").distinct(), "a"), "b")
+    stars = written(stars.select("a", "b", "an", "bn", "a1", "a2"), "stars")
+    # First each set with the least of its pivots. Links point to lesser keys, so they are a forest.
+    one = stars.groupBy("b").agg(F.min_by(F.struct("a", "an", "bn"), F.struct("a1", "a2")).alias("p")).select("p.a", "b", "p.an", "p.bn")
+    answers = _verified(one, docs, "answers")
     linked = F.col("both") * DEN >= (F.col("an") + F.col("bn") - F.col("both")) * NUM
-    cls = components(answers.where(linked))
+    cls = roots(answers.where(linked).select(F.col("b").alias("id"), F.col("a").alias("up")))
+    class_of = lambda k, to: cls.select(F.col("id").alias(k), F.col("cls").alias(to))
+    # Then each set with one pivot of each other class that it has pivots in.
+    across = lambda df: df.join(class_of("a", "x"), "a", "left").join(class_of("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
+    one = across(stars).where("x <> y").groupBy("b", "x").agg(F.min_by(F.struct("a", "an", "bn"), F.struct("a1", "a2")).alias("p")).select("p.a", "b", "p.an", "p.bn")
+    second = _verified(one.join(answers.select("a", "b"), ["a", "b"], "left_anti"), docs, "second-answers")
+    cls = _joined(cls, across(second.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    answers = answers.union(second)
     # Lists whose entries are not all of one class yet, with what is known from the pivot.
     rest = named(named(lists.where("kind = 1"), "a"), "b").select("tok", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bi").alias("pos"))
     rest = rest.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
-    open_ = rest.groupBy("tok").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("tok")
-    known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("both").alias("with_pivot"))
-    rest = rest.join(open_, "tok", "left_semi").join(known, ["pivot", "id"], "left")
-    rest = rest.withColumn("sure", F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))))
     # A size class of each list and the next larger one meet: enough for every pair that may link, and what a task gets of a long list is bounded by its class.
     step = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
-    rest = rest.select("tok", "id", "cls", "n", "pos", F.col("sure").cast("long").alias("sure"), F.explode(F.array(step, step - 1)).alias("size_class"))
-    more = written(rest.groupBy("tok", "size_class").applyInArrow(_block_pairs, "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    rest = written(rest.select("tok", "pivot", "id", "cls", "n", "pos", F.explode(F.array(step, step - 1)).alias("size_class")), "rest")
+    # Lists of the same sets are scanned once, with each set's least position: the tests then let through whatever one of the lists would.
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    open_ = rest.groupBy("tok", "size_class").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), *same).where("x <> y").drop("x", "y")
+    known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("both").alias("with_pivot"))
+    rest = rest.join(open_, ["tok", "size_class"]).groupBy("same1", "same2", "m", "size_class", "pivot", "id", "cls", "n").agg(F.min("pos").alias("pos")).withColumn("tok", F.col("same1"))
+    rest = rest.join(known, ["pivot", "id"], "left")
+    sure = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))).cast("long")
+    bucket = F.pmod(F.xxhash64("same1", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
+    more = rest.select("tok", "size_class", "id", "cls", "n", "pos", sure.alias("sure"), bucket.alias("bucket")).groupBy("bucket").applyInArrow(_block_pairs, "a long, b long")
+    # And the other pivots, where they are of another class: lists of two entries are nowhere else.
+    other = across(stars).where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.union(other).distinct().join(done, ["a", "b"], "left_anti")
     sizes = key.join(rows.select("k1", "k2", "n").distinct(), ["k1", "k2"])
     size = lambda k: sizes.select(F.col("rep").alias(k), F.col("n").alias(f"{k}n"))
     more = _verified(more.join(size("a"), "a").join(size("b"), "b"), docs, "more-answers")
-    cls = components(answers.where(linked).select("a", "b").union(more.where(linked).select("a", "b")))
+    cls = _joined(cls, across(more.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b")))
     of = part.drop("rep").join(key, ["k1", "k2"])
     of = of.join(cls.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "run", F.coalesce("cls", "rep").alias("cls"))
     out = rows.join(of, ["k1", "k2", "run"], "left")
