@@ -6,7 +6,7 @@ Index. A set's members are ordered by how common they are (a fixed-size count sk
 
 Index-level skipping. In a bucket each list is sorted by set size and cut into blocks of the sizes that may link; within a block entries are ordered by the member's position in its set, and once the position leaves too little overlap for the smallest required, the rest of the block is skipped.
 
-Answer-level skipping. Each list is first compared with one set only, its pivot (the least key). What links to a pivot is in its class; a list whose entries are all of one class is done, so a group of near copies costs one pair for each copy. In the remaining lists, for entry x with known |x & p| and y with known |p & y|, the answer on (x, y) follows from the pivot's: |x & y| <= |p & y| + |x| - |x & p|, and only pairs for which this does not settle it are computed. So every link between different classes is found: the classes are exact.
+Answer-level skipping. Each list is first compared with one set only, its pivot (the least key). What links to a pivot is in its class; a list whose entries are all of one class is done, so a group of near copies costs one pair for each copy. In the remaining lists, for entry x with known |x & p| and y with known |p & y|, the answer on (x, y) follows from the pivot's: |x & y| <= |p & y| + |x| - |x & p|, and only pairs for which this does not settle it go on. Of any candidates only those are computed whose parity signatures differ in no more bits than linked sets may in members. So every link between different classes is found: the classes are exact.
 
 Cases: null or empty text and texts without words have an empty set, are linked with nothing and keep their own id; repeated rows are equal sets; a null doc_id is never a class id unless all members' are null; very long texts are taken whole; an empty table gives no rows.
 """
@@ -22,14 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, lower_words, raw, shuffle_parts, small, written
+from .common import checkpointed, discard, id_text, lower_words, raw, shuffle_parts, small, written
 
 SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS, CHUNK_BITS = 20, 12
 SHORT = 64
+NEAREST_ROUNDS = 4
 BLOOM_BITS, BLOOM_HASHES = 26, 4
-FIRST = "doc_id long, n long, k1 long, k2 long, run int, chunk int, counts binary"
+FIRST = "doc_id long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
 PACKED = "bucket int, tok binary, pos binary, own binary, k1 binary, k2 binary, n binary"
 PAIR = "kind int, tok long, a1 long, a2 long, an long, ai long, b1 long, b2 long, bn long, bi long"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -75,6 +76,43 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many members fall on each of about 2 n bits. Members that two sets share cancel, so the bits that differ are at most the members that do."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Signatures:
+    """Signatures by number, None where one is not known."""
+
+    def __init__(self, signs: list[bytes | None]):
+        self.words = np.array([len(s) // 8 if s else 0 for s in signs], np.int64)
+        self.row, self.of = np.zeros((2, len(signs)), np.int64), {}
+        sizes = {int(w) for w in self.words} - {0}
+        for size in sizes | {w // 2 for w in sizes if w > 1}:
+            parts = []
+            for k in (0, 1):  # signatures of this size, and of twice the size, folded
+                own = np.flatnonzero(self.words == size << k)
+                m = np.frombuffer(b"".join(signs[i] for i in own), "<u8").reshape(len(own), size << k)
+                self.row[k, own] = sum(map(len, parts)) + np.arange(len(own))
+                parts.append(m[:, :size] ^ m[:, size:] if k else m)
+            self.of[size] = np.concatenate(parts)
+
+    def apart(self, i: np.ndarray, j: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+        """Members at least that sets i and j don't share."""
+        out, low, high = np.zeros(len(i), np.int64), np.minimum(self.words[i], self.words[j]), np.maximum(self.words[i], self.words[j])
+        for size in np.unique(low[low > 0]):
+            at, m = np.flatnonzero((low == size) & (high <= 2 * size)), self.of[int(size)]
+            for x in np.array_split(at, -(-len(at) * int(size) // step)) if len(at) else ():
+                a, b = (m[self.row[(self.words[k] > size).astype(np.int64), k]] for k in (i[x], j[x]))
+                out[x] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+    def allow(self, i: np.ndarray, j: np.ndarray, ni: np.ndarray, nj: np.ndarray) -> np.ndarray:
+        """False only where sets i and j, of ni and nj members, differ in too many members to be linked."""
+        return self.apart(i, j) <= ni + nj - 2 * need(ni, nj)
+
+
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each document's set, and at the end the task's part of the count sketch."""
     run = TaskContext.get().partitionId()
@@ -88,13 +126,13 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = b.num_rows
         yield pa.RecordBatch.from_pydict({
             "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
-            "run": pa.array([run] * m, pa.int32()), "chunk": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary()),
+            "sign": pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), "run": pa.array([run] * m, pa.int32()), "chunk": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary()),
         })
     parts = [(i, sketch[i << CHUNK_BITS : (i + 1) << CHUNK_BITS]) for i in range(1 << (SKETCH_BITS - CHUNK_BITS))]
     parts = [(i, p.tobytes()) for i, p in parts if p.any()]
     m = len(parts)
     none = pa.nulls(m, pa.int64())
-    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "k1": none, "k2": none, "run": pa.nulls(m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "k1": none, "k2": none, "sign": pa.nulls(m, pa.binary()), "run": pa.nulls(m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
 
 
 def _add_chunks(t: pa.Table) -> pa.Table:
@@ -217,13 +255,38 @@ def _settled(i, j, n, sure):
     return known & (np.minimum(sure[j] + n[i] - sure[i], sure[i] + n[j] - sure[j]) < need(n[i], n[j]))
 
 
-def _block_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of different classes within the lists of a bucket, by blocks of size and, in them, of position; pairs that the pivot's answers settle are left out."""
+def _nearest(t: pa.Table, signs: pa.Table) -> pa.Table:
+    """Of a bucket's pairs only those that are the nearest, by their signatures, of one of their sets."""
+    found = _block_pairs(t, signs)
+    if not found.num_rows:
+        return found
+    a, b = (found.column(c).to_numpy() for c in "ab")
+    known = signs.column("own").to_numpy()
+    by_id = np.argsort(known)
+    at = [by_id[np.searchsorted(known, x, sorter=by_id)] for x in (a, b)]
+    apart = Signatures(signs.column("sign").to_pylist()).apart(*at)
+    best = np.zeros(len(a), bool)
+    for x in at:
+        order = np.lexsort((apart, x))
+        best[order[np.r_[True, x[order][1:] != x[order][:-1]]]] = True
+    return found.filter(pa.array(best))
+
+
+def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
+    """Pairs of different classes within the lists of a bucket, by blocks of size and, in them, of position; pairs that the pivot's answers or the signatures settle are left out."""
+    known = signs.column("own").to_numpy()
+    signatures, by_id = Signatures(signs.column("sign").to_pylist()), np.argsort(known)
     g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure")}
     order = np.lexsort((g["pos"], g["n"], g["size_class"], g["tok"]))
     tok, size_class, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure"))
-    start = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (size_class[1:] != size_class[:-1])])
-    stop = np.r_[start[1:], len(tok)]
+    who = by_id[np.searchsorted(known, ids, sorter=by_id)]
+    edges = lambda: np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (size_class[1:] != size_class[:-1])]) if len(tok) else np.zeros(0, np.int64)
+    # Lists that are all of one class by now are done.
+    start = edges()
+    mixed_list = np.repeat(np.minimum.reduceat(cls, start) < np.maximum.reduceat(cls, start), np.diff(np.r_[start, len(tok)]))
+    tok, size_class, ids, cls, n, pos, sure, who = (x[mixed_list] for x in (tok, size_class, ids, cls, n, pos, sure, who))
+    start = edges()
+    stop = np.r_[start[1:], len(tok)] if len(tok) else start
     end = np.repeat(stop, stop - start)
     short = np.repeat(stop - start <= SHORT, stop - start)
     out_a, out_b = [], []
@@ -235,7 +298,8 @@ def _block_pairs(t: pa.Table) -> pa.Table:
         if not len(i):
             break
         j = i + step
-        take = (cls[i] != cls[j]) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure)
+        take = np.flatnonzero((cls[i] != cls[j]) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure))
+        take = take[signatures.allow(who[i[take]], who[j[take]], n[i[take]], n[j[take]])]
         out_a.append(ids[i[take]])
         out_b.append(ids[j[take]])
     for a, b in zip(start, stop, strict=True):
@@ -253,6 +317,7 @@ def _block_pairs(t: pa.Table) -> pa.Table:
                 j = np.arange(max(block[k], i + 1) if k == lo else block[k], upto)
                 j = j[cls[j] != cls[i]]
                 j = j[~_settled(np.full(len(j), i), j, n, sure)]
+                j = j[signatures.allow(np.full(len(j), who[i]), who[j], np.full(len(j), n[i]), n[j])]
                 if len(j):
                     out_a.append(np.full(len(j), ids[i]))
                     out_b.append(ids[j])
@@ -261,6 +326,14 @@ def _block_pairs(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their signatures allow."""
+    for b in small(batches):
+        m, signs = np.arange(b.num_rows), Signatures(b.column("asign").to_pylist() + b.column("bsign").to_pylist())
+        ok = signs.allow(m, m + b.num_rows, b.column("an").to_numpy(), b.column("bn").to_numpy())
+        yield b.drop_columns(["asign", "bsign"]).filter(pa.array(ok))
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
         s = shingle_sets(raw(b.column("text")))
@@ -323,7 +396,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     # b is the copy, a the pivot that many pairs share: each copy's set moves once, to where its pivot is.
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "an", "bn", "x", "y")
-    return written(both.mapInArrow(_overlap, "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
+    answers = written(both.mapInArrow(_overlap, "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
+    discard(sets)
+    return answers
 
 
 def roots(up: DataFrame, rounds: int = 40) -> DataFrame:
@@ -381,7 +456,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     lists = written(lists, "lists")
     named = lambda df, k: df.join(key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k)), [f"{k}1", f"{k}2"])
     stars = named(named(lists.where("kind = 0").select("a1", "a2", "an", "b1", "b2", "bn").distinct(), "a"), "b")
-    stars = written(stars.select("a", "b", "an", "bn", "a1", "a2"), "stars")
+    # Where a document id stands for several texts its signature isn't known.
+    signs = first.where("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("sign").alias("sign"), F.max("sign").alias("other"))
+    signs = written(signs.select("id", F.when(F.col("sign") == F.col("other"), F.col("sign")).alias("sign")), "signatures")
+    sign = lambda k: signs.select(F.col("id").alias(k), F.col("sign").alias(f"{k}sign"))
+    stars = stars.join(sign("b"), "b").join(sign("a"), "a").select("a", "b", "an", "bn", "a1", "a2", "asign", "bsign")
+    stars = written(stars.mapInArrow(_likely, "a long, b long, an long, bn long, a1 long, a2 long"), "stars")
     # First each set with the least of its pivots. Links point to lesser keys, so they are a forest.
     one = stars.groupBy("b").agg(F.min_by(F.struct("a", "an", "bn"), F.struct("a1", "a2")).alias("p")).select("p.a", "b", "p.an", "p.bn")
     answers = _verified(one, docs, "answers")
@@ -408,15 +488,32 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     rest = rest.join(known, ["pivot", "id"], "left")
     sure = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))).cast("long")
     bucket = F.pmod(F.xxhash64("same1", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
-    more = rest.select("tok", "size_class", "id", "cls", "n", "pos", sure.alias("sure"), bucket.alias("bucket")).groupBy("bucket").applyInArrow(_block_pairs, "a long, b long")
-    # And the other pivots, where they are of another class: lists of two entries are nowhere else.
-    other = across(stars).where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.union(other).distinct().join(done, ["a", "b"], "left_anti")
+    entries = written(rest.select("tok", "size_class", "id", "n", "pos", sure.alias("sure"), bucket.alias("bucket")), "entries")
+    theirs = written(entries.select("bucket", "id").distinct().join(signs, "id").select(F.col("bucket").alias("at"), F.col("id").alias("own"), "sign"), "entry-signatures").groupBy("at")
     sizes = key.join(rows.select("k1", "k2", "n").distinct(), ["k1", "k2"])
     size = lambda k: sizes.select(F.col("rep").alias(k), F.col("n").alias(f"{k}n"))
-    more = _verified(more.join(size("a"), "a").join(size("b"), "b"), docs, "more-answers")
-    cls = _joined(cls, across(more.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def merged(method, others: DataFrame | None, name: str) -> bool:
+        """Verifies the method's pairs of different classes, and others, and joins the classes that they link; whether there are any."""
+        nonlocal cls, done
+        now = entries.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
+        more = now.groupBy("bucket").cogroup(theirs).applyInArrow(method, "a long, b long")
+        more = (more.union(others) if others else more).distinct().join(done, ["a", "b"], "left_anti")
+        more = _verified(more.join(size("a"), "a").join(size("b"), "b"), docs, name)
+        links = across(more.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        done = done.union(more.select("a", "b"))
+        if links.isEmpty():
+            return False
+        cls = _joined(cls, links)
+        return True
+
+    # Each set with the nearest set of another class, again while that joins classes; so few are left of what links to itself in many ways before all pairs are listed.
+    for i in range(NEAREST_ROUNDS):
+        if not merged(_nearest, None, f"nearest{i}"):
+            break
+    # All that is left, and the other pivots, where they are of another class: lists of two entries are nowhere else.
+    merged(_block_pairs, across(stars).where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "more-answers")
     of = part.drop("rep").join(key, ["k1", "k2"])
     of = of.join(cls.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "run", F.coalesce("cls", "rep").alias("cls"))
     out = rows.join(of, ["k1", "k2", "run"], "left")

@@ -90,11 +90,29 @@ def test_block_pairs_miss_nothing():
     for m in (20, 150):
         n = np.sort(r.integers(20, 40, m))
         t = {"tok": np.ones(m, int), "size_class": np.ones(m, int), "id": np.arange(m), "cls": r.integers(0, 9, m), "n": n, "pos": r.integers(0, 6, m), "sure": np.full(m, -1)}
-        got = {*zip(*(c.to_pylist() for c in ngram_join._block_pairs(pa.table(t)).columns), strict=True)}
+        unsigned = pa.table({"own": np.arange(m), "sign": pa.nulls(m, pa.binary())})
+        got = {*zip(*(c.to_pylist() for c in ngram_join._block_pairs(pa.table(t), unsigned).columns), strict=True)}
         want = {(i, j) for i in range(m) for j in range(i + 1, m) if t["cls"][i] != t["cls"][j] and ngram_join.may_link(n[i], t["pos"][i], n[j], t["pos"][j])}
         assert got == want
 
 
+def test_signatures_allow_every_link():
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 40, 60, 500, 3000):
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.r_[base[: n - k], r.integers(0, 2**63, k).astype(np.uint64)]) for k in (0, n // 20, n // 10, n // 7, n // 2)]
+    s = ngram_join.Signatures([ngram_join.signature(x) for x in sets] + [None])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    n = np.array([len(x) for x in sets])
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (s.apart(i, j) <= apart).all()
+    ok, both = s.allow(i, j, n[i], n[j]), (n[i] + n[j] - apart) // 2
+    link = both >= ngram_join.need(n[i], n[j])
+    assert ok[link].all() and not ok[~link].all()
+    assert s.allow(np.array([0]), np.array([len(sets)]), n[:1], n[:1]).all()
+
+
 def test_language_id(docs, rows):
     got = by_id(language_id.op2(docs))
     for d, t, *_ in rows:
