@@ -28,10 +28,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS, CHUNK_BITS = 20, 12
 SHORT = 64
-NEAREST_ROUNDS = 4
+NEAREST_ROUNDS = 1
 BLOOM_BITS, BLOOM_HASHES = 26, 4
 FIRST = "doc_id long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
-PACKED = "bucket int, tok binary, pos binary, own binary, k1 binary, k2 binary, n binary"
+PACKED = "bucket int, tok binary, pos binary, each binary, k1 binary, k2 binary, n binary"
 PAIR = "kind int, tok long, a1 long, a2 long, an long, ai long, b1 long, b2 long, bn long, bi long"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -155,7 +155,7 @@ def _postings(sketch, buckets: int):
                 return
             tok, pos, own = np.concatenate(toks), np.concatenate(poss), np.concatenate(owns)
             n, k1, k2 = np.array(sizes, "<i4"), np.array([k[0] for k in keys], "<i8"), np.array([k[1] for k in keys], "<i8")
-            bucket = ((tok >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             tok, pos, own, bucket = tok[order], pos[order], own[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -163,8 +163,9 @@ def _postings(sketch, buckets: int):
             for i in range(buckets):
                 a, b = cut[i], cut[i + 1]
                 if a < b:
-                    who, local = np.unique(own[a:b], return_inverse=True)
-                    rows.append((i, tok[a:b].astype("<u8").tobytes(), pos[a:b].astype("<u4").tobytes(), local.astype("<u4").tobytes(), k1[who].tobytes(), k2[who].tobytes(), n[who].tobytes()))
+                    who, each = np.unique(own[a:b], return_counts=True)  # ascending, as the entries are
+                    at = pos[a:b].astype("<u2" if pos[a:b].max() < 1 << 16 else "<u4")
+                    rows.append((i, tok[a:b].astype("<u4").tobytes(), at.tobytes(), each.astype("<u4").tobytes(), k1[who].tobytes(), k2[who].tobytes(), n[who].tobytes()))
             names = [f.split()[0] for f in PACKED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "bucket" else pa.binary()) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names)
             for x in (toks, poss, owns, keys, sizes):
@@ -206,9 +207,11 @@ def _lists(t: pa.Table) -> pa.Table:
     """Lists of one bucket: star pairs with the pivot (kind 0) and the entries of lists of three sets or more (kind 1)."""
     tok, pos, own, k1, k2, n, base = [], [], [], [], [], [], 0
     for r in t.to_pylist():
-        tok.append(np.frombuffer(r["tok"], "<u8"))
-        pos.append(np.frombuffer(r["pos"], "<u4").astype(np.int64))
-        own.append(np.frombuffer(r["own"], "<u4").astype(np.int64) + base)
+        # 32 bits of a member tell a bucket's members apart; where they don't, two lists are one, which only adds candidates.
+        tok.append(np.frombuffer(r["tok"], "<u4").astype(np.uint64) | np.uint64(r["bucket"]) << np.uint64(32))
+        pos.append(np.frombuffer(r["pos"], "<u2" if len(r["pos"]) < len(r["tok"]) else "<u4").astype(np.int64))
+        each = np.frombuffer(r["each"], "<u4").astype(np.int64)
+        own.append(np.repeat(np.arange(len(each)), each) + base)
         k1.append(np.frombuffer(r["k1"], "<i8"))
         k2.append(np.frombuffer(r["k2"], "<i8"))
         n.append(np.frombuffer(r["n"], "<i4").astype(np.int64))
@@ -226,7 +229,7 @@ def _lists(t: pa.Table) -> pa.Table:
     same = tok[1:] == tok[:-1]
     more = np.r_[False, same] | np.r_[same, False]
     tok, pos, own = tok[more], pos[more], own[more]
-    order = np.lexsort((own, tok))
+    order = np.lexsort((pos, own, tok))
     tok, pos, own = tok[order], pos[order], own[order]
     keep = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])] if len(tok) else np.zeros(0, bool)
     tok, pos, own = tok[keep], pos[keep], own[keep]
@@ -468,12 +471,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     linked = F.col("both") * DEN >= (F.col("an") + F.col("bn") - F.col("both")) * NUM
     cls = roots(answers.where(linked).select(F.col("b").alias("id"), F.col("a").alias("up")))
     class_of = lambda k, to: cls.select(F.col("id").alias(k), F.col("cls").alias(to))
-    # Then each set with one pivot of each other class that it has pivots in.
     across = lambda df: df.join(class_of("a", "x"), "a", "left").join(class_of("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
-    one = across(stars).where("x <> y").groupBy("b", "x").agg(F.min_by(F.struct("a", "an", "bn"), F.struct("a1", "a2")).alias("p")).select("p.a", "b", "p.an", "p.bn")
-    second = _verified(one.join(answers.select("a", "b"), ["a", "b"], "left_anti"), docs, "second-answers")
-    cls = _joined(cls, across(second.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    answers = answers.union(second)
     # Lists whose entries are not all of one class yet, with what is known from the pivot.
     rest = named(named(lists.where("kind = 1"), "a"), "b").select("tok", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bi").alias("pos"))
     rest = rest.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
