@@ -29,6 +29,7 @@ NUM, DEN = 75, 100
 SKETCH_BITS, CHUNK_BITS = 20, 12
 SHORT = 64
 NEAREST_ROUNDS = 1
+PAIRS_HELD = 1_000_000
 BLOOM_BITS, BLOOM_HASHES = 26, 4
 FIRST = "doc_id long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
 PACKED = "bucket int, tok binary, pos binary, each binary, k1 binary, k2 binary, n binary"
@@ -282,17 +283,28 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
     g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure")}
     order = np.lexsort((g["pos"], g["n"], g["size_class"], g["tok"]))
     tok, size_class, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure"))
-    who = by_id[np.searchsorted(known, ids, sorter=by_id)]
+    rank = np.searchsorted(known, ids, sorter=by_id)
     edges = lambda: np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (size_class[1:] != size_class[:-1])]) if len(tok) else np.zeros(0, np.int64)
     # Lists that are all of one class by now are done.
     start = edges()
     mixed_list = np.repeat(np.minimum.reduceat(cls, start) < np.maximum.reduceat(cls, start), np.diff(np.r_[start, len(tok)]))
-    tok, size_class, ids, cls, n, pos, sure, who = (x[mixed_list] for x in (tok, size_class, ids, cls, n, pos, sure, who))
+    tok, size_class, rank, cls, n, pos, sure = (x[mixed_list] for x in (tok, size_class, rank, cls, n, pos, sure))
+    who = by_id[rank]
     start = edges()
     stop = np.r_[start[1:], len(tok)] if len(tok) else start
     end = np.repeat(stop, stop - start)
     short = np.repeat(stop - start <= SHORT, stop - start)
-    out_a, out_b = [], []
+    found, held = [], 0
+
+    def add(i, j) -> None:
+        """Keeps pairs by the ranks of their ids, each once, though many lists have them."""
+        nonlocal found, held
+        found.append(np.minimum(rank[i], rank[j]) * np.int64(len(known)) + np.maximum(rank[i], rank[j]))
+        held += len(found[-1])
+        if held > PAIRS_HELD + 2 * len(found[0]):
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+
     # Short lists, all at once: each entry with the next, the next but one, and so on while sizes may still link.
     i = np.flatnonzero(short)
     for step in range(1, SHORT):
@@ -303,8 +315,7 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
         j = i + step
         take = np.flatnonzero((cls[i] != cls[j]) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure))
         take = take[signatures.allow(who[i[take]], who[j[take]], n[i[take]], n[j[take]])]
-        out_a.append(ids[i[take]])
-        out_b.append(ids[j[take]])
+        add(i[take], j[take])
     for a, b in zip(start, stop, strict=True):
         if b - a <= SHORT:
             continue
@@ -322,11 +333,9 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
                 j = j[~_settled(np.full(len(j), i), j, n, sure)]
                 j = j[signatures.allow(np.full(len(j), who[i]), who[j], np.full(len(j), n[i]), n[j])]
                 if len(j):
-                    out_a.append(np.full(len(j), ids[i]))
-                    out_b.append(ids[j])
-    x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (out_a, out_b))
-    pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+                    add(np.full(len(j), i), j)
+    pair = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+    return pa.table({c: pa.array(known[by_id[x]].astype(np.int64)) for c, x in zip("ab", np.divmod(pair, max(1, len(known))), strict=True)})
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
