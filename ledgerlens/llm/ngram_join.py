@@ -84,29 +84,29 @@ def signature(s: np.ndarray) -> bytes:
 
 
 class Signatures:
-    """Signatures by number, None where one is not known."""
-
-    def __init__(self, signs: list[bytes | None]):
-        self.words = np.array([len(s) // 8 if s else 0 for s in signs], np.int64)
-        self.row, self.of = np.zeros((2, len(signs)), np.int64), {}
-        sizes = {int(w) for w in self.words} - {0}
-        for size in sizes | {w // 2 for w in sizes if w > 1}:
-            parts = []
-            for k in (0, 1):  # signatures of this size, and of twice the size, folded
-                own = np.flatnonzero(self.words == size << k)
-                m = np.frombuffer(b"".join(signs[i] for i in own), "<u8").reshape(len(own), size << k)
-                self.row[k, own] = sum(map(len, parts)) + np.arange(len(own))
-                parts.append(m[:, :size] ^ m[:, size:] if k else m)
-            self.of[size] = np.concatenate(parts)
+    """Signatures by number, read where Arrow holds them; null where one is not known."""
+
+    def __init__(self, signs: pa.Array | pa.ChunkedArray):
+        chunks = signs.chunks if isinstance(signs, pa.ChunkedArray) else [signs]
+        signs = pa.chunked_array([x.cast(pa.large_binary()) for x in chunks], pa.large_binary()).combine_chunks()
+        end = np.frombuffer(signs.buffers()[1], "<i8")[signs.offset : signs.offset + len(signs) + 1] // 8 if len(signs) else np.zeros(1, np.int64)
+        self.at, self.words = end[:-1], np.diff(end)
+        self.flat = np.frombuffer(signs.buffers()[2], "<u8", end[-1]) if end[-1] else np.zeros(0, "<u8")
+
+    def rows(self, who: np.ndarray, size: int) -> np.ndarray:
+        """Signatures of size words, those of twice the size folded."""
+        m, at = np.lib.stride_tricks.sliding_window_view(self.flat, size), self.at[who]
+        out, wide = m[at], self.words[who] > size
+        out[wide] ^= m[at[wide] + size]
+        return out
 
     def apart(self, i: np.ndarray, j: np.ndarray, step: int = 1 << 20) -> np.ndarray:
         """Members at least that sets i and j don't share."""
         out, low, high = np.zeros(len(i), np.int64), np.minimum(self.words[i], self.words[j]), np.maximum(self.words[i], self.words[j])
         for size in np.unique(low[low > 0]):
-            at, m = np.flatnonzero((low == size) & (high <= 2 * size)), self.of[int(size)]
+            at = np.flatnonzero((low == size) & (high <= 2 * size))
             for x in np.array_split(at, -(-len(at) * int(size) // step)) if len(at) else ():
-                a, b = (m[self.row[(self.words[k] > size).astype(np.int64), k]] for k in (i[x], j[x]))
-                out[x] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+                out[x] = np.bitwise_count(self.rows(i[x], int(size)) ^ self.rows(j[x], int(size))).sum(1, dtype=np.int64)
         return out
 
     def allow(self, i: np.ndarray, j: np.ndarray, ni: np.ndarray, nj: np.ndarray) -> np.ndarray:
@@ -268,7 +268,7 @@ def _nearest(t: pa.Table, signs: pa.Table) -> pa.Table:
     known = signs.column("own").to_numpy()
     by_id = np.argsort(known)
     at = [by_id[np.searchsorted(known, x, sorter=by_id)] for x in (a, b)]
-    apart = Signatures(signs.column("sign").to_pylist()).apart(*at)
+    apart = Signatures(signs.column("sign")).apart(*at)
     best = np.zeros(len(a), bool)
     for x in at:
         order = np.lexsort((apart, x))
@@ -279,7 +279,7 @@ def _nearest(t: pa.Table, signs: pa.Table) -> pa.Table:
 def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
     """Pairs of different classes within the lists of a bucket, by blocks of size and, in them, of position; pairs that the pivot's answers or the signatures settle are left out."""
     known = signs.column("own").to_numpy()
-    signatures, by_id = Signatures(signs.column("sign").to_pylist()), np.argsort(known)
+    signatures, by_id = Signatures(signs.column("sign")), np.argsort(known)
     g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure")}
     order = np.lexsort((g["pos"], g["n"], g["size_class"], g["tok"]))
     tok, size_class, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure"))
@@ -341,7 +341,7 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their signatures allow."""
     for b in small(batches):
-        m, signs = np.arange(b.num_rows), Signatures(b.column("asign").to_pylist() + b.column("bsign").to_pylist())
+        m, signs = np.arange(b.num_rows), Signatures(pa.chunked_array([b.column("asign"), b.column("bsign")]))
         ok = signs.allow(m, m + b.num_rows, b.column("an").to_numpy(), b.column("bn").to_numpy())
         yield b.drop_columns(["asign", "bsign"]).filter(pa.array(ok))
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import byte_bpe, ctw, exact_dedup, language_id, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, token_files
@@ -102,7 +103,7 @@ def test_signatures_allow_every_link():
     for n in (1, 3, 40, 60, 500, 3000):
         base = r.integers(0, 2**63, n).astype(np.uint64)
         sets += [np.unique(np.r_[base[: n - k], r.integers(0, 2**63, k).astype(np.uint64)]) for k in (0, n // 20, n // 10, n // 7, n // 2)]
-    s = ngram_join.Signatures([ngram_join.signature(x) for x in sets] + [None])
+    s = ngram_join.Signatures(pa.array([ngram_join.signature(x) for x in sets] + [None], pa.binary()))
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
     n = np.array([len(x) for x in sets])
     apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
