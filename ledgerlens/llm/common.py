@@ -5,6 +5,9 @@ Every operator takes a DataFrame with at least ``doc_id`` (integer) and ``text``
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -82,6 +85,19 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000, limit: int = 16 <
             at += step
 
 
+def tidy(work):
+    """work, a function of batches, giving unused memory back to the system when it ends, as Spark keeps its worker for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words of a text with A-Z lower-cased. bytes.split() splits at exactly SPACE and bytes.lower() maps ASCII only."""
     return text.lower().split()

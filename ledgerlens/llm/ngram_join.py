@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, id_text, lower_words, raw, shuffle_parts, small, written
+from .common import checkpointed, discard, id_text, lower_words, raw, shuffle_parts, small, tidy, written
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -119,7 +119,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = TaskContext.get().partitionId()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     shift = np.uint64(64 - SKETCH_BITS)
-    for b in small(batches):
+    for b in small(batches, 1000, 4 << 20):
         sets = shingle_sets(raw(b.column("text")))
         if sets:
             sketch += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
@@ -172,7 +172,7 @@ def _postings(sketch, buckets: int):
             for x in (toks, poss, owns, keys, sizes):
                 x.clear()
 
-        for b in small(batches):
+        for b in small(batches, 1000, 4 << 20):
             for s in shingle_sets(raw(b.column("text"))):
                 if not len(s) or (k := _key(s)) in seen:
                     continue
@@ -347,7 +347,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small(batches):
+    for b in small(batches, 1000, 4 << 20):
         s = shingle_sets(raw(b.column("text")))
         yield pa.RecordBatch.from_pydict({"id": b.column("doc_id"), "members": pa.array([x.tobytes() for x in s], pa.binary())})
 
@@ -404,11 +404,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """a, b, an, bn, both (exact intersection) of candidate pairs a, b of document ids with sizes an, bn."""
     pairs = written(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_wanted(docs, wanted).mapInArrow(_set_rows, "id long, members binary"), f"{name}-sets")
+    sets = written(_wanted(docs, wanted).mapInArrow(tidy(_set_rows), "id long, members binary"), f"{name}-sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     # b is the copy, a the pivot that many pairs share: each copy's set moves once, to where its pivot is.
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "an", "bn", "x", "y")
-    answers = written(both.mapInArrow(_overlap, "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
+    answers = written(both.mapInArrow(tidy(_overlap), "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
     discard(sets)
     return answers
 
@@ -454,7 +454,7 @@ def _joined(cls: DataFrame, links: DataFrame) -> DataFrame:
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    first = written(id_text(docs).mapInArrow(_first, FIRST), "shingle-keys")
+    first = written(id_text(docs).mapInArrow(tidy(_first), FIRST), "shingle-keys")
     chunks = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, "<u4")  # 4 MB whatever the corpus
     for r in chunks:
@@ -463,7 +463,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     part = rows.where("n > 0").groupBy("k1", "k2", "run").agg(F.min("doc_id").alias("rep"))
     key = part.groupBy("k1", "k2").agg(F.min("rep").alias("rep"))
     buckets = shuffle_parts(spark)
-    packed = id_text(docs).mapInArrow(_postings(spark.sparkContext.broadcast(sketch.tobytes()), buckets), PACKED)
+    packed = id_text(docs).mapInArrow(tidy(_postings(spark.sparkContext.broadcast(sketch.tobytes()), buckets)), PACKED)
     lists = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, PAIR)
     lists = written(lists, "lists")
     named = lambda df, k: df.join(key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k)), [f"{k}1", f"{k}2"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, raw, small
+from .common import SPACE, raw, small, tidy
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -42,7 +42,7 @@ def repeats(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
     size = np.diff(np.r_[first, n])
     rank[order] = np.repeat(first, size)  # a group's rank is where it begins in the order
-    levels, h = [rank.copy()], 1
+    levels, h = [np.r_[rank, -1]], 1
     slots = np.flatnonzero(np.repeat(size, size) > 1)  # of the order that are tied
     while len(slots):
         i = order[slots]
@@ -58,15 +58,14 @@ def repeats(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         rank[i] = np.repeat(slots[first], size)
         slots = slots[np.repeat(size, size) > 1]
         h *= 2
-        levels.append(rank.copy())
+        levels.append(np.r_[rank, -1])
     # Longest common prefix of neighbours in the order, from the largest power down.
     at = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]])
     a, b = order[at].copy(), order[at + 1].copy()
     lcp = np.zeros(len(at), np.int64)
-    pad = [np.r_[x, -1] for x in levels]
     for k in range(len(levels) - 1, -1, -1):
         x, y = np.minimum(a, n), np.minimum(b, n)
-        same = (pad[k][x] == pad[k][y]) & (x < n) & (y < n) & (x != y)
+        same = (levels[k][x] == levels[k][y]) & (x < n) & (y < n) & (x != y)
         lcp[same] += 1 << k
         a[same] += 1 << k
         b[same] += 1 << k
@@ -117,12 +116,12 @@ def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + named)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 1000, 8 << 20):
+        for b in small(batches, 1000, 2 << 20):
             got = judge(raw(b.column(b.schema.names.index(text))))
             kind = lambda k: pa.bool_() if k in ("base_failed", "kept") else pa.int64()
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kind(k)) for k, v in got.items())], [*b.schema.names, *(prefix + k for k in got)])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def op10(docs: DataFrame) -> DataFrame:
