@@ -26,7 +26,7 @@ from .token_files import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 12
-CACHE = 1_000_000
+CACHE = 1 << 17
 _MODELS: dict[tuple[str, str], "ByteBPE"] = {}
 
 
