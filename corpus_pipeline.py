@@ -15,6 +15,8 @@ from ledgerlens.llm.ngram_join import ngram_join
 from ledgerlens.llm.quality_rules import quality_rules
 
 MARK = "_ledgerlens_"
+#: Pieces that a worker remembers while encoding; fewer than the operator does alone, as the other stages' workers share the executor.
+PIECES = 1 << 17
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row. Null text has no tokens."""
-    return byte_bpe(docs)
+    return byte_bpe(docs, cache=PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -26,12 +26,13 @@ from .token_files import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 12
-CACHE = 1 << 17
-_MODELS: dict[tuple[str, str], "ByteBPE"] = {}
+CACHE = 1_000_000
+_MODELS: dict[tuple[str, str, int], "ByteBPE"] = {}
 
 
 class ByteBPE:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
@@ -103,7 +104,7 @@ class ByteBPE:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         cut, known = pieces(text), self.known
         for p in {*cut}.difference(known):
-            if len(known) >= CACHE:
+            if len(known) >= self.cache:
                 known.clear()
             known[p] = b"".join(self.ranks[t].to_bytes(4, "little") for m in self.find(p) for t in self.tokens(m.encode()))
         try:
@@ -118,20 +119,20 @@ class ByteBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def model(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _MODELS:
-        _MODELS[path, pattern] = ByteBPE(path, pattern)
-    return _MODELS[path, pattern]
+def model(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
+    if (path, pattern, cache) not in _MODELS:
+        _MODELS[path, pattern, cache] = ByteBPE(path, pattern, cache)
+    return _MODELS[path, pattern, cache]
 
 
-def byte_bpe(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids as an array."""
+def byte_bpe(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids as an array; cache is how many pieces a worker remembers, which changes memory and time, not results."""
     import public_tokenizers
 
     path, pattern = vocabulary_path(vocabulary), public_tokenizers.PATTERN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, pattern)
+        bpe = model(path, pattern, cache)
         for b in small(batches):
             n, digest, back, ids = [], [], [], []
             for t in b.column("text").to_pylist():
