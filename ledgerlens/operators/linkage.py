@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..functions.names import name_similarity
 from ..functions.text import core_numbers
+from .bands import amount_pairs
 
 # Where the share of each level among duplicates starts.
 FIELDS = (("name", (0.70, 0.20, 0.10)), ("invoice", (0.45, 0.45, 0.05, 0.05)), ("context", (0.85, 0.08, 0.05, 0.02)), ("date_gap", (0.40, 0.35, 0.25)))
+#: What pairs are compared by.
+COMPARED = ("row_id", "vendor_name", "invoice_no", "amount", "txn_date", "officer_id", "item_category", "quantity")
 STRENGTH, SMOOTH, PRIOR = 50.0, 1e-3, (2.0, 38.0)
 
 
@@ -21,7 +24,8 @@ def levels(pairs: DataFrame) -> DataFrame:
     same = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
     sure = lambda c: F.coalesce(c, F.lit(False))
     invoice = F.when(F.col("a_invoice_no").isNull() | F.col("b_invoice_no").isNull(), 3).when(F.lower(F.trim("a_invoice_no")) == F.lower(F.trim("b_invoice_no")), 0)
-    invoice = invoice.when(F.arrays_overlap(core_numbers(F.col("a_invoice_no"), F.col("a_txn_date")), core_numbers(F.col("b_invoice_no"), F.col("b_txn_date"))), 1).otherwise(2)
+    core = lambda p: F.col(f"{p}_core") if f"{p}_core" in pairs.columns else core_numbers(F.col(f"{p}_invoice_no"), F.col(f"{p}_txn_date"))
+    invoice = invoice.when(F.arrays_overlap(core("a"), core("b")), 1).otherwise(2)
     officer, item = sure(same("officer_id")), sure(same("item_category")) & F.col("a_quantity").eqNullSafe(F.col("b_quantity"))
     context = F.when(officer & item & same("amount"), 0).when(officer & item, 1).when(officer | item, 2).otherwise(3)
     gap = F.when(F.col("gap") <= 3, 0).when(F.col("gap") <= 7, 1).otherwise(2)
@@ -80,3 +84,10 @@ def scored(pairs: DataFrame, reference: DataFrame | None = None, t: Thresholds =
     names = [f for f, _ in FIELDS]
     table = spark.createDataFrame([(*map(int, v), float(p)) for v, p in post.items()], ", ".join(f"{f} int" for f in names) + ", posterior double")
     return pairs.join(F.broadcast(table), names)
+
+
+def linked(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Every pair of the amount and date band whose names pass, with its posterior, whatever the vendor keys. u is of the pairs that pass the same checks but are too far apart in time to be duplicates."""
+    rows = tx.select(*COMPARED).withColumn("core", core_numbers(F.col("invoice_no"), F.col("txn_date")))
+    named = lambda days: with_names(levels(amount_pairs(rows, t.dup_tolerance, days)), t)
+    return scored(named((0, t.dup_days)), named(t.reference_days), t)

@@ -52,13 +52,8 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.build(found, "baseline", "split").select("case_id", F.element_at("row_ids", 1).alias("row_id"), "severity_prelim", "band", "amount_at_risk")
 
 
-def same_vendor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.amount_pairs(line_items(spark, sf_dir)).where("a_vendor_key = b_vendor_key")
-
-
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = linkage.with_names(linkage.levels(same_vendor_pairs(spark, sf_dir)))
-    return linkage.scored(pairs).select("a_row_id", "b_row_id", "name", "invoice", "context", "date_gap", F.round("posterior", 9).alias("posterior"))
+    return linkage.linked(line_items(spark, sf_dir)).select("a_row_id", "b_row_id", "name", "invoice", "context", "date_gap", F.round("posterior", 9).alias("posterior"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,19 @@ def test_em():
     assert post[strong] > 0.9 and post[weak] < 0.05
 
 
+def test_linkage_crosses_vendor_keys(spark, monkeypatch):
+    """Similar names of different keys are linked, and u is taken from the look-alikes 30 to 180 days apart."""
+    a, b = {"vendor_name": "Saxena Petroleum", "vendor_key": "petroleum saxena"}, {"vendor_name": "Saxena Petrolium", "vendor_key": "petrolium saxena"}
+    other = {"vendor_name": "Gupta Stationers", "vendor_key": "gupta stationers"}
+    rows = tx(spark, [a, b | {"txn_date": DAY + dt.timedelta(2)}, other, *[b | {"txn_date": DAY + dt.timedelta(40 + 20 * i)} for i in range(3)]])
+    seen, fit = [], linkage.fit
+    monkeypatch.setattr(linkage, "fit", lambda counts, reference=None, t=linkage.DEFAULT: seen.append((sum(counts.values()), reference)) or fit(counts, reference, t))
+    assert [(r.a_row_id, r.b_row_id) for r in linkage.linked(rows).collect()] == [(1, 2)]
+    (n, reference), = seen
+    near = [(i, j) for i, j in itertools.combinations([0, 2, 40, 60, 80], 2) if 30 <= j - i <= 180]
+    assert n == 1 and sum(reference.values()) == len(near)
+
+
 def test_baseline_rules(spark):
     rows = tx(spark, [{"invoice_no": "INV-1"}, {"invoice_no": "INV-1", "vendor_name": " sharma traders"}, {"amount": 0.89 * 250_000}, {"amount": 0.9 * 250_000}, {"amount": 250_000.0}])
     assert [x.row_ids for x in baseline.duplicates(rows).collect()] == [[1, 2]]
