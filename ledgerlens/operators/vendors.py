@@ -40,6 +40,17 @@ def first_digit_test(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return out.withColumn("p_value", chi2_tail_even(F.col("chi2"), 8)).where("mad >= 0.015")
 
 
+def round_number_test(tx: DataFrame, t: Thresholds = DEFAULT, lift: float = 2.0) -> DataFrame:
+    """One-sided binomial test of each vendor's share of distinct amounts that are multiples of round_unit against its categories' mean rate; a category without any takes the rate of all."""
+    rows = distinct_amounts(tx).withColumns({"item_category": F.coalesce("item_category", F.lit("(uncategorised)")), "hit": (F.col("amount") % t.round_unit == 0).cast("double")})
+    rates = rows.groupBy("item_category").agg(F.avg("hit").alias("rate"))
+    overall = rows.agg(F.avg("hit").alias("overall"))
+    by = rows.join(rates, "item_category").crossJoin(F.broadcast(overall)).withColumn("rate", F.when(F.col("rate") == 0, F.col("overall")).otherwise(F.col("rate")))  # one row
+    out = by.groupBy("vendor_key").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("k"), (F.sum(F.col("rate").cast("decimal(20,12)")).cast("double") / F.count("*")).alias("rate"))
+    out = out.where((F.col("n") >= t.min_distinct_amounts) & (F.col("rate") > 0) & (F.col("rate") < 1))
+    return out.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), F.col("rate"))).withColumn("material", F.col("k") / F.col("n") >= lift * F.col("rate"))
+
+
 def period_end_test(tx: DataFrame, t: Thresholds = DEFAULT, lift: float = 2.0) -> DataFrame:
     """One-sided binomial test of each vendor's share of rows at a period's end against its categories' mean rate."""
     rows = tx.withColumn("hit", period_end(F.col("txn_date")).cast("double"))
@@ -66,6 +77,8 @@ def benjamini_hochberg(p: DataFrame, alpha: float = DEFAULT.fdr_alpha) -> DataFr
 
 
 def flags(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    tests = first_digit_test(tx, t).select("vendor_key", "p_value").unionByName(period_end_test(tx, t).where("material").select("vendor_key", "p_value"))
+    tests = first_digit_test(tx, t).select("vendor_key", "p_value")
+    for shares in (round_number_test(tx, t), period_end_test(tx, t)):
+        tests = tests.unionByName(shares.where("material").select("vendor_key", "p_value"))
     out = benjamini_hochberg(fisher(tests), t.fdr_alpha)
     return out.withColumn("score", F.least(F.lit(1.0), -F.log10(F.greatest("combined_p", F.lit(1e-300))) / 20))

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from ledgerlens.functions.names import identity_of, key_of, similarity_of
-from ledgerlens.operators import bands, baseline, evaluate, explore, linkage, runs
+from ledgerlens.operators import bands, baseline, evaluate, explore, linkage, runs, vendors
 
 DAY = dt.date(2025, 4, 1)
 FIELDS = "row_id long, vendor_name string, vendor_key string, invoice_no string, amount double, txn_date date, officer_id string, item_desc string, item_category string, quantity double, unit_price double"
@@ -99,6 +99,20 @@ def test_baseline_rules(spark):
     assert [x.row_id for x in baseline.near_threshold(rows).collect()] == [4]
 
 
+def test_round_numbers_alone_flag_a_vendor(spark):
+    day = DAY + dt.timedelta(9)
+    rows = [{"vendor_key": "round", "amount": 1000.0 * (10 + i), "txn_date": day} for i in range(25)]
+    rows += [{"vendor_key": f"v{v}", "amount": 10_000.0 + 37 * i + v, "txn_date": day} for v in range(1, 9) for i in range(25)]
+    rows += [{"vendor_key": "few", "amount": 1000.0 * (10 + i), "txn_date": day} for i in range(19)]
+    rows += [{"vendor_key": "copies", "amount": 1000.0, "txn_date": day, "item_category": None}] * 30
+    table = tx(spark, rows)
+    got = {r.vendor_key: r for r in vendors.round_number_test(table).collect()}
+    assert set(got) == {"round", *(f"v{v}" for v in range(1, 9))}
+    rate = (25 + 19 + sum(x["amount"] % 1000 == 0 for x in rows[25:225])) / (25 + 200 + 19)
+    assert got["round"].n == got["round"].k == 25 and got["round"].rate == pytest.approx(rate, abs=1e-9) and got["round"].p_value == pytest.approx(rate**25, rel=1e-6)
+    assert {r.vendor_key for r in vendors.flags(table).collect() if r.flagged} == {"round"}
+
+
 def test_krippendorff(spark):
     n = None
     coders = [[n, n, n, n, n, 3, 4, 1, 2, 1, 1, 3, 3, n, 3], [1, n, 2, 1, 3, 3, 4, 3, n, n, n, n, n, n, n], [n, n, 2, 1, 3, 4, 4, n, 2, 1, 1, 3, 3, n, 4]]
