@@ -3,11 +3,14 @@
 Words lose ASCII punctuation and are lower-cased; shingles are SHINGLE words. A template of m shingles is looked for in windows of as many, every max(1, m // 4) positions. A window and a template that share a MinHash band are a candidate pair. With BANDS bands of one row, a pair of Jaccard similarity j collides with probability 1 - (1 - j) ** BANDS; at j = 0.4, the worst offset of a match at the containment threshold, that is over 0.9997.
 A candidate is kept if the window, widened by a stride either way, holds at least CONTAINMENT of the template's distinct shingles. Windows that hold none of any template's shingles have similarity 0 with all and are not hashed.
 
-Cases: null or empty texts have no match and no row; a template shorter than SHINGLE words is one shingle of its own length; matches of one template in one document make one row with the best window (the first of equals); repeated rows repeat; texts are scanned whole.
+Cases: null or empty texts have no match and no row; a template shorter than SHINGLE words is one shingle of its own length; matches of one license id in one document make one row, n_windows counting each of its wordings with the best window (the first of equals); repeated rows repeat; texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ TEMPLATES = (
     ("GPL-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
+#: Whole texts of common licenses and usual wordings of their notices; several wordings may have one id.
+TEXTS = tuple((name, text) for name, text in json.loads(pkgutil.get_data(__package__, "licenses.json")))
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 FIELDS = "doc_id long, license_id string, start_word long, end_word long, containment double, n_windows long"
 
@@ -49,6 +54,10 @@ class Scanner:
             shingles = [self.known.setdefault(tuple(ids[i : i + k]), len(self.known)) for i in range(len(ids) - k + 1)] if ids else []
             if shingles:
                 self.templates.append((name, frozenset(shingles), len(shingles)))
+        self.first = {name: i for i, (name, _, _) in reversed([*enumerate(self.templates)])}
+        self.least: dict[int, int] = {}  # the fewest distinct shingles of the templates of one length
+        for _, shingles, m in self.templates:
+            self.least[m] = min(self.least.get(m, m), len(shingles))
         self.lengths = sorted({len(s) for s in self.known})
         rng = np.random.default_rng(7)
         self.hash = rng.permuted(np.tile(np.arange(len(self.known) + 1), (BANDS, 1)), axis=1)  # a random order of the shingles for each band
@@ -77,19 +86,23 @@ class Scanner:
             stride = max(1, m // 4)
             starts = sorted({s * stride for i in at for s in range(max(0, -(-(i - m + 1) // stride)), i // stride + 1)})
             for s in starts:
-                inside = [hits[i] for i in range(s, s + m) if i in hits]
+                lo, hi = bisect_left(at, s - stride), bisect_left(at, s + m + stride)
+                if hi - lo < CONTAINMENT * self.least[m]:
+                    continue  # no template of this length can be contained
+                inside = [hits[i] for i in at[bisect_left(at, s) : bisect_left(at, s + m)]]
                 low = self.hash[:, inside].min(1).tolist()
-                wide = {hits[i] for i in range(max(0, s - stride), s + m + stride) if i in hits}
+                wide = {hits[i] for i in at[lo:hi]}
                 for t in {t for band in enumerate(low) for t in bands.get(band, ())}:
                     name, want, _ = self.templates[t]
                     c = len(wide & want) / len(want)
                     if c >= CONTAINMENT:
+                        t = self.first[name]
                         old = best.get(t)
                         best[t] = (c, s, s + m, 1) if old is None else (c, s, s + m, old[3] + 1) if c > old[0] else (*old[:3], old[3] + 1)
         return [(self.templates[t][0], s, min(e + SHINGLE - 1, len(a)), c, n) for t, (c, s, e, n) in sorted(best.items())]
 
 
-def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + TEXTS) -> DataFrame:
     """A row for each document and license found in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

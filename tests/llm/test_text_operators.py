@@ -272,3 +272,11 @@ def test_pipeline(spark, rows, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_license_scan_finds_whole_texts_and_wordings(spark):
+    texts = dict(license_scan.TEXTS)
+    part = " ".join(w for i, w in enumerate(texts["MPL-2.0-text"].split()) if i % 60)  # an edit every 60 words
+    rows = [(1, part), (2, "This library is available under the terms of the MIT license, see below."), (3, texts["ISC-text"]), (4, "Text licensed under CC BY-SA 4.0 by us"), (5, "words without any such notice at all")]
+    got = {(r.doc_id, r.license_id) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "MPL-2.0-text"), (2, "MIT-notice"), (3, "ISC-text"), (4, "CC-BY-SA-notice")} <= got and not [d for d, _ in got if d == 5]
