@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: The white space that all text operators split words at.
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
+PARTS = "chunk int, run int, counts binary"
+#: Bytes of a table's files to a group of rows that is held in memory; sizes from UNKNOWN_BYTES on are no estimates.
+GROUP_BYTES, UNKNOWN_BYTES = 96 << 20, 1 << 52
 _LOCAL: list[str] = []
 
 
@@ -107,6 +110,28 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def group_count(docs: DataFrame, target: int = GROUP_BYTES) -> int:
+    """How many groups a table's rows are dealt to: the session's shuffle partitions, and more where the table's files are so large that a group would hold over target bytes of them. Tables of unknown size count by the setting alone."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_parts(docs.sparkSession), -(-size // target) if size < UNKNOWN_BYTES else 1)
+
+
+def tree_sum(parts: DataFrame, add, tasks: int, fan: int = 64) -> DataFrame:
+    """chunk, run, counts: the parts (chunk, run, counts) of each chunk added up in a tree, at most fan of them in a group. run: the task that a part is from."""
+    while True:
+        parts = parts.withColumn("run", F.floor(F.col("run") / fan).cast("int")).groupBy("chunk", "run").applyInArrow(_one_part(add), PARTS)
+        tasks = -(-tasks // fan)
+        if tasks <= 1:
+            return parts
+
+
+def _one_part(add):
+    def work(t: pa.Table) -> pa.Table:
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "run": t.column("run").slice(0, 1), "counts": pa.array([add(t.column("counts").to_pylist())], pa.binary())})
+
+    return work
+
+
 def crc_mod(n: int) -> F.Column:
     """crc32 of the decimal doc_id, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(n)

@@ -8,7 +8,7 @@ Index-level skipping. In a bucket each list is sorted by set size and cut into b
 
 Answer-level skipping. Each list is first compared with one set only, its pivot (the least key). What links to a pivot is in its class; a list whose entries are all of one class is done, so a group of near copies costs one pair for each copy. In the remaining lists, for entry x with known |x & p| and y with known |p & y|, the answer on (x, y) follows from the pivot's: |x & y| <= |p & y| + |x| - |x & p|, and only pairs for which this does not settle it go on. Of any candidates only those are computed whose parity signatures differ in no more bits than linked sets may in members. So every link between different classes is found: the classes are exact.
 
-Cases: null or empty text and texts without words have an empty set, are linked with nothing and keep their own id; repeated rows are equal sets; a null doc_id is never a class id unless all members' are null; very long texts are taken whole; an empty table gives no rows.
+Cases: null or empty text and texts without words have an empty set, are linked with nothing and keep their own id; repeated rows are equal sets; rows of one doc_id with different texts are documents of their own, which link or not by their texts; rows with a null doc_id link like others, but null is never a class id unless all members' are null; very long texts are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, id_text, lower_words, raw, shuffle_parts, small, tidy, written
+from .common import PARTS, checkpointed, discard, group_count, id_text, lower_words, raw, small, tidy, tree_sum, written
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -31,6 +31,7 @@ SHORT = 64
 NEAREST_ROUNDS = 1
 PAIRS_HELD = 1_000_000
 BLOOM_BITS, BLOOM_HASHES = 26, 4
+NO_ID = -1  # stands for a null doc_id where documents are looked for
 FIRST = "doc_id long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
 PACKED = "bucket int, tok binary, pos binary, each binary, k1 binary, k2 binary, n binary"
 PAIR = "kind int, tok long, a1 long, a2 long, an long, ai long, b1 long, b2 long, bn long, bi long"
@@ -133,14 +134,11 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(i, p.tobytes()) for i, p in parts if p.any()]
     m = len(parts)
     none = pa.nulls(m, pa.int64())
-    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "k1": none, "k2": none, "sign": pa.nulls(m, pa.binary()), "run": pa.nulls(m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "k1": none, "k2": none, "sign": pa.nulls(m, pa.binary()), "run": pa.array([run] * m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
 
 
-def _add_chunks(t: pa.Table) -> pa.Table:
-    total = np.zeros(1 << CHUNK_BITS, np.uint64)
-    for x in t.column("counts").to_pylist():
-        total += np.frombuffer(x, "<u4")
-    return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+def _added(counts: list[bytes]) -> bytes:
+    return np.minimum(np.sum([np.frombuffer(x, "<u4") for x in counts], 0, dtype=np.uint64), 0xFFFFFFFF).astype("<u4").tobytes()
 
 
 def _postings(sketch, buckets: int):
@@ -346,12 +344,6 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.drop_columns(["asign", "bsign"]).filter(pa.array(ok))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small(batches, 1000, 4 << 20):
-        s = shingle_sets(raw(b.column("text")))
-        yield pa.RecordBatch.from_pydict({"id": b.column("doc_id"), "members": pa.array([x.tobytes() for x in s], pa.binary())})
-
-
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches, 500):
         got = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
@@ -365,7 +357,7 @@ def _places(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bloom(ids: DataFrame, bits: int) -> bytes:
-    """Bloom filter of the ids, of 2**bits bits, built in parts on the executors: at most 8 MB at the driver."""
+    """Bloom filter of the ids, of 2**bits bits, built in parts on the executors and united in a tree: at most 8 MB at the driver."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(1 << bits, bool)
@@ -373,43 +365,44 @@ def _bloom(ids: DataFrame, bits: int) -> bytes:
             on[_places(b.column(0).to_numpy(), bits).ravel()] = True
         packed = np.packbits(on, bitorder="little").reshape(-1, 1 << max(0, bits - 3 - 6))
         at = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(at, pa.int32()), "counts": pa.array([packed[i].tobytes() for i in at], pa.binary())})
-
-    def union(t: pa.Table) -> pa.Table:
-        x = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in t.column("counts").to_pylist()])
-        return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([x.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(at, pa.int32()), "run": pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), "counts": pa.array([packed[i].tobytes() for i in at], pa.binary())})
 
+    union = lambda parts: np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in parts]).tobytes()
     out = bytearray(1 << max(0, bits - 3))
-    for r in ids.mapInArrow(build, "chunk int, counts binary").groupBy("chunk").applyInArrow(union, "chunk int, counts binary").collect():
+    for r in tree_sum(ids.mapInArrow(build, PARTS), union, ids.rdd.getNumPartitions()).collect():
         out[r.chunk * len(r.counts) : (r.chunk + 1) * len(r.counts)] = r.counts
     return bytes(out)
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents with one of the ids. A Bloom filter of bounded size goes ahead of the join, so that most other texts aren't shuffled; where the ids outgrow it, it only lets more through."""
-    ids = written(ids, "wanted")
-    bits = min(BLOOM_BITS, max(12, (12 * ids.count()).bit_length()))
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
+def _members(docs: DataFrame, wanted: DataFrame, name_of) -> DataFrame:
+    """id, members of each wanted set (id, rep), rep being a document that has it. A Bloom filter of bounded size goes ahead, so that most texts are neither read into sets nor shuffled; where the documents outgrow it, it only lets more through. A document counts by its set's own key, as other texts may have its doc_id."""
+    wanted = written(wanted.select("id", F.coalesce("rep", F.lit(NO_ID)).alias("rep")), "wanted")
+    bits = min(BLOOM_BITS, max(12, (12 * wanted.count()).bit_length()))
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("rep"), bits))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.frombuffer(bloom.value, np.uint8)
-        for b in batches:
-            p = _places(b.column(0).fill_null(-1).to_numpy(), bits).astype(np.int64)
-            yield b.filter(pa.array(((on[p >> 3] >> (p & 7)) & 1).all(0)))
+        for b in small(batches, 1000, 4 << 20):
+            p = _places(b.column(0).fill_null(NO_ID).to_numpy(), bits).astype(np.int64)
+            b = b.filter(pa.array(((on[p >> 3] >> (p & 7)) & 1).all(0).astype(bool)))
+            s = shingle_sets(raw(b.column("text")))
+            keys = [_key(x) for x in s]
+            yield pa.RecordBatch.from_pydict({"k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()), "members": pa.array([x.tobytes() for x in s], pa.binary())})
 
-    return id_text(docs).mapInArrow(sift, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+    found = id_text(docs).mapInArrow(tidy(work), "k1 long, k2 long, members binary").withColumn("id", name_of("k1", "k2"))
+    return found.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("members").alias("members"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """a, b, an, bn, both (exact intersection) of candidate pairs a, b of document ids with sizes an, bn."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name_of, name: str) -> DataFrame:
+    """a, b, an, bn, both (exact intersection) of candidate pairs a, b of sets with sizes an, bn."""
     pairs = written(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_wanted(docs, wanted).mapInArrow(tidy(_set_rows), "id long, members binary"), f"{name}-sets")
-    x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets.select("id", "rep"), "id")
+    members = written(_members(docs, wanted, name_of), f"{name}-sets")
+    x, y = members.select(F.col("id").alias("a"), F.col("members").alias("x")), members.select(F.col("id").alias("b"), F.col("members").alias("y"))
     # b is the copy, a the pivot that many pairs share: each copy's set moves once, to where its pivot is.
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "an", "bn", "x", "y")
-    answers = written(both.mapInArrow(tidy(_overlap), "a long, b long, an long, bn long, both long"), name).dropDuplicates(["a", "b"])
-    discard(sets)
+    answers = written(both.mapInArrow(tidy(_overlap), "a long, b long, an long, bn long, both long"), name)
+    discard(members)
     return answers
 
 
@@ -451,55 +444,71 @@ def _joined(cls: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(cls.join(to, "cls", "left").select("id", F.coalesce("to", "cls").alias("cls")).union(alone))
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def _named(keys: DataFrame) -> tuple[DataFrame, int]:
+    """keys (k1, k2, ...) with a 64-bit id for each 128-bit key, no two of which are equal, and the salt of the ids."""
+    for salt in range(64):
+        ids = keys.withColumn("id", F.xxhash64("k1", "k2", F.lit(salt)))
+        if ids.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
+            return ids, salt
+    raise RuntimeError("no salt tells all keys apart")
+
+
+def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; with links also n_links, the number of other rows that the row links to.
+
+    Sets go by ids of their keys, so rows count by their texts whatever doc_ids they share or lack. Counting links verifies every candidate pair of different sets, as no class settles a count: it takes time with the square of a group of different near copies, where classes do not.
+    """
     spark = docs.sparkSession
     first = written(id_text(docs).mapInArrow(tidy(_first), FIRST), "shingle-keys")
-    chunks = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").collect()
+    tasks = (first.agg(F.max("run")).first()[0] or 0) + 1
     sketch = np.zeros(1 << SKETCH_BITS, "<u4")  # 4 MB whatever the corpus
-    for r in chunks:
+    for r in tree_sum(first.where("chunk is not null").select("chunk", "run", "counts"), _added, tasks).collect():
         sketch[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.counts, "<u4")
     rows = first.where("chunk is null").select("doc_id", "n", "k1", "k2", "run")
-    part = rows.where("n > 0").groupBy("k1", "k2", "run").agg(F.min("doc_id").alias("rep"))
-    key = part.groupBy("k1", "k2").agg(F.min("rep").alias("rep"))
-    buckets = shuffle_parts(spark)
+    part = first.where("n > 0").groupBy("k1", "k2", "run").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.count("*").alias("copies"))
+    sets = written(part.groupBy("k1", "k2").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.sum("copies").alias("copies")), "sets")
+    sets, salt = _named(sets)
+    name_of = lambda a, b: F.xxhash64(a, b, F.lit(salt))
+    buckets = group_count(docs)
     packed = id_text(docs).mapInArrow(tidy(_postings(spark.sparkContext.broadcast(sketch.tobytes()), buckets)), PACKED)
-    lists = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, PAIR)
-    lists = written(lists, "lists")
-    named = lambda df, k: df.join(key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k)), [f"{k}1", f"{k}2"])
-    stars = named(named(lists.where("kind = 0").select("a1", "a2", "an", "b1", "b2", "bn").distinct(), "a"), "b")
-    # Where a document id stands for several texts its signature isn't known.
-    signs = first.where("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("sign").alias("sign"), F.max("sign").alias("other"))
-    signs = written(signs.select("id", F.when(F.col("sign") == F.col("other"), F.col("sign")).alias("sign")), "signatures")
+    lists = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, PAIR), "lists")
+    lists = lists.select("kind", "tok", name_of("a1", "a2").alias("a"), "a1", "a2", "an", name_of("b1", "b2").alias("b"), "bn", "bi")
+    stars = lists.where("kind = 0").select("a", "b", "an", "bn", "a1", "a2").distinct()
+    signs = sets.select("id", "sign")
     sign = lambda k: signs.select(F.col("id").alias(k), F.col("sign").alias(f"{k}sign"))
     stars = stars.join(sign("b"), "b").join(sign("a"), "a").select("a", "b", "an", "bn", "a1", "a2", "asign", "bsign")
     stars = written(stars.mapInArrow(_likely, "a long, b long, an long, bn long, a1 long, a2 long"), "stars")
     # First each set with the least of its pivots. Links point to lesser keys, so they are a forest.
     one = stars.groupBy("b").agg(F.min_by(F.struct("a", "an", "bn"), F.struct("a1", "a2")).alias("p")).select("p.a", "b", "p.an", "p.bn")
-    answers = _verified(one, docs, "answers")
+    answers = _verified(one, sets, docs, name_of, "answers")
     linked = F.col("both") * DEN >= (F.col("an") + F.col("bn") - F.col("both")) * NUM
     cls = roots(answers.where(linked).select(F.col("b").alias("id"), F.col("a").alias("up")))
     class_of = lambda k, to: cls.select(F.col("id").alias(k), F.col("cls").alias(to))
     across = lambda df: df.join(class_of("a", "x"), "a", "left").join(class_of("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
-    # Lists whose entries are not all of one class yet, with what is known from the pivot.
-    rest = named(named(lists.where("kind = 1"), "a"), "b").select("tok", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bi").alias("pos"))
-    rest = rest.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
-    # A size class of each list and the next larger one meet: enough for every pair that may link, and what a task gets of a long list is bounded by its class.
-    step = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
-    rest = written(rest.select("tok", "pivot", "id", "cls", "n", "pos", F.explode(F.array(step, step - 1)).alias("size_class")), "rest")
-    # Lists of the same sets are scanned once, with each set's least position: the tests then let through whatever one of the lists would.
-    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
-    open_ = rest.groupBy("tok", "size_class").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), *same).where("x <> y").drop("x", "y")
     known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("both").alias("with_pivot"))
-    rest = rest.join(open_, ["tok", "size_class"]).groupBy("same1", "same2", "m", "size_class", "pivot", "id", "cls", "n").agg(F.min("pos").alias("pos")).withColumn("tok", F.col("same1"))
-    rest = rest.join(known, ["pivot", "id"], "left")
-    sure = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))).cast("long")
-    bucket = F.pmod(F.xxhash64("same1", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
-    entries = written(rest.select("tok", "size_class", "id", "n", "pos", sure.alias("sure"), bucket.alias("bucket")), "entries")
-    theirs = written(entries.select("bucket", "id").distinct().join(signs, "id").select(F.col("bucket").alias("at"), F.col("id").alias("own"), "sign"), "entry-signatures").groupBy("at")
-    sizes = key.join(rows.select("k1", "k2", "n").distinct(), ["k1", "k2"])
-    size = lambda k: sizes.select(F.col("rep").alias(k), F.col("n").alias(f"{k}n"))
+    size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"))
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    in_order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def spread(cls: DataFrame | None) -> tuple[DataFrame, object]:
+        """Entries of the lists, by buckets, with what is known from the pivot, and the signatures of each bucket's sets; with classes only of lists whose entries are not all of one."""
+        rest = lists.where("kind = 1").select("tok", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bi").alias("pos"))
+        rest = rest.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id")) if cls else rest.withColumn("cls", F.col("id"))
+        # A size class of each list and the next larger one meet: enough for every pair that may link, and what a task gets of a long list is bounded by its class.
+        step = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
+        rest = written(rest.select("tok", "pivot", "id", "cls", "n", "pos", F.explode(F.array(step, step - 1)).alias("size_class")), "rest")
+        # Lists of the same sets are scanned once, with each set's least position: the tests then let through whatever one of the lists would.
+        same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+        open_ = rest.groupBy("tok", "size_class").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), *same).where("x <> y").drop("x", "y")
+        rest = rest.join(open_, ["tok", "size_class"]).groupBy("same1", "same2", "m", "size_class", "pivot", "id", "cls", "n").agg(F.min("pos").alias("pos")).withColumn("tok", F.col("same1"))
+        rest = rest.join(known, ["pivot", "id"], "left")
+        sure = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))).cast("long")
+        bucket = F.pmod(F.xxhash64("same1", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
+        entries = written(rest.select("tok", "size_class", "id", "n", "pos", sure.alias("sure"), bucket.alias("bucket")), "entries")
+        theirs = entries.select("bucket", "id").distinct().join(signs, "id").select(F.col("bucket").alias("at"), F.col("id").alias("own"), "sign")
+        return entries, written(theirs, "entry-signatures").groupBy("at")
+
+    entries, theirs = spread(cls)
 
     def merged(method, others: DataFrame | None, name: str) -> bool:
         """Verifies the method's pairs of different classes, and others, and joins the classes that they link; whether there are any."""
@@ -507,12 +516,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         now = entries.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
         more = now.groupBy("bucket").cogroup(theirs).applyInArrow(method, "a long, b long")
         more = (more.union(others) if others else more).distinct().join(done, ["a", "b"], "left_anti")
-        more = _verified(more.join(size("a"), "a").join(size("b"), "b"), docs, name)
-        links = across(more.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        more = _verified(more.join(size("a"), "a").join(size("b"), "b"), sets, docs, name_of, name)
+        found = across(more.where(linked)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         done = done.union(more.select("a", "b"))
-        if links.isEmpty():
+        if found.isEmpty():
             return False
-        cls = _joined(cls, links)
+        cls = _joined(cls, found)
         return True
 
     # Each set with the nearest set of another class, again while that joins classes; so few are left of what links to itself in many ways before all pairs are listed.
@@ -520,8 +529,20 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         if not merged(_nearest, None, f"nearest{i}"):
             break
     # All that is left, and the other pivots, where they are of another class: lists of two entries are nowhere else.
-    merged(_block_pairs, across(stars).where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "more-answers")
-    of = part.drop("rep").join(key, ["k1", "k2"])
-    of = of.join(cls.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "run", F.coalesce("cls", "rep").alias("cls"))
+    merged(_block_pairs, in_order(across(stars).where("x <> y")), "more-answers")
+    # Written ahead of the join, which so deals a class of very many sets anew.
+    least = written(cls.join(sets.select("id", "rep"), "id").groupBy("cls").agg(F.min("rep").alias("least")), "least")
+    of = sets.join(cls.join(least, "cls"), "id", "left").select("id", "k1", "k2", "copies", F.coalesce("least", "rep").alias("component_id"))
+    if links:
+        entries, theirs = spread(None)
+        pairs = entries.withColumn("cls", F.col("id")).groupBy("bucket").cogroup(theirs).applyInArrow(_block_pairs, "a long, b long")
+        pairs = pairs.union(in_order(stars)).distinct().join(size("a"), "a").join(size("b"), "b")
+        pairs = _verified(pairs, sets, docs, name_of, "links").where(linked)
+        copies = sets.select(F.col("id").alias("b"), "copies")
+        beside = pairs.select("a", "b").union(pairs.select("b", "a")).join(copies, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("beside"))
+        of = of.join(beside, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("beside", F.lit(0)))
+    more = ["component_id", *["n_links"] * links]
+    of = part.select("k1", "k2", "run").join(of.select("k1", "k2", *more), ["k1", "k2"])
     out = rows.join(of, ["k1", "k2", "run"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cls", "doc_id").alias("component_id"))
+    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] * links
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)

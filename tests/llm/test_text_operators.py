@@ -280,3 +280,34 @@ def test_license_scan_finds_whole_texts_and_wordings(spark):
     rows = [(1, part), (2, "This library is available under the terms of the MIT license, see below."), (3, texts["ISC-text"]), (4, "Text licensed under CC BY-SA 4.0 by us"), (5, "words without any such notice at all")]
     got = {(r.doc_id, r.license_id) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(1, "MPL-2.0-text"), (2, "MIT-notice"), (3, "ISC-text"), (4, "CC-BY-SA-notice")} <= got and not [d for d, _ in got if d == 5]
+
+
+def joined(rows):
+    """component_id and n_links of rows (doc_id, text), by their place, from all pairs."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    near = [[j for j in range(len(rows)) if i != j and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in near[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        out.append((rows[i][0], len(sets[i]), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None), len(near[i])))
+    return out
+
+
+def test_ngram_join_goes_by_texts_not_ids(spark):
+    """A doc_id with several texts, repeated rows, and a row without a doc_id that bridges two documents lose no link, and links are counted."""
+    r = random.Random(11)
+    rows = []
+    for k in range(12):
+        w = [f"w{k}x{r.randrange(500)}" for _ in range(60)]
+        step = lambda n, w=w, k=k: " ".join([*w[n:], *(f"n{k}x{i}" for i in range(n))])
+        rows += [(10 * k, step(0)), (5, step(3)), (None, step(6)), (10 * k + 1, step(10)), (10 * k + 1, step(10)), (3, f"alone {k} " * 2)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(joined(rows), key=key)
