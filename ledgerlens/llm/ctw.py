@@ -3,7 +3,7 @@
 A text's event is its token sequence: lower-cased (A-Z) words joined by one space and ended by a line feed, as UTF-8 bytes. Each byte is eight binary decisions. A decision has a node for each depth 0..DEPTH, the context being that many bytes before; a node holds the zeros and ones counted in the training documents, its Krichevsky-Trofimov estimate P_e, and the weighted P_w = (P_e + product of P_w over its children) / 2, at full depth P_w = P_e.
 A text's code length is the sum over its decisions of -log2 of the mixture down its path: at each node the estimate with weight P_e / (2 P_w) and the deeper node with the rest. score is its log10 probability.
 
-Counting and scoring go by blocks of documents and buckets of keys. A block reports its distinct (DEPTH+1)-grams and distinct words with training counts as packed arrays; a bucket, which has all of a context's last byte, adds them up, builds its part of the tree and answers each block in the block's own order. Depth 0 is at most 255 nodes and is summed over buckets on the driver. So nothing but these is gathered, and a block's answer is as large as its own vocabulary.
+Counting and scoring go by blocks of documents and buckets of keys. A block reports its distinct (DEPTH+1)-grams and distinct words with training counts as packed arrays; a bucket, which has all of a context's last TOP bytes, adds them up, builds its part of the tree and answers each block in the block's own order. What buckets hold in part, the nodes of depths below TOP, is summed over buckets: at most 255 * 256 ** (TOP - 1) sums reach the driver. So nothing but these is gathered, a block's answer is as large as its own vocabulary, and a bucket is no hotter than the commonest TOP bytes.
 
 Base: unigram tokens with add-one smoothing, counts by 64-bit word hash.
 
@@ -20,12 +20,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lower_words, raw, shuffle_parts, written
+from .common import crc_mod, group_count, lower_words, raw, shuffle_parts, written
 
-DEPTH = 5
+DEPTH = 6
+TOP = 2
 HALF = math.log(0.5)
 FEATURES = "kind int, bucket int, block int, part int, keys binary, counts binary, size int, tokens long"
 ANSWERS = "kind int, block int, bucket int, part int, vals binary"
@@ -68,7 +70,16 @@ def grams(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
-    return ((code >> 8) & 0xFF) * 2654435761 % 4294967296 % buckets
+    return ((code >> 8) & ((1 << (8 * TOP)) - 1)) * 2654435761 % 4294967296 % buckets
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, which compress better than numbers."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def unpack(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,7 +133,7 @@ def _features(buckets: int):
             for i in range(buckets):
                 o = order[cut[i] : cut[i + 1]]
                 if len(o):
-                    rows.append((kind, i, block, 0, keys[o].tobytes(), count[o].astype("<u4").tobytes() if count[o].max() < 1 << 32 else count[o].tobytes(), len(o), int(count[o].sum())))
+                    rows.append((kind, i, block, 0, pack(keys[o]), pack(count[o]), len(o), int(count[o].sum())))
         names = [(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in FEATURES.split(", ")]
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(names)})
 
@@ -132,58 +143,70 @@ def _features(buckets: int):
 def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[dict]]:
     """Distinct keys with total counts; for each row of t the places of its keys."""
     rows = t.to_pylist()
-    keys = [np.frombuffer(r["keys"], "<i8") for r in rows]
-    counts = [np.frombuffer(r["counts"], "<u4" if len(r["counts"]) == 4 * r["size"] else "<i8").astype(np.float64) for r in rows]
+    keys = [unpack(r["keys"], "<i8") for r in rows]
+    counts = [unpack(r["counts"], "<i8").astype(np.float64) for r in rows]
     at, own = pd.factorize(np.concatenate(keys))
     total = np.bincount(at, np.concatenate(counts), len(own))
     return np.asarray(own, np.int64), total, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), rows
 
 
-def tree(code: np.ndarray, count: np.ndarray, root: dict[int, tuple[float, float, float]] | None) -> tuple[np.ndarray, dict[int, list[float]]]:
-    """The tree over the grams of whole last-byte contexts, one of the eight decisions at a time and from the deepest node up, so that only a decision's nodes are held.
+def tree(code: np.ndarray, count: np.ndarray, upper: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The tree over the grams of whole contexts of TOP bytes, one of the eight decisions at a time and from the deepest node up, so that only a decision's nodes are held.
 
-    root: weight and estimates of zero and one of the nodes of depth 0. Returns each gram's log10 probability (zeros without root), and for each node of depth 0 the zeros, the ones and the sum of its children's log P_w here.
+    upper: for each depth below TOP a table by context and decision of a node's weight and its estimates of zero and one. Returns each gram's log10 probability (zeros without upper), and a row for each node of depth TOP - 1 here: context and decision, zeros, ones, the sum of its children's log P_w.
     """
-    x, out, top = code & 0xFF, np.zeros(len(code)), {}
-    table = np.full((256, 3), 0.5)
-    for n, v in (root or {}).items():
-        table[n] = v
-    context = [pd.factorize((code >> 8) & ((1 << (8 * d)) - 1))[0].astype(np.int64) << 8 for d in range(DEPTH + 1)]
+    x, out, top = code & 0xFF, np.zeros(len(code)), []
+    context = [pd.factorize((code >> 8) & ((1 << (8 * d)) - 1))[0].astype(np.int64) << 8 for d in range(TOP, DEPTH + 1)]
     for k in range(8):
         node, bit = (x >> (8 - k)) | (1 << k), (x >> (7 - k)) & 1
         below = below_at = p = None
-        for d in range(DEPTH, -1, -1):
-            at, key = pd.factorize(context[d] | node)
+        for d in range(DEPTH, TOP - 1, -1):
+            at, key = pd.factorize(context[d - TOP] | node)
             a = np.bincount(at, count * (bit == 0), len(key))
             b = np.bincount(at, count * (bit == 1), len(key))
-            inside = 0.0
-            if below is not None:
-                parent = np.empty(len(below), np.int64)
-                parent[below_at] = at
-                inside = np.bincount(parent, below, len(key))
-            if d == 0:
-                for n, u, v, w in zip(key & 0xFF, a, b, inside, strict=True):
-                    top[int(n)] = [u, v, w]
-                break
             pe = kt(a, b)
-            estimate = ((np.where(bit == 1, b[at], a[at]) + 0.5) / (a + b + 1)[at])
+            estimate = (np.where(bit == 1, b[at], a[at]) + 0.5) / (a + b + 1)[at]
             if d == DEPTH:
                 below, p = pe, estimate
             else:
-                below = np.logaddexp(HALF + pe, HALF + inside)
+                parent = np.empty(len(below), np.int64)
+                parent[below_at] = at
+                below = np.logaddexp(HALF + pe, HALF + np.bincount(parent, below, len(key)))
                 w = np.exp(HALF + pe - below)[at]
                 p = w * estimate + (1 - w) * p
             below_at = at
-        if root is not None:
-            w = table[node, 0]
-            out += np.log10(w * table[node, 1 + bit] + (1 - w) * p)
-    return out, top
-
-
-def _roots(t: pa.Table) -> pa.Table:
+        at, key = pd.factorize((((code >> 8) & ((1 << (8 * (TOP - 1))) - 1)) << 8) | node)
+        parent = np.empty(len(below), np.int64)
+        parent[below_at] = at
+        top.append(np.stack([key.astype(float), np.bincount(at, count * (bit == 0), len(key)), np.bincount(at, count * (bit == 1), len(key)), np.bincount(parent, below, len(key))], 1))
+        if upper is not None:
+            for d in range(TOP - 1, -1, -1):
+                t = upper[d][(((code >> 8) & ((1 << (8 * d)) - 1)) << 8) | node]
+                p = t[:, 0] * t[np.arange(len(t)), 1 + bit] + (1 - t[:, 0]) * p
+            out += np.log10(p)
+    return out, np.concatenate(top)
+
+
+def uppers(top: np.ndarray) -> list[np.ndarray]:
+    """The tables that tree() wants, from its rows of all buckets."""
+    tables: list[np.ndarray] = []
+    for d in range(TOP - 1, -1, -1):
+        key, at = np.unique(top[:, 0].astype(np.int64), return_inverse=True)
+        a, b, inside = (np.bincount(at, top[:, j], len(key)) for j in (1, 2, 3))
+        pe = kt(a, b)
+        below = np.logaddexp(HALF + pe, HALF + inside)
+        table = np.full((1 << (8 * d + 8), 3), 0.5, np.float64)
+        table[key] = np.stack([np.exp(HALF + pe - below), (a + 0.5) / (a + b + 1), (b + 0.5) / (a + b + 1)], 1)
+        tables.insert(0, table)
+        up = ((key >> 8) & ((1 << (8 * max(0, d - 1))) - 1)) << 8 | (key & 0xFF)
+        top = np.stack([up.astype(float), a, b, below], 1)
+    return tables
+
+
+def _tops(t: pa.Table) -> pa.Table:
     code, count, _, _ = _summed(t)
-    _, root = tree(code, count, None)
-    return pa.table({"node": pa.array(list(root), pa.int32()), "a": pa.array([v[0] for v in root.values()], pa.float64()), "b": pa.array([v[1] for v in root.values()], pa.float64()), "w": pa.array([v[2] for v in root.values()], pa.float64())})
+    _, top = tree(code, count, None)
+    return pa.table({"node": pa.array(top[:, 0].astype(np.int64)), "a": pa.array(top[:, 1]), "b": pa.array(top[:, 2]), "w": pa.array(top[:, 3])})
 
 
 def _words(t: pa.Table) -> pa.Table:
@@ -191,12 +214,12 @@ def _words(t: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([int(count.sum())]), "v": pa.array([int((count > 0).sum())])})
 
 
-def _answers(root: dict[int, tuple[float, float, float]]):
+def _answers(upper):
     def work(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         keys, count, at, rows = _summed(t)
-        value = (tree(keys, count, root)[0] if kind else count).astype("<f8" if not kind else "<f4")
-        return pa.table({"kind": pa.array([kind] * len(rows), pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "part": pa.array([0] * len(rows), pa.int32()), "vals": pa.array([value[i].tobytes() for i in at], pa.binary())})
+        value = tree(keys, count, upper.value)[0].astype("<f4") if kind else count.astype("<i8")
+        return pa.table({"kind": pa.array([kind] * len(rows), pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "part": pa.array([0] * len(rows), pa.int32()), "vals": pa.array([pack(value[i]) for i in at], pa.binary())})
 
     return work
 
@@ -206,7 +229,7 @@ def _scores(buckets: int):
         got = {}
         for kind in (0, 1):
             rows = sorted((r["bucket"], r["vals"]) for r in answers.filter(pa.compute.equal(answers.column("kind"), kind)).to_pylist())
-            got[kind] = np.concatenate([np.frombuffer(v, "<f4" if kind else "<f8") for _, v in rows] or [np.zeros(0)]).astype(np.float64)
+            got[kind] = np.concatenate([unpack(v, "<f4" if kind else "<i8") for _, v in rows] or [np.zeros(0)]).astype(np.float64)
         # Again the block's distinct keys in the order in which it asked; each part keeps its places in them.
         parts = []
         for _, p in _parts(docs):
@@ -235,20 +258,20 @@ def _scores(buckets: int):
 def ctw_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; learns from rows where held_out is false."""
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
+    buckets = group_count(docs)
     blocks = BLOCKS * buckets
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("block", block)
+    dealt = lambda df, *by: df.repartition(buckets, *by) if buckets > shuffle_parts(spark) else df
+    docs = dealt(docs, "block")
     seen = written(docs.groupBy("block").applyInArrow(_features(buckets), FEATURES), "features")
     trained = docs.where("not held_out").count()
-    words = seen.where("kind = 0").groupBy("bucket").applyInArrow(_words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    words = dealt(seen.where("kind = 0"), "bucket").groupBy("bucket").applyInArrow(_words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = (words[0] or 0) + trained, (words[1] or 0) + (trained > 0)
-    roots = seen.where("kind = 1").groupBy("bucket").applyInArrow(_roots, "node int, a double, b double, w double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()
-    root = {}
-    for r in roots:
-        pe = float(kt(np.array([r.a]), np.array([r.b]))[0])
-        root[r.node] = (math.exp(HALF + pe - np.logaddexp(HALF + pe, HALF + r.w)), (r.a + 0.5) / (r.a + r.b + 1), (r.b + 0.5) / (r.a + r.b + 1))
-    answers = seen.groupBy("kind", "bucket").applyInArrow(_answers(root), ANSWERS)
+    # At most 65,280 rows reach the driver, whatever the corpus.
+    top = dealt(seen.where("kind = 1"), "bucket").groupBy("bucket").applyInArrow(_tops, "node long, a double, b double, w double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w"))
+    upper = spark.sparkContext.broadcast(uppers(top.toPandas().to_numpy(np.float64)))
+    answers = dealt(seen, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answers(upper), ANSWERS)
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(buckets), "doc_id long, held_out boolean, n_words long, n_known_words long, log_counts double, score double, n_bytes long")
     tokens = F.col("n_words") + 1
     base = F.col("log_counts") + F.lit(math.log10(trained + 1)) - tokens * F.lit(math.log10(n + v + 1))

@@ -159,10 +159,11 @@ def test_ctw(docs, rows):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False for d, *_ in rows}
     count = collections.Counter(w for d, t, *_ in rows if not held[d] for w in [*words(t), b"\n"])
     n, v = sum(count.values()), len(count)
+    got = by_id(ctw.op5(docs))
     for d, t, *_ in rows:
-        r = by_id(ctw.op5(docs))[d] if d == 0 else None
-        if r:
-            assert r.train_tokens == n and r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*words(t), b"\n"]))
+        r, w = got[d], [*words(t), b"\n"]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(count[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
 
 
 def test_ctw_is_the_tree_mixture():
@@ -198,12 +199,66 @@ def test_ctw_is_the_tree_mixture():
 
     keys, counts = np.unique(code, return_counts=True)
     _, top = ctw.tree(keys, counts.astype(float), None)
-    root = {n: (math.exp(ctw.HALF + kt(a, b) - np.logaddexp(ctw.HALF + kt(a, b), ctw.HALF + w)), (a + 0.5) / (a + b + 1), (b + 0.5) / (a + b + 1)) for n, (a, b, w) in top.items()}
-    got, _ = ctw.tree(keys, counts.astype(float), root)
+    got, _ = ctw.tree(keys, counts.astype(float), ctw.uppers(top))
     for g, v in list(zip(keys.tolist(), got, strict=True))[:4]:
         assert v == pytest.approx(sum(math.log10(p(g, k)) for k in range(8)), abs=1e-6)
 
 
+def plain_ctw(rows):
+    """Every column of the query from nodes in a dictionary, filled and mixed one decision at a time."""
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False for d, _ in rows]
+    count = collections.Counter(w for (_, t), h in zip(rows, held, strict=True) if not h for w in [*words(t), b"\n"])
+    n, v = sum(count.values()), len(count)
+    nodes, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def paths(t):
+        pad = b"\n" * ctw.DEPTH + b" ".join(words(t)) + b"\n"
+        for i in range(ctw.DEPTH, len(pad)):
+            for k in range(8):
+                yield [(pad[i - d : i], (pad[i] >> (8 - k)) | (1 << k)) for d in range(ctw.DEPTH + 1)], (pad[i] >> (7 - k)) & 1
+
+    for (_, t), h in zip(rows, held, strict=True):
+        for path, bit in paths(t):
+            for d, x in enumerate(path):
+                nodes[x][bit] += not h
+                if d:
+                    children[path[d - 1]].add(x)
+    weighted = {}
+    for x in sorted(nodes, key=lambda x: -len(x[0])):
+        a, b = nodes[x]
+        pe = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        weighted[x] = pe if len(x[0]) == ctw.DEPTH else math.log(0.5) + np.logaddexp(pe, sum(weighted[y] for y in children[x]))
+    out = []
+    for (d, t), h in zip(rows, held, strict=True):
+        score = 0.0
+        for path, bit in paths(t):
+            p = None
+            for x in reversed(path):
+                a, b = nodes[x]
+                own = (nodes[x][bit] + 0.5) / (a + b + 1)
+                if p is None:
+                    p = own
+                else:
+                    w = math.exp(math.log(0.5) + math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) - weighted[x])
+                    p = w * own + (1 - w) * p
+            score += math.log10(p)
+        w = [*words(t), b"\n"]
+        out.append((d, h, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), score))
+    return out
+
+
+def test_ctw_query(spark):
+    """All columns of every row against the plain model: copies, repeated rows, blanks, nulls and a long text."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randrange(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(1, 30)))) for i in range(25)]
+    rows += [(3, rows[3][1]), (40, rows[4][1].upper()), (41, None), (42, ""), (None, "ab a"), (43, "a b " * 300)]
+    got = sorted(ctw.op5(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("bits_per_byte").collect(), key=lambda x: (x[0] is None, x[0] or 0))
+    for g, w in zip(got, sorted(plain_ctw(rows), key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+        assert tuple(g)[:5] == w[:5]
+        assert g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6], rel=1e-4)
+
+
 def test_license_scan(spark):
     t = "some words here\n" * 20 + "Licensed under the Apache License, Version 2.0.\n" + "more words\n" * 9
     got = license_scan.license_scan(spark.createDataFrame([(1, t), (2, "Released under the mit license!"), (3, "a license of the version under"), (4, None), (5, "")], "doc_id long, text string")).collect()
