@@ -13,7 +13,6 @@ Cases: null text is empty; texts shorter than WINDOW lose nothing; repeated rows
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -22,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, raw, shuffle_parts
+from .common import group_count, id_text, raw, shuffle_parts
 
 WINDOW = 50
 K = 24
@@ -33,7 +32,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 ANCHORS = "bucket int, block int, hashes binary, many binary"
 PHRASES = "bucket int, block int, meta binary, bytes binary"
 SPANS = "block int, meta binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 CHUNK = 4 << 20
@@ -350,30 +349,38 @@ def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
     found = np.concatenate([np.frombuffer(m, "<i8").reshape(-1, 3) for m in spans.column("meta").to_pylist()] or [np.zeros((0, 3), np.int64)])
     found = found[np.argsort(found[:, 0], kind="stable")]
     cut = np.searchsorted(found[:, 0], np.arange(len(texts) + 1))
-    n_removed, n_spans, digest = [], [], []
+    spans_of, kept = [], []
     for i, x in enumerate(texts):
         if cut[i] == cut[i + 1]:
-            n_removed.append(0)
-            n_spans.append(0)
-            digest.append(hashlib.sha256(x).hexdigest())
+            spans_of.append([])
+            kept.append(x)
             continue
         step = np.zeros(len(x) + 1, np.int64)
         np.add.at(step, found[cut[i] : cut[i + 1], 1], 1)
         np.add.at(step, found[cut[i] : cut[i + 1], 2], -1)
         gone = np.cumsum(step[:-1]) > 0
-        n_removed.append(int(gone.sum()))
-        n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-        digest.append(hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest())
-    return pa.table({"doc_id": t.column("doc_id"), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+        spans_of.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+        kept.append(np.frombuffer(x, np.uint8)[~gone].tobytes())
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.table({"doc_id": t.column("doc_id"), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "spans": pa.array(spans_of, kind), "kept": pa.array(kept, pa.binary())})
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, spans (removed bytes, maximal runs) and kept (the remaining bytes) of every row. kept is binary, as a removed run may end inside a character."""
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
+    buckets = group_count(docs)
+    dealt = lambda df, by: df.repartition(buckets, by) if buckets > shuffle_parts(spark) else df
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS * buckets)).cast("int")
-    docs = id_text(docs).withColumn("block", block).repartition("block")  # one exchange, used three times
-    found = docs.groupBy("block").applyInArrow(_anchor_rows(buckets), ANCHORS).groupBy("bucket").applyInArrow(_shared, ANCHORS)
+    docs = id_text(docs).withColumn("block", block)
+    docs = docs.repartition(buckets, "block") if buckets > shuffle_parts(spark) else docs.repartition("block")  # one exchange, used three times
+    found = dealt(docs.groupBy("block").applyInArrow(_anchor_rows(buckets), ANCHORS), "bucket").groupBy("bucket").applyInArrow(_shared, ANCHORS)
     phrases = docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_phrase_rows(buckets), PHRASES)
-    spans = phrases.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeats, SPANS).union(phrases.where("bucket < 0").select("block", "meta"))
+    spans = dealt(phrases.where("bucket >= 0"), "bucket").groupBy("bucket").applyInArrow(_repeats, SPANS).union(phrases.where("bucket < 0").select("block", "meta"))
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_removed, RESULT)
+
+
+def op4(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, from the spans and kept bytes."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return suffix_dedup(docs).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -52,7 +52,7 @@ def by_id(df):
 
 
 ALL = {
-    "join": ngram_join.ngram_join, "lang": language_id.op2, "mix": mixing.mix, "suffix": suffix_dedup.suffix_dedup, "ctw": ctw.op5, "license": license_scan.license_scan,
+    "join": ngram_join.ngram_join, "lang": language_id.op2, "mix": mixing.mix, "suffix": suffix_dedup.op4, "ctw": ctw.op5, "license": license_scan.license_scan,
     "dedup": exact_dedup.exact_dedup, "files": token_files.token_files, "bpe": byte_bpe.byte_bpe, "quality": quality_rules.op10,
 }
 
@@ -143,7 +143,7 @@ def test_suffix_array():
 
 
 def test_suffix_dedup(docs, rows, monkeypatch):
-    got = by_id(suffix_dedup.suffix_dedup(docs))
+    got, out = by_id(suffix_dedup.op4(docs)), by_id(suffix_dedup.suffix_dedup(docs))
     first = {}
     for d, t, *_ in sorted(rows, key=lambda x: (x[0] is None, x[0])):
         b = (t or "").encode()
@@ -153,6 +153,7 @@ def test_suffix_dedup(docs, rows, monkeypatch):
                 gone[i : i + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest())
+        assert bytes(out[d].kept) == kept and [i for x in out[d].spans for i in range(x.start, x.end)] == [i for i, g in enumerate(gone) if g]
 
 
 def test_ctw(docs, rows):
