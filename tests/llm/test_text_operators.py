@@ -367,3 +367,43 @@ def test_ngram_join_goes_by_texts_not_ids(spark):
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True).collect()
     key = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(map(tuple, got), key=key) == sorted(joined(rows), key=key)
+
+
+def test_license_scan_against_all_stretches(spark):
+    """Every stretch of a template's length that holds enough of it is found, whatever its place, and nothing else is; counts are those of the words themselves."""
+    r = random.Random(21)
+    word = lambda: r.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(r.randrange(40))
+    sizes = (3, 5, 6, 8, 9, 13, 17, 30, 47, 90, 150)
+    templates = tuple((f"t{n}", " ".join(word() for _ in range(n))) for n in sizes)
+    rows = [(1, None), (2, ""), (3, "one two")]
+    for i in range(120):
+        name, text = r.choice(templates)
+        w = text.split()
+        for _ in range(r.randrange(1 + len(w) // 20)):
+            w[r.randrange(len(w))] = word()
+        rows.append((10 + i, " ".join([*(word() for _ in range(r.randrange(90))), *w, *(word() for _ in range(r.randrange(90)))])))
+    rows += [rows[-1], (None, templates[5][1].upper() + "!")]
+    want = set()
+    for d, t in rows:
+        w = license_scan.words((t or "").encode())
+        for name, text in templates:
+            x = license_scan.words(text.encode())
+            k = min(5, len(x))
+            mine, theirs = ([tuple(y[i : i + k]) for i in range(len(y) - k + 1)] for y in (x, w))
+            if any(len({*mine} & {*theirs[i : i + len(mine)]}) >= 0.75 * len({*mine}) for i in range(len(theirs))):
+                want.add((d, name))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), templates).collect()
+    texts = dict(rows)
+    assert want and {(g.doc_id, g.license_id) for g in got} >= want
+    for g in got:
+        w, x = license_scan.words(texts[g.doc_id].encode()), license_scan.words(dict(templates)[g.license_id].encode())
+        k = min(5, len(x))
+        mine, theirs = ({tuple(y[i : i + k]) for i in range(len(y) - k + 1)} for y in (x, w[g.start_word : g.end_word]))
+        assert len(mine & theirs) / len(mine) == pytest.approx(g.containment) and g.containment >= 0.75
+    assert sum(g.doc_id == rows[-2][0] for g in got) == 2 * len({n for d, n in want if d == rows[-2][0]})
+
+
+def test_license_bands_catch_the_worst_pair():
+    for size in (1, 2, 4, 8, 64, 1024):
+        j = license_scan.worst(size)
+        assert j >= 1 / 3 and (j == 1 or 1 - (1 - j**license_scan.ROWS) ** license_scan.n_bands(size) >= license_scan.CATCH)
