@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op4(documents(spark, sf_dir)),
         "op5_ctw_scoring": lambda spark, sf_dir: ctw.op5(documents(spark, sf_dir)),
         "op6_license_scan": lambda spark, sf_dir: license_scan.license_scan(documents(spark, sf_dir)),
-        "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
+        "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.op7(documents(spark, sf_dir)),
         "op8_token_files": lambda spark, sf_dir: token_files.token_files(documents(spark, sf_dir)),
         "op9_byte_bpe": lambda spark, sf_dir: byte_bpe.byte_bpe(documents(spark, sf_dir)),
         "op10_quality_rules": lambda spark, sf_dir: quality_rules.op10(documents(spark, sf_dir)),

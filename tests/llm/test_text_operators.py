@@ -407,3 +407,17 @@ def test_license_bands_catch_the_worst_pair():
     for size in (1, 2, 4, 8, 64, 1024):
         j = license_scan.worst(size)
         assert j >= 1 / 3 and (j == 1 or 1 - (1 - j**license_scan.ROWS) ** license_scan.n_bands(size) >= license_scan.CATCH)
+
+
+def test_runs_merge_without_sorting():
+    """A merge of sorted runs holds each key once, in order, with the row that stays and all rows counted."""
+    r = random.Random(9)
+    for _ in range(60):
+        rows = [(bytes([r.randrange(6), 0]).ljust(48, b"\0"), -r.randrange(3), r.randrange(2), r.randrange(4), r.randrange(2), i) for i in range(r.randrange(1, 40))]
+        runs = [exact_dedup._records(rows[i::5], i) for i in range(5) if rows[i::5]]
+        got = exact_dedup.merged(runs)
+        want = {}
+        for i, (k, *x, pos) in enumerate(rows):
+            want.setdefault(k, []).append((*x, i % 5, pos))
+        assert [k.ljust(48, b"\0") for k in got["key"].tolist()] == sorted(want)
+        assert [(tuple(int(g[f]) for f in exact_dedup.STAYS), int(g["n_rows"])) for g in got] == [(min(want[k]), len(want[k])) for k in sorted(want)]
