@@ -25,11 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Of repeated rows one stays; a null doc_id counts as a value."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(f"{MARK}id"), F.col("text_sha256").alias(f"{MARK}sha"))
+    """One document of each group of equal texts, the row that the operator keeps. Of rows with one doc_id and text one stays; a null doc_id counts as a value; null text counts as empty."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(f"{MARK}id"), F.col("text_sha256").alias(f"{MARK}sha"), F.col("text_hash").alias(f"{MARK}hash"))
     rows = with_digest(docs, f"{MARK}digest")
-    stay = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{MARK}id")) & (F.col(f"{MARK}digest") == F.col(f"{MARK}sha")), "left_semi")
-    return stay.dropDuplicates(["doc_id", f"{MARK}digest"]).select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{MARK}id")) & (F.col(f"{MARK}digest") == F.col(f"{MARK}sha")) & (F.col(f"{MARK}digest_text") == F.col(f"{MARK}hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{MARK}digest"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
