@@ -2,7 +2,8 @@
 
 A byte string's tokens are computed by halves: both halves are encoded and joined. To join, a window of k tokens on either side of the seam is encoded anew, and k doubles until the outermost tokens of the window come out unchanged.
 That is a proof: a sequence is the encoding of its bytes exactly if every two neighbours are the encoding of theirs; inside the window this holds by construction, outside because the halves are encodings, and at the window's edges because the edge tokens stayed.
-Decoding concatenates halves up the same tree.
+Leaves are single bytes: every match that isn't a token itself, as the ranks' own library takes it, goes through the tree. Short windows and parts that were joined before are remembered in bounded tables.
+Decoding concatenates the tokens' bytes up a tree of FAN branches.
 
 Texts are cut into matches of the public pattern. Each match is encoded on its own, once, and remembered in a bounded table; pieces that the pattern is certain to cut are found first with a cheaper expression.
 
@@ -25,8 +26,10 @@ from .common import id_text, small, vocabulary_path
 from .token_files import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LEAF = 12
+FAN = 16
 CACHE = 1_000_000
+WINDOWS, WINDOW_BYTES = 1 << 16, 16  # windows remembered, and the longest of them
+PARTS, PART_BYTES = 1 << 17, 6  # parts of matches remembered, and the longest of them
 _MODELS: dict[tuple[str, str, int], "ByteBPE"] = {}
 
 
@@ -40,6 +43,8 @@ class ByteBPE:
             self.bytes_of[i] = token
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.windows: dict[bytes, list[bytes]] = {}
+        self.parts: dict[bytes, list[bytes]] = {}
 
     def merged(self, b: bytes) -> list[bytes]:
         """Tokens of b by merging the pair of lowest rank, leftmost first."""
@@ -80,22 +85,41 @@ class ByteBPE:
             i = end[i]
         return out
 
+    def window(self, b: bytes) -> list[bytes]:
+        """Tokens of a window, remembered where it is short."""
+        found = self.windows.get(b)
+        if found is None:
+            found = self.merged(b)
+            if len(b) <= WINDOW_BYTES:
+                if len(self.windows) >= WINDOWS:
+                    self.windows.clear()
+                self.windows[b] = found
+        return found
+
     def tokens(self, b: bytes) -> list[bytes]:
         """Tokens of one match by the tree."""
-        if b in self.ranks:
-            return [b]
-        if len(b) <= LEAF:
-            return self.merged(b)
-        half = len(b) // 2
-        return self.join(self.tokens(b[:half]), self.tokens(b[half:]))
+        return [b] if b in self.ranks else self.tree(b)
+
+    def tree(self, b: bytes) -> list[bytes]:
+        """Tokens of a match or a part of one; those of short parts, which many matches have, are remembered. A part is no match: that it is a token does not make it one."""
+        found = self.parts.get(b)
+        if found is None:
+            n = len(b)
+            if n < 2:
+                return [b] if b else []
+            found = self.join(self.tree(b[: n // 2]), self.tree(b[n // 2 :]))
+            if n <= PART_BYTES:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                self.parts[b] = found
+        return found
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        if not left or not right:
-            return left or right
+        """Encoding of the bytes of two encodings side by side."""
         k = 1
         while True:
             i, j = max(0, len(left) - k), min(k, len(right))
-            window = self.merged(b"".join(left[i:]) + b"".join(right[:j]))
+            window = self.window(b"".join(left[i:] + right[:j]))
             if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
                 return left[:i] + window + right[j:]
             k *= 2
@@ -113,10 +137,10 @@ class ByteBPE:
             return b"".join(known[p] if p in known else self.encode(p) for p in cut)
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        parts = [self.bytes_of[i] for i in ids]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+        return parts[0] if parts else b""
 
 
 def model(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:

@@ -421,3 +421,20 @@ def test_runs_merge_without_sorting():
             want.setdefault(k, []).append((*x, i % 5, pos))
         assert [k.ljust(48, b"\0") for k in got["key"].tolist()] == sorted(want)
         assert [(tuple(int(g[f]) for f in exact_dedup.STAYS), int(g["n_rows"])) for g in got] == [(min(want[k]), len(want[k])) for k in sorted(want)]
+
+
+def test_byte_bpe_takes_every_match_through_the_tree(monkeypatch):
+    """Of each new match that is no token, n bytes are joined by n - 1 joins, less those of parts that are remembered; a megabyte text and its decoding agree with the library."""
+    import public_tokenizers
+    import tiktoken
+
+    bpe = byte_bpe.ByteBPE(vocabulary_path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    n, join = [0], byte_bpe.ByteBPE.join
+    monkeypatch.setattr(byte_bpe.ByteBPE, "join", lambda self, a, b: (n.__setitem__(0, n[0] + 1), join(self, a, b))[1])
+    word = "qzxjvkwbfy"
+    assert b"".join(bpe.tokens(word.encode())) == word.encode() and n[0] == len(word) - 1
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(5)
+    text = " ".join("".join(r.choice("abcdehiklmnoprstuéß中") for _ in range(r.randrange(1, 14))) for _ in range(120_000))
+    ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
+    assert ids == enc.encode_ordinary(text) and bpe.decode(ids) == text.encode() and bpe.decode([]) == b""
