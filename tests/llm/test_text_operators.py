@@ -313,7 +313,56 @@ def test_quality_rules():
             ids += [known.setdefault(x, len(known)) for x in w]
             start.append(len(ids))
             want += [max([next((k for k in range(len(w)) if i + k >= len(w) or j + k >= len(w) or w[i + k] != w[j + k]), 0) for j in range(len(w)) if j != i], default=0) for i in range(len(w))]
-        assert quality_rules.repeats(np.array(ids, np.int64), np.array(start)).tolist() == want
+        a, s = np.array(ids, np.int64), np.array(start)
+        order, at, lcp = quality_rules.suffixes(a, s)
+        assert quality_rules.repeats(order, at, lcp).tolist() == want
+        # Maximal repeats by definition: no longer one begins a word before, or ends a word after, all of its places.
+        length, found = quality_rules.maximal_repeats(a, s, order, at, lcp, 2)
+        least = []
+        for t in texts:
+            w, places = t.split(), collections.defaultdict(list)
+            for i in range(len(w)):
+                for k in range(2, len(w) - i + 1):
+                    places[tuple(w[i : i + k])].append(i)
+            for x, p in places.items():
+                if len(p) > 1 and (0 in p or len({w[i - 1] for i in p}) > 1) and len({w[i + len(x)] if i + len(x) < len(w) else None for i in p}) > 1:
+                    least.append((len(x), len(p)))
+        assert sorted((k, n) for k, n, _ in found) == sorted(least)
+        assert (quality_rules.covered(length) == quality_rules.covered(np.where(np.array(want, int) >= 2, want, 0) if want else length)).all()
+
+
+def plain_quality(text):
+    """Every column of the query for one text, from its words and all pairs of places."""
+    text = text or ""
+    w = text.encode().split()
+    n, lines = len(w), [x for x in text.encode().split(b"\n") if x.split()]
+    same = [max([next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), 0) for j in range(n) if j != i], default=0) for i in range(n)]
+    over = lambda spans: sum(any(a <= i < a + k for a, k in spans) for i in range(n))
+    in3 = over([(i, 3) for i in range(n) if same[i] >= 3])
+    failed = n < 50 or 100 * in3 > 50 * n
+    long = [(i, same[i]) for i in range(n) if same[i] >= quality_rules.MIN_REPEAT]
+    cover, longest = over(long), max([k for _, k in long], default=0)
+    kept = not failed and cover <= quality_rules.MAX_COVER * n and longest <= quality_rules.MAX_LONGEST * n
+    chars = sum(len(x.decode()) for x in w)
+    return n, chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len({*lines}), in3, failed, kept, cover, longest
+
+
+def test_quality_query(spark):
+    """All columns of every row against the plain rules: repeats within and across lines, blanks, nulls, repeated rows, symbols, other white space."""
+    r = random.Random(12)
+    word = lambda: r.choice(["a", "bé", "c#", "dd", "<e>", "f"]) + str(r.randrange(60))
+    rows = [(1, None), (2, ""), (3, " \n\t\x0b "), (4, "x y z " * 30), (5, "one\n\none\n two \n two \nthree\r")]
+    for i in range(60):
+        w = [word() for _ in range(r.randrange(30, 130))]
+        if r.random() < 0.6:
+            k, m = r.randrange(len(w)), r.randrange(5, 45)
+            w[r.randrange(len(w)) :] += w[k : k + m]
+        rows.append((10 + i, "".join(x + r.choice([" ", " ", "  ", "\n", "\t"]) for x in w)))
+    rows += [rows[-1], (None, rows[20][1])]
+    got = quality_rules.op10(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("n_maximal").collect()
+    key = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(((d, *plain_quality(t)) for d, t in rows), key=key)
+    assert len({x.kept for x in got if not x.base_failed}) == 2
 
 
 def test_pipeline(spark, rows, tmp_path):
