@@ -1,9 +1,9 @@
 """Language identification by nearest centroid.
 
 Texts become hashed byte n-grams (ASCII letters lower-cased, other ASCII characters a space), weighted by TF-IDF and normalised to length 1. Each language has up to CENTROIDS centroids, found by spherical k-means; a text takes the language of the centroid of greatest cosine, which is its score. A text whose cosine falls below its centroid's rejection bound (from the training sample's own distances) is marked rejected; its best language is still reported.
-Document frequencies cover all training documents. The k-means fit takes at most SAMPLE documents a language, chosen by a hash of doc_id.
+Document frequencies cover all training documents. The k-means fit takes at most SAMPLE distinct documents a language, those of least hash of doc_id and text. Their n-gram counts are made on the executors, so what reaches the driver is at most SAMPLE vectors of DIMS counts a language, however long their texts are, and one row a dimension and a language.
 
-Cases: null text and texts without a letter are 'und' with score 0; null lang is not learnt from; repeated rows count each; without training documents everything is 'und'; an empty table gives no rows; very long texts are counted whole.
+Cases: null text and texts without a letter are 'und' with score 0; null lang is not learnt from; of equal cosines the language that comes first by name wins, and of its centroids the first; repeated rows count each in the frequencies and once in the sample; without training documents everything is 'und'; an empty table gives no rows; very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, raw, small
@@ -100,6 +100,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"lang": pa.array([None] * len(dims) + list(n), pa.string()), "dim": pa.array([*dims.tolist(), *[-1] * len(n)], pa.int32()), "n": pa.array([*df[dims].tolist(), *n.values()], pa.int64())})
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each text with a letter, as its dimensions and their counts."""
+    for b in small(batches, 250, 8 << 20):
+        b = b.filter(pa.array([bool(_LETTER.search(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+        x = features(raw(b.column("text")))
+        dims = [np.flatnonzero(v) for v in x]
+        yield pa.RecordBatch.from_pydict({"h": b.column("h"), "lang": b.column("lang"), "dims": pa.array([d.astype("<u2").tobytes() for d in dims], pa.binary()), "counts": pa.array([v[d].astype("<f4").tobytes() for v, d in zip(x, dims, strict=True)], pa.binary())})
+
+
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     """train: doc_id, text, lang. Sums one row a dimension and a language over all of it; then fits on the sample."""
     train = train.where("lang is not null and text is not null")
@@ -113,14 +122,18 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
             df[r.dim] = r.n
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
     # A hash below a language's share keeps about twice the sample; the least hashes of these are the sample.
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 40) * min(1.0, (2 * sample + 50) / n)))])
-    rows = train.withColumn("h", h).where(F.col("h") < share[F.col("lang")]).select("h", "lang", "text").collect()
+    rows = train.select(h.alias("h"), "lang", "text").where(F.col("h") < share[F.col("lang")]).mapInArrow(_vectors, "h long, lang string, dims binary, counts binary").dropDuplicates(["lang", "h"])
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample).collect()
     langs, centres, of, low = sorted(counts), [], [], []
     for i, lang in enumerate(langs):
-        texts = [r.text.encode() for r in sorted((r for r in rows if r.lang == lang and _LETTER.search(r.text)), key=lambda r: (r.h, r.text))[:sample]]
-        if texts:
-            c, bound = centroids(np.concatenate([vectors(features(texts[j : j + 100]), idf) for j in range(0, len(texts), 100)]))
+        mine = sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)
+        if mine:
+            x = np.zeros((len(mine), DIMS), np.float32)
+            for j, r in enumerate(mine):
+                x[j, np.frombuffer(r.dims, "<u2")] = np.frombuffer(r.counts, "<f4")
+            c, bound = centroids(vectors(x, idf))
             centres.append(c)
             low.append(bound)
             of += [i] * len(c)

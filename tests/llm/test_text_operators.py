@@ -487,3 +487,56 @@ def test_byte_bpe_takes_every_match_through_the_tree(monkeypatch):
     text = " ".join("".join(r.choice("abcdehiklmnoprstuéß中") for _ in range(r.randrange(1, 14))) for _ in range(120_000))
     ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
     assert ids == enc.encode_ordinary(text) and bpe.decode(ids) == text.encode() and bpe.decode([]) == b""
+
+
+def tongues(n=400, seed=3):
+    """Texts in four invented languages, with copies, repeated rows, nulls and a very long text."""
+    r = random.Random(seed)
+    alphabets = {"aa": "abekimno", "bb": "dfghilos", "cc": "éèçaetru", "dd": "жзиклмно"}
+    lexicon = {k: ["".join(r.choice(v) for _ in range(r.randrange(2, 8))) for _ in range(300)] for k, v in alphabets.items()}
+    rows = []
+    for i in range(n):
+        lang = r.choice([*alphabets])
+        text = " ".join(r.choice(lexicon[lang]) for _ in range(r.randrange(3, 60)))
+        rows.append((i, text, r.choice([lang, lang, lang, None]), lang))
+    rows.append((n, " ".join(r.choice(lexicon["cc"]) for _ in range(150_000)), "cc", "cc"))
+    return rows + [rows[5]] * 40 + [(None, rows[7][1], "aa", rows[7][3]), (n + 1, None, "aa", "und"), (n + 2, "12 !?", "bb", "und")]
+
+
+def test_language_id_of_held_out_documents(spark):
+    """Held-out documents get their language; scores and rejections are those of a plain loop over the model's centroids."""
+    rows = tongues()
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string").repartition(3)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    model = language_id.fit(docs.where(~language_id.F.coalesce(language_id.crc_mod(4) == 2, language_id.F.lit(False))))
+    truth = {(d, t): lang for d, t, _, lang in rows}
+    texts = {d: t for d, t, *_ in rows}
+    right = seen = 0
+    for g in language_id.op2(docs).collect():
+        assert g.held_out == held(g.doc_id)
+        want = truth[g.doc_id, texts[g.doc_id]]
+        if g.held_out:
+            seen += 1
+            right += g.lang_pred == want
+        if want == "und":
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        b = texts[g.doc_id].encode().translate(language_id._TABLE)
+        b = b" " + b" ".join(b.split()) + b" "
+        count = [0.0] * language_id.DIMS
+        for k in language_id.ORDERS:
+            for i in range(len(b) - k + 1):
+                code = 0
+                for c in b[i : i + k]:
+                    code = (code * 257 + c) % 2**32
+                count[((code * 2654435761 + k * 40503) % 2**32) >> (32 - language_id.DIMS.bit_length() + 1)] += 1
+            if len(b) > 10_000:
+                break
+        if len(b) > 10_000:
+            continue
+        x = [math.log1p(c) * w for c, w in zip(count, model.idf, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x))
+        cosine = [sum(v * c for v, c in zip(x, centre, strict=True) if v) / norm for centre in model.centres]
+        best = max(range(len(cosine)), key=lambda j: cosine[j])
+        assert g.score == pytest.approx(cosine[best], abs=1e-4) and max(cosine[j] for j in range(len(cosine)) if model.langs[model.of[j]] == g.lang_pred) == pytest.approx(cosine[best], abs=1e-5)
+    assert seen > 50 and right >= 0.98 * seen
