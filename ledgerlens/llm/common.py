@@ -106,6 +106,12 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The place of each word among the distinct ones, and these in order of their first use."""
+    d = pa.array(words, pa.binary()).dictionary_encode() if words else None
+    return (d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()) if words else (np.zeros(0, np.int64), [])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

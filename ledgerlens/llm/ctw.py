@@ -19,18 +19,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, group_count, lower_words, raw, shuffle_parts, written
+from .common import crc_mod, group_count, hash64, lower_words, numbered, raw, shuffle_parts, tidy, written
 
 DEPTH = 6
 TOP = 2
 HALF = math.log(0.5)
-FEATURES = "kind int, bucket int, block int, part int, keys binary, counts binary, size int, tokens long"
-ANSWERS = "kind int, block int, bucket int, part int, vals binary"
+FEATURES = "kind int, bucket int, block int, keys binary, counts binary"
+GATHERED = "kind int, bucket int, blocks array<int>, keys array<binary>, counts array<binary>"
+ANSWERS = "kind int, block int, bucket int, vals binary"
 BLOCKS = 2  # blocks of documents to a shuffle partition
 PARTS = 16  # a block's documents are taken in this many parts at most, so that memory is bounded by a part
 
@@ -88,14 +88,13 @@ def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def vocab(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each distinct word, and each text's words by place in it, with the texts' sizes."""
-    known: dict[bytes, int] = {}
-    ids, size = [], []
+    every, size = [], []
     for t in texts:
         w = lower_words(t)
-        ids.extend([known.setdefault(x, len(known)) for x in w])
+        every += w
         size.append(len(w))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in known), np.int64, len(known))
-    return h, np.array(ids, np.int64), np.array(size, np.int64)
+    at, known = numbered(every)
+    return (hash64(known) >> np.uint64(1)).view(np.int64), at, np.array(size, np.int64)
 
 
 def _parts(docs: pa.Table) -> Iterator[tuple[int, pa.Table]]:
@@ -133,21 +132,26 @@ def _features(buckets: int):
             for i in range(buckets):
                 o = order[cut[i] : cut[i + 1]]
                 if len(o):
-                    rows.append((kind, i, block, 0, pack(keys[o]), pack(count[o]), len(o), int(count[o].sum())))
-        names = [(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in FEATURES.split(", ")]
+                    rows.append((kind, i, block, pack(keys[o]), pack(count[o])))
+        names = [(f.split()[0], {"int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in FEATURES.split(", ")]
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(names)})
 
     return work
 
 
-def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[dict]]:
-    """Distinct keys with total counts; for each row of t the places of its keys."""
-    rows = t.to_pylist()
-    keys = [unpack(r["keys"], "<i8") for r in rows]
-    counts = [unpack(r["counts"], "<i8").astype(np.float64) for r in rows]
+def _gathered(t: pa.Table) -> pa.Table:
+    """All that blocks reported to one bucket, as one row."""
+    one = lambda c, kind: pa.array([t.column(c).to_pylist()], pa.list_(kind))
+    return pa.table({"kind": t.column("kind").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "blocks": one("block", pa.int32()), "keys": one("keys", pa.binary()), "counts": one("counts", pa.binary())})
+
+
+def _summed(r: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of a bucket with total counts; for each of its blocks the places of the block's keys."""
+    keys = [unpack(x, "<i8") for x in r["keys"]]
+    counts = [unpack(x, "<i8").astype(np.float64) for x in r["counts"]]
     at, own = pd.factorize(np.concatenate(keys))
     total = np.bincount(at, np.concatenate(counts), len(own))
-    return np.asarray(own, np.int64), total, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), rows
+    return np.asarray(own, np.int64), total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def tree(code: np.ndarray, count: np.ndarray, upper: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -203,23 +207,27 @@ def uppers(top: np.ndarray) -> list[np.ndarray]:
     return tables
 
 
-def _tops(t: pa.Table) -> pa.Table:
-    code, count, _, _ = _summed(t)
-    _, top = tree(code, count, None)
-    return pa.table({"node": pa.array(top[:, 0].astype(np.int64)), "a": pa.array(top[:, 1]), "b": pa.array(top[:, 2]), "w": pa.array(top[:, 3])})
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
 
 
-def _words(t: pa.Table) -> pa.Table:
-    _, count, _, _ = _summed(t)
-    return pa.table({"n": pa.array([int(count.sum())]), "v": pa.array([int((count > 0).sum())])})
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the buckets of words their training tokens and distinct words (node -1); of those of grams the nodes of depth TOP - 1."""
+    for r in _each(batches):
+        keys, count, _ = _summed(r)
+        top = tree(keys, count, None)[1] if r["kind"] else np.array([[-1, count.sum(), (count > 0).sum(), 0]], np.float64)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(top[:, 0].astype(np.int64)), "a": pa.array(top[:, 1]), "b": pa.array(top[:, 2]), "w": pa.array(top[:, 3])})
 
 
 def _answers(upper):
-    def work(t: pa.Table) -> pa.Table:
-        kind = t.column("kind")[0].as_py()
-        keys, count, at, rows = _summed(t)
-        value = tree(keys, count, upper.value)[0].astype("<f4") if kind else count.astype("<i8")
-        return pa.table({"kind": pa.array([kind] * len(rows), pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "part": pa.array([0] * len(rows), pa.int32()), "vals": pa.array([pack(value[i]) for i in at], pa.binary())})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            keys, count, at = _summed(r)
+            value = tree(keys, count, upper.value)[0].astype("<f4") if r["kind"] else count.astype("<i8")
+            n = len(at)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([r["kind"]] * n, pa.int32()), "block": pa.array(r["blocks"], pa.int32()), "bucket": pa.array([r["bucket"]] * n, pa.int32()), "vals": pa.array([pack(value[i]) for i in at], pa.binary())})
 
     return work
 
@@ -264,14 +272,15 @@ def ctw_score(docs: DataFrame, held_out: Column) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("block", block)
     dealt = lambda df, *by: df.repartition(buckets, *by) if buckets > shuffle_parts(spark) else df
     docs = dealt(docs, "block")
-    seen = written(docs.groupBy("block").applyInArrow(_features(buckets), FEATURES), "features")
+    reported = docs.groupBy("block").applyInArrow(_features(buckets), FEATURES)
+    seen = written(dealt(reported, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_gathered, GATHERED), "buckets")
     trained = docs.where("not held_out").count()
-    words = dealt(seen.where("kind = 0"), "bucket").groupBy("bucket").applyInArrow(_words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    n, v = (words[0] or 0) + trained, (words[1] or 0) + (trained > 0)
-    # At most 65,280 rows reach the driver, whatever the corpus.
-    top = dealt(seen.where("kind = 1"), "bucket").groupBy("bucket").applyInArrow(_tops, "node long, a double, b double, w double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w"))
-    upper = spark.sparkContext.broadcast(uppers(top.toPandas().to_numpy(np.float64)))
-    answers = dealt(seen, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answers(upper), ANSWERS)
+    # At most 65,281 rows reach the driver, whatever the corpus.
+    top = seen.mapInArrow(tidy(_tops), "node long, a double, b double, w double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toPandas().to_numpy(np.float64)
+    is_word = top[:, 0] < 0
+    n, v = (int(x) for x in top[is_word][:, 1:3].sum(0) + [trained, trained > 0])
+    upper = spark.sparkContext.broadcast(uppers(top[~is_word]))
+    answers = seen.mapInArrow(tidy(_answers(upper)), ANSWERS)
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(buckets), "doc_id long, held_out boolean, n_words long, n_known_words long, log_counts double, score double, n_bytes long")
     tokens = F.col("n_words") + 1
     base = F.col("log_counts") + F.lit(math.log10(trained + 1)) - tokens * F.lit(math.log10(n + v + 1))
