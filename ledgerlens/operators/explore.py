@@ -29,15 +29,78 @@ def recurring_billing(tx: DataFrame, months: int = 6) -> DataFrame:
     return found.where(F.col("n_months") >= months)
 
 
-def nearest_rows(tx: DataFrame, k: int = 5) -> DataFrame:
-    """For each row the k rows of its vendor nearest in time: of these only the k before and after in date order can be, so a window of neighbours finds them without pairing the vendor's rows."""
-    w = Window.partitionBy("vendor_key").orderBy("txn_date", "row_id")
-    near = [f(F.struct("row_id", "txn_date"), i).over(w).alias(f"{n}{i}") for n, f in (("lag", F.lag), ("lead", F.lead)) for i in range(1, k + 1)]
-    rows = tx.select("row_id", "vendor_key", "txn_date", *near)
-    names = [f"{n}{i}" for n in ("lag", "lead") for i in range(1, k + 1)]
-    gap = lambda x: F.struct(F.abs(F.datediff(x["txn_date"], F.col("txn_date"))).alias("days"), x["row_id"].alias("row_id"))
-    found = F.slice(F.array_sort(F.transform(F.filter(F.array(*names), lambda x: x.isNotNull()), gap)), 1, k)
-    return rows.select("row_id", F.posexplode(found).alias("at", "near")).select("row_id", (F.col("at") + 1).alias("rank"), F.col("near.row_id").alias("near_id"), F.col("near.days").alias("days"))
+def recurring_top(tx: DataFrame, months: int = 6, k: int = 3) -> DataFrame:
+    """Each vendor's k amounts that recur in most months, ties by amount: billing that looks like a fixed contract."""
+    w = Window.partitionBy("vendor_key").orderBy(F.desc("n_months"), "amount")
+    return recurring_billing(tx, months).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def recent(tx: DataFrame, months: int) -> DataFrame:
+    """Rows of the last months up to the newest date."""
+    last = tx.agg(F.add_months(F.max("txn_date"), -months).alias("_from"))
+    return tx.crossJoin(F.broadcast(last)).where("txn_date > _from").drop("_from")  # one row
+
+
+def by_ids(tx: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with the ids."""
+    return tx.join(ids.select("row_id").distinct(), "row_id", "left_semi")
+
+
+def benford_vendor(tx: DataFrame, vendor: str, least: int = 30) -> DataFrame:
+    """digit, observed, peers, benford: shares of first digits over a vendor's distinct amounts, over those of all rows in its categories, and as Benford has them; no rows where the vendor has too few amounts. Peers are what counts: invoices are quantities times prices and depart from Benford as a rule."""
+    own = tx.where((F.col("vendor_key") == vendor) & (F.col("amount") > 0))
+    peers = tx.where("amount > 0").join(F.broadcast(own.where("item_category is not null").select("item_category").distinct()), "item_category", "left_semi")  # one vendor's categories
+    shares = None
+    for name, rows in (("observed", own), ("peers", peers)):
+        n = rows.select("amount").distinct().groupBy(first_digit(F.col("amount")).alias("digit")).agg(F.count("*").alias("n"))
+        x = n.select("digit", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name), F.sum("n").over(Window.partitionBy()).alias(f"n_{name}"))  # nine rows
+        shares = x if shares is None else shares.join(x, "digit", "full")
+    digits = tx.sparkSession.createDataFrame([(d, BENFORD[d - 1]) for d in range(1, 10)], "digit int, benford double")
+    out = digits.join(shares, "digit", "left").fillna(0.0, ["observed", "peers"])
+    return out.withColumn("n", F.max("n_observed").over(Window.partitionBy())).where(F.col("n") >= least).select("digit", "observed", "peers", "benford")
+
+
+def _closest(rows: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """near: for each row the rows of its group that can be among the k closest in value, ties by row_id. Of those with its own value these are the k + 1 of least row_id; where they are no more than k, the k beside them on either side lie within 2 k places."""
+    me = F.struct(value, "row_id")
+    same = Window.partitionBy(*by, value).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = [Window.partitionBy(*by).orderBy(order, "row_id") for order in (F.asc(value), F.desc(value))]
+    near = [F.nth_value(me, i).over(same) for i in range(1, k + 2)] + [F.lead(me, i).over(w) for w in sides for i in range(1, 2 * k)]
+    return rows.withColumns({f"_near{i}": c for i, c in enumerate(near)}).withColumn("near", F.array_distinct(F.filter(F.array(*[f"_near{i}" for i in range(len(near))]), lambda x: x.isNotNull() & (x["row_id"] != F.col("row_id"))))).drop(*[f"_near{i}" for i in range(len(near))])
+
+
+def _ranked(rows: DataFrame, gap, k: int, most: float | None = None) -> DataFrame:
+    """row_id, rank, near_id, gap of the k closest by gap and row_id, of those at most most away."""
+    found = F.transform("near", lambda x: F.struct(gap(x).cast("double").alias("gap"), x["row_id"].alias("near_id")))
+    found = found if most is None else F.filter(found, lambda x: x["gap"] <= most)
+    return rows.select("row_id", F.posexplode(F.slice(F.array_sort(found), 1, k)).alias("at", "x")).select("row_id", (F.col("at") + 1).alias("rank"), "x.near_id", "x.gap")
+
+
+def same_supplier(tx: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
+    """For each row the k rows of its vendor nearest in time, at most days away, ties by row_id. A vendor's rows are dealt by stretches of days, each row also to the stretches beside its own, so that no task holds all of a vendor's rows."""
+    own = F.floor(F.datediff("txn_date", F.lit("1970-01-01").cast("date")) / days).cast("long")
+    rows = tx.select("row_id", "vendor_key", "txn_date", own.alias("own")).withColumn("stretch", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    near = _closest(rows, ["vendor_key", "stretch"], "txn_date", k).where("own = stretch")
+    return _ranked(near, lambda x: F.abs(F.datediff(x["txn_date"], F.col("txn_date"))), k, days)
+
+
+def same_commodity(tx: DataFrame, k: int = 5) -> DataFrame:
+    """For each row with a category the k other rows of it closest in unit price, ties by row_id. Rows without a price are looked up as 0 and found by none."""
+    rows = tx.where("item_category is not null").select("row_id", "item_category", "unit_price")
+    priced = _closest(rows.where("unit_price is not null"), ["item_category"], "unit_price", k)
+    out = _ranked(priced, lambda x: F.abs(x["unit_price"] - F.col("unit_price")), k)
+    # Those without a price share one answer a category.
+    zero = rows.where("unit_price is not null").select("item_category", F.struct(F.abs("unit_price").alias("gap"), F.col("row_id").alias("near_id")).alias("x"))
+    zero = zero.withColumn("rank", F.row_number().over(Window.partitionBy("item_category").orderBy("x"))).where(F.col("rank") <= k)
+    bare = rows.where("unit_price is null").select("row_id", "item_category").join(zero, "item_category").select("row_id", "rank", "x.near_id", F.col("x.gap").cast("double").alias("gap"))
+    return out.unionByName(bare)
+
+
+def similar_rows(tx: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
+    """Both lists of every row: leg, row_id, rank, near_id, gap (days or money)."""
+    legs = {"same_supplier": same_supplier(tx, k, days), "same_commodity": same_commodity(tx, k)}
+    out = [df.withColumn("leg", F.lit(name)) for name, df in legs.items()]
+    return out[0].unionByName(out[1])
 
 
 def search(tx: DataFrame, words: str | None = None, vendor: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
@@ -67,20 +130,56 @@ def benford(tx: DataFrame) -> DataFrame:
     return digits.select("digit", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"), F.round(expected, 9).alias("expected"))
 
 
-# Fixed value: statements that a read-only query may not hold.
-FORBIDDEN = "insert update delete drop create alter attach detach copy export import install load pragma set call execute grant revoke truncate merge vacuum replace".split()
+# Words that a read-only query may not hold.
+FORBIDDEN = (
+    "insert", "update", "delete", "drop", "create", "alter", "truncate", "replace",
+    "attach", "detach", "copy", "export", "import", "install", "load", "pragma",
+    "call", "set", "begin", "commit", "rollback", "grant", "revoke",
+)
+#: Nodes of a parsed plan that only read what is below them.
+READS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedHaving Join LateralJoin Distinct Union Except Intersect Window WithWindowDefinition "
+    "OneRowRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases Generate Pivot Unpivot Expand".split()
+)
+#: Functions that reach outside the query.
+REACHING = re.compile(r"(?i)\b(?:reflect|java_method|try_reflect|input_file_name)\s*\(")
+
+
+def _scala(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_relations(plan, own: frozenset[str], view: str) -> None:
+    """Raises unless the parsed plan reads the view and its own named subqueries alone, each within its scope."""
+    kind = plan.nodeName()
+    if kind == "UnresolvedRelation":
+        name = [x.lower() for x in _scala(plan.multipartIdentifier())]
+        if len(name) > 1 or (name[0] not in own and name[0] != view):
+            raise ValueError(f"not readable: {'.'.join(name)}")
+        return
+    if kind == "UnresolvedWith":
+        for cte in _scala(plan.cteRelations()):
+            _check_relations(cte._2().child(), own, view)
+            own = own | {cte._1().lower()}
+        _check_relations(plan.child(), own, view)
+        return
+    if kind not in READS:
+        raise ValueError(f"{kind} is not allowed")
+    for below in [*_scala(plan.children()), *_scala(plan.subqueries())]:
+        _check_relations(below, own, view)
+
+
+def checked_sql(spark: SparkSession, sql: str, view: str = "audit_transactions") -> str:
+    """The statement, if it is one read of the audit view. Names come from Spark's parsed plan, so string literals, quoting and scopes are as Spark takes them."""
+    text = sql.strip().rstrip(";").strip()
+    if ";" in text or not re.match(r"(?i)(select|with)\b", text):
+        raise ValueError("one SELECT is allowed")
+    if bad := re.search(rf"(?i)\b({'|'.join(FORBIDDEN)})\b", text) or REACHING.search(text):
+        raise ValueError(f"{bad[0]} is not allowed")
+    _check_relations(spark._jsparkSession.sessionState().sqlParser().parsePlan(text), frozenset(), view.lower())
+    return text
 
 
 def guarded(spark: SparkSession, sql: str, view: str = "audit_transactions", rows: int = 50) -> DataFrame:
-    """A single read-only query over the audit view and its own CTEs. Relations are taken from Spark's parsed plan, so quoted names and comma joins are seen."""
-    text = sql.strip().rstrip(";")
-    if ";" in text or not re.match(r"(?is)\s*(select|with)\b", text):
-        raise ValueError("one SELECT is allowed")
-    if bad := re.search(rf"(?i)\b({'|'.join(FORBIDDEN)})\b", re.sub(r"'[^']*'", "''", text)):
-        raise ValueError(f"{bad[1]} is not allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    own = {m.lower() for m in re.findall(r"(?i)(?:with|,)\s*`?(\w+)`?\s+as\s*\(", text)}
-    used = {m.strip("`").lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    if other := used - own - {view}:
-        raise ValueError(f"not readable: {', '.join(sorted(other))}")
-    return spark.sql(text).limit(rows + 1)
+    """The first rows of a single read-only query over the audit view and its own CTEs; one more than rows tells that there are more."""
+    return spark.sql(checked_sql(spark, sql, view)).limit(rows + 1)
