@@ -22,6 +22,9 @@ class Thresholds:
     min_category: int = 20
     benford_min: int = 30
     min_distinct_amounts: int = 20
+    min_transactions: int = 20
+    new_vendor_days: int = 90
+    min_reference_pairs: int = 50
     fdr_alpha: float = 0.05
     round_unit: int = 1000
     severity_reference: float = 1e7

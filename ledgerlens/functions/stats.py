@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BENFORD = [math.log10(1 + 1 / d) for d in range(1, 10)]
@@ -34,12 +34,43 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k <= 0, F.lit(1.0)).otherwise(F.least(rest, F.lit(1.0)))
 
 
-def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """95 % interval of a share; null without trials."""
-    p, zz = k / F.nullif(n, F.lit(0)), z * z
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Wilson's 95 % interval of a share, within 0 and 1; null without trials."""
+    n, zz = F.nullif(n, F.lit(0)), z * z
+    p = k / n
     centre, half = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
-    return (centre - half) / (1 + zz / n), (centre + half) / (1 + zz / n)
+    inside = lambda x: F.when(n.isNotNull(), F.greatest(F.least(x / (1 + zz / n), F.lit(1.0)), F.lit(0.0)))
+    return inside(centre - half), inside(centre + half)
 
 
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def exact_medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, n, median of each group; see exact_ranks()."""
+    return exact_ranks(df, value, by, {"median": (0.5, "middle")})
+
+
+def exact_ranks(df: DataFrame, value: str, by: list[str], wanted: dict[str, tuple[float, str]], accuracy: int = 10_000) -> DataFrame:
+    """by, n and a value of each wanted rank (its share, and how it is read: 'middle', the mean of the two ranks around (n - 1) / 2, or 'nearest', the rank round(share * (n - 1)), half to even) of each group: exact, without a task that holds all of a group's values.
+
+    A sketch brackets each share, four times as wide as the sketch may err by (1 / accuracy of the ranks). Values outside the brackets count as one between each two of them, and those within, about 8 / accuracy of all, are counted by value and ranked. Sketch and counts are combined before they are shuffled.
+    """
+    shares = sorted(wanted.values())
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    cuts = sorted({min(1.0, max(0.0, p + d)) for p, _ in shares for d in (-4 / accuracy, 4 / accuracy)})
+    edge = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("b"))
+    joined = rows.join(F.broadcast(edge), by) if by else rows.crossJoin(F.broadcast(edge))  # a row a group
+    # An even number of cuts below, or all of them: outside every bracket. Such values count as the cut that ends their stretch.
+    below = F.size(F.filter("b", lambda x: x < F.col("v")))
+    at_edge = F.array_contains("b", F.col("v"))
+    place = F.when((below % 2 == 0) & ~at_edge, F.coalesce(F.try_element_at("b", below + 1), F.lit(float("inf")))).otherwise(F.col("v"))
+    first = F.when((below % 2 == 0) & ~at_edge, 0).otherwise(1)
+    counted = joined.select(*by, "n", place.alias("v"), first.alias("in")).groupBy(*by, "n", "v", "in").agg(F.count("*").alias("m"))
+    ranked = counted.withColumn("upto", F.sum("m").over(Window.partitionBy(*by).orderBy("v", "in").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    read = {
+        k: [at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))] if how == "middle" else [at(F.bround(p * (F.col("n") - 1))), at(F.bround(p * (F.col("n") - 1)))] for k, (p, how) in wanted.items()
+    }
+    return ranked.groupBy(*by, "n").agg(*[((a + b) / 2).alias(k) for k, (a, b) in read.items()])

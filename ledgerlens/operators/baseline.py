@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from . import cases
 
 
 def money(c: str) -> F.Column:
@@ -33,3 +34,17 @@ def inflation(tx: DataFrame) -> DataFrame:
 def round_vendors(tx: DataFrame, unit: int = DEFAULT.round_unit, share: float = 0.5, least: int = 10) -> DataFrame:
     even = F.col("amount") % unit == 0
     return tx.groupBy("vendor_key").agg(F.count("*").alias("n"), F.count_if(even).alias("n_round"), F.coalesce(F.sum(F.when(even, F.col("amount").cast("decimal(18,2)"))).cast("double"), F.lit(0.0)).alias("at_risk")).where((F.col("n") >= least) & (F.col("n_round") / F.col("n") >= share))
+
+
+def detect(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Cases of all four rules. A vendor's case holds the vendor's round rows."""
+    even = tx.where(F.col("amount") % t.round_unit == 0).groupBy("vendor_key").agg(F.collect_list("row_id").alias("row_ids"))
+    found = (
+        ("duplicate", "exact duplicate", duplicates(tx)), ("split", "near threshold", near_threshold(tx, t)), ("inflation", "over twice the mean", inflation(tx)),
+        ("vendor_flag", "round amounts", round_vendors(tx, t.round_unit).join(even, "vendor_key").withColumn("score", F.lit(1.0))),
+    )
+    out = None
+    for kind, rule, df in found:
+        one = cases.build(df, "baseline", kind, t, {"rule": F.lit(rule)})
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -23,9 +23,13 @@ def band(severity: Column, t: Thresholds = DEFAULT) -> Column:
     return F.when(severity >= t.band_high, "high").when(severity >= t.band_medium, "medium").otherwise("low")
 
 
-def build(df: DataFrame, detector: str, kind: str, t: Thresholds = DEFAULT) -> DataFrame:
-    """Cases from row_ids, score, at_risk and vendor_key; the id follows from detector, kind and rows."""
+def build(df: DataFrame, detector: str, kind: str, t: Thresholds = DEFAULT, metadata: dict[str, Column] | None = None) -> DataFrame:
+    """Cases from row_ids, score, at_risk and vendor_key; the id follows from detector, kind and rows. metadata: what else the detector says, kept as JSON."""
     ids = F.array_sort(F.array_distinct("row_ids"))
     identity = F.concat(F.lit(f"{detector}|{kind}|"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))
     s = severity(F.col("score"), F.col("at_risk"), t)
-    return df.select(uuid5(NAMESPACE, identity).alias("case_id"), F.lit(kind).alias("anomaly_type"), F.lit(detector).alias("detector"), ids.alias("row_ids"), F.col("score").cast("double").alias("detector_score"), F.col("at_risk").cast("double").alias("amount_at_risk"), s.alias("severity_prelim"), band(s, t).alias("band"), "vendor_key")
+    more = F.to_json(F.struct(*[c.alias(k) for k, c in metadata.items()])) if metadata else F.lit("{}")
+    return df.select(
+        uuid5(NAMESPACE, identity).alias("case_id"), F.lit(kind).alias("anomaly_type"), F.lit(detector).alias("detector"), ids.alias("row_ids"), F.col("score").cast("double").alias("detector_score"),
+        F.col("at_risk").cast("double").alias("amount_at_risk"), s.alias("severity_prelim"), band(s, t).alias("band"), F.col("vendor_key"), more.alias("metadata"),
+    )

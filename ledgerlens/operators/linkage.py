@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.names import name_similarity
 from ..functions.text import core_numbers
+from ..sources.scratch import written
 from .bands import amount_pairs
 
 # Where the share of each level among duplicates starts.
@@ -47,9 +48,10 @@ def fit(counts: dict[tuple[int, ...], int], reference: dict[tuple[int, ...], int
         x = [smooth + sum(k for v, k in c.items() if v[j] == level) for level in range(len(FIELDS[j][1]))]
         return [y / sum(x) for y in x]
 
-    fixed = reference is not None and sum(reference.values()) >= STRENGTH and n > 0
+    fixed = reference is not None and sum(reference.values()) >= t.min_reference_pairs and n > 0
     # The date gap of reference pairs is of another window, so its shares come from the candidates.
-    u = [shares(reference, j, SMOOTH * sum(reference.values())) if fixed and f != "date_gap" else shares(counts, j, SMOOTH) for j, (f, _) in enumerate(FIELDS)]
+    source = lambda f: counts if f == "date_gap" else reference
+    u = [shares(source(f), j, SMOOTH * sum(source(f).values())) if fixed else shares(counts, j, SMOOTH) for j, (f, _) in enumerate(FIELDS)]
     prior = 0.1
 
     def posterior(v: tuple[int, ...]) -> float:
@@ -77,17 +79,33 @@ def vector_counts(pairs: DataFrame) -> dict[tuple[int, ...], int]:
     return {tuple(r[f] for f in names): r["n"] for r in pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()}
 
 
-def scored(pairs: DataFrame, reference: DataFrame | None = None, t: Thresholds = DEFAULT) -> DataFrame:
-    """Pairs with the posterior of being duplicates. Only counts of vectors reach the driver."""
-    spark: SparkSession = pairs.sparkSession
-    post, _, _ = fit(vector_counts(pairs), vector_counts(reference) if reference is not None else None, t)
-    names = [f for f, _ in FIELDS]
-    table = spark.createDataFrame([(*map(int, v), float(p)) for v, p in post.items()], ", ".join(f"{f} int" for f in names) + ", posterior double")
-    return pairs.join(F.broadcast(table), names)
+def weights(m: list, u: list) -> list[tuple[str, int, float, float, float]]:
+    """field, level, m, u and match weight (binary logarithm of m / u) of every level."""
+    return [(f, i, float(m[j][i]), float(u[j][i]), round(math.log2(m[j][i] / u[j][i]), 2)) for j, (f, start) in enumerate(FIELDS) for i in range(len(start))]
 
 
-def linked(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Every pair of the amount and date band whose names pass, with its posterior, whatever the vendor keys. u is of the pairs that pass the same checks but are too far apart in time to be duplicates."""
+def compared(tx: DataFrame, days: tuple[int, int], t: Thresholds = DEFAULT) -> DataFrame:
+    """Pairs of the amount and date band whose names pass, with their comparison vectors, whatever the vendor keys."""
     rows = tx.select(*COMPARED).withColumn("core", core_numbers(F.col("invoice_no"), F.col("txn_date")))
-    named = lambda days: with_names(levels(amount_pairs(rows, t.dup_tolerance, days)), t)
-    return scored(named((0, t.dup_days)), named(t.reference_days), t)
+    return with_names(levels(amount_pairs(rows, t.dup_tolerance, days)), t)
+
+
+def model(tx: DataFrame, t: Thresholds = DEFAULT) -> tuple[dict[tuple[int, ...], float], list, list, DataFrame]:
+    """Posteriors of the vectors, m, u and the candidates they were counted on. u is of the pairs that pass the same checks but are too far apart in time to be duplicates. Candidates and reference are counted from tables of vectors, so only counts reach the driver."""
+    near = written(compared(tx, (0, t.dup_days), t).select("a_row_id", "b_row_id", "sim", *[f for f, _ in FIELDS]), "candidates")
+    post, m, u = fit(vector_counts(near), vector_counts(compared(tx, t.reference_days, t)), t)
+    return post, m, u, near
+
+
+def linked(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Every candidate pair with its posterior of being a duplicate."""
+    post, _, _, near = model(tx, t)
+    names = [f for f, _ in FIELDS]
+    table = near.sparkSession.createDataFrame([(*map(int, v), float(p)) for v, p in post.items()], ", ".join(f"{f} int" for f in names) + ", posterior double")  # 144 rows at most
+    return near.join(F.broadcast(table), names)
+
+
+def model_frame(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The fitted model: field, level, m, u, match_weight."""
+    _, m, u, near = model(tx, t)
+    return near.sparkSession.createDataFrame(weights(m, u), "field string, level int, m double, u double, match_weight double")

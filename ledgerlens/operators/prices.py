@@ -7,37 +7,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.stats import logistic
+from ..functions.stats import exact_medians, logistic
+from ..sources.scratch import written
+from . import cases
 
 SCALE, FLOOR = 1.4826, 0.02
+POLICY_CLAUSE = "SG-PP-6.3"
 
 
 def eligible(tx: DataFrame) -> DataFrame:
     return tx.where("unit_price > 0 and item_category is not null and quantity > 0").withColumn("log_price", F.log("unit_price"))
 
 
-def category_stats(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Exact median and MAD of the log price of each category of enough rows."""
-    rows = eligible(tx)
-    medians = rows.groupBy("item_category").agg(F.median("log_price").alias("median"), F.count("*").alias("n")).where(F.col("n") >= t.min_category)
-    mads = rows.join(medians, "item_category").groupBy("item_category").agg(F.median(F.abs(F.col("log_price") - F.col("median"))).alias("mad"))
+def category_stats(rows: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Exact median and MAD of the log price of each category of enough rows. rows: of eligible()."""
+    medians = exact_medians(rows, "log_price", ["item_category"]).where(F.col("n") >= t.min_category)
+    off = rows.join(F.broadcast(medians.drop("n")), "item_category").withColumn("off", F.abs(F.col("log_price") - F.col("median")))  # a row a category
+    mads = exact_medians(off, "off", ["item_category"]).select("item_category", F.col("median").alias("mad"))
     return medians.join(mads, "item_category")
 
 
 def scores(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """z of each row's residual after least squares of the relative log price on (1, log quantity, days). Nine sums and two medians reach the driver."""
-    rows = eligible(tx).join(category_stats(tx, t), "item_category").withColumns({"rel": F.col("log_price") - F.col("median"), "lq": F.log("quantity")})
+    """z of each row's residual after least squares of the relative log price on (1, log quantity, days), the price to expect, and the vendor's share of its category's spend. Nine sums, a date and two medians reach the driver.
+
+    The eligible rows are written once, as five passes go over them.
+    """
+    keep = [c for c in ("row_id", "vendor_key", "item_category", "unit_price", "quantity", "amount", "txn_date") if c in tx.columns]
+    every = written(eligible(tx.select(*keep)), "priced")
+    stats = written(category_stats(every, t), "categories")
+    rows = every.join(F.broadcast(stats), "item_category").withColumns({"rel": F.col("log_price") - F.col("median"), "lq": F.log("quantity")})
     first = rows.agg(F.min("txn_date")).first()[0]
     rows = rows.withColumn("days", F.datediff("txn_date", F.lit(first)).cast("double"))
+    money = F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
+    spend = rows.groupBy("item_category").agg(money.alias("category_spend"))
+    by_vendor = rows.groupBy("item_category", "vendor_key").agg(money.alias("vendor_spend")).join(F.broadcast(spend), "item_category")
+    rows = rows.join(by_vendor.select("item_category", "vendor_key", (F.col("vendor_spend") / F.col("category_spend")).alias("vendor_share")), ["item_category", "vendor_key"])
     x = ["1.0D", "lq", "days"]
     sums = rows.agg(*[F.sum(F.expr(f"{a} * {b}")).alias(f"s{i}{j}") for i, a in enumerate(x) for j, b in enumerate([*x, "rel"]) if j >= i]).first()
     if sums is None or sums["s00"] is None:
-        return rows.withColumns({"residual": F.lit(None).cast("double"), "z": F.lit(None).cast("double"), "expected_price": F.lit(None).cast("double"), "score": F.lit(None).cast("double"), "at_risk": F.lit(None).cast("double")})
+        return rows.withColumns({c: F.lit(None).cast("double") for c in ("residual", "z", "expected_price", "score", "at_risk")})
     gram = np.array([[float(sums[f"s{min(i, j)}{max(i, j)}"]) for j in range(3)] for i in range(3)])
     beta = np.linalg.pinv(gram) @ np.array([float(sums[f"s{i}3"]) for i in range(3)])
     rows = rows.withColumn("residual", F.col("rel") - (float(beta[0]) + float(beta[1]) * F.col("lq") + float(beta[2]) * F.col("days")))
-    centre = rows.agg(F.median("residual")).first()[0]
-    spread = rows.agg(F.median(F.abs(F.col("residual") - centre))).first()[0]
+    centre = exact_medians(rows, "residual", []).first()["median"]
+    spread = exact_medians(rows.withColumn("off", F.abs(F.col("residual") - centre)), "off", []).first()["median"]
     z = (F.col("residual") - centre) / max(SCALE * spread, FLOOR)
     expected = F.exp(F.col("median") + float(beta[1]) * F.col("lq") + float(beta[2]) * F.col("days"))
     return rows.withColumns({"z": z, "expected_price": expected}).withColumns({"score": logistic(F.col("z") - t.price_z), "at_risk": F.greatest((F.col("unit_price") - F.col("expected_price")) * F.col("quantity"), F.lit(0.0))})
+
+
+def detect(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Cases of the rows whose z is too high."""
+    found = scores(tx, t).where(F.col("z") >= t.price_z).withColumns({"row_ids": F.array("row_id"), "score": F.round("score", 4)})
+    more = {"policy_clause": F.lit(POLICY_CLAUSE), "item_category": F.col("item_category"), "category_size": F.col("n"), "unit_price": F.round("unit_price", 2), "category_median_price": F.round(F.exp("median"), 2), "expected_price": F.round("expected_price", 2), "times_expected": F.round(F.col("unit_price") / F.col("expected_price"), 2), "robust_z": F.round("z", 2), "quantity": F.col("quantity")}
+    return cases.build(found, "d3", "inflation", t, more)

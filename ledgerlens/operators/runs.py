@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from . import cases
+
+
+#: Share of each component in a run's score.
+WEIGHTS = {"window": 0.25, "homogeneity": 0.25, "single_rate": 0.25, "parts": 0.25}
+POLICY_CLAUSES = ("SG-PP-3.2", "SG-PP-3.3")
 
 
 def folded(threshold: Decimal, days: int):
@@ -61,5 +67,18 @@ def scored_runs(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     for i in reversed(range(len(windows))):
         tight = F.when(span <= windows[i], 1 - 0.5 * i / max(len(windows) - 1, 1)).otherwise(tight)
     share = lambda c: F.round(F.coalesce(F.col(f"top_{c}") / F.col("n_parts"), F.lit(0.5)), 3)
+    tightest = F.lit(windows[-1])
+    for w in reversed(windows):
+        tightest = F.when(span <= w, w).otherwise(tightest)
     parts = F.when(F.col("n_parts").between(3, 6), 1.0).when(F.col("n_parts") == 2, 0.6).otherwise(0.7)
-    return runs.withColumns({"window": tight, "homogeneity": share("item"), "single_rate": share("rate"), "parts": parts}).withColumn("score", (F.col("window") + F.col("homogeneity") + F.col("single_rate") + F.col("parts")) / 4).drop("top_item", "top_rate")
+    return runs.withColumns({"window_days": tightest, "span_days": span, "window": F.round(tight, 3), "homogeneity": share("item"), "single_rate": share("rate"), "parts": parts}).withColumn("score", F.round(sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0)), 4)).drop("top_item", "top_rate")
+
+
+def detect(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Cases of the runs that score enough. A run within the shorter windows breaks a second clause; grain says what the run is of, which a dataset without officers changes."""
+    known = tx.where(F.col("amount") < t.approval).agg((F.count("officer_id") > 0).alias("has_officers"))
+    runs = scored_runs(tx, t).where(F.col("score") >= t.split_score).crossJoin(F.broadcast(known))  # one row
+    grain = F.when(~F.col("has_officers"), "supplier only - dataset has no officer field").when(F.col("officer_id").isNull(), "supplier, officer not recorded").otherwise("supplier and officer")
+    clauses = F.when(F.col("window_days") <= max(t.scrutiny_days), ",".join(POLICY_CLAUSES)).otherwise(POLICY_CLAUSES[0])
+    more = {"policy_clauses": clauses, "grain": grain, "officer_id": F.col("officer_id"), "parts": F.col("n_parts"), "total": F.round("total", 2), "window_days": F.col("window_days"), "span_days": F.col("span_days"), "homogeneity": F.col("homogeneity"), "single_rate": F.col("single_rate")}
+    return cases.build(runs.withColumn("at_risk", F.col("total")), "d2", "split", t, more)

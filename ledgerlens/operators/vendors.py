@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.stats import binomial_tail, chi2_tail_even, first_digit
+from . import cases
+
+POLICY_CLAUSES = ("SG-PP-5.5", "SG-PP-7.1")
 
 
 def period_end(day: F.Column) -> F.Column:
     return (F.month(day) == 3) | (F.dayofmonth(day) > F.dayofmonth(F.last_day(day)) - 4)
 
 
+#: Rows without a category are a category of their own.
+NO_CATEGORY = "(uncategorised)"
+
+
+def tested(tx: DataFrame) -> DataFrame:
+    """The rows that vendors are tested by."""
+    return tx.where("amount > 0").withColumn("item_category", F.coalesce("item_category", F.lit(NO_CATEGORY)))
+
+
 def distinct_amounts(tx: DataFrame) -> DataFrame:
     """One row a vendor and amount: of several the least row_id."""
-    return tx.where("amount > 0").groupBy("vendor_key", "amount").agg(F.min_by("item_category", "row_id").alias("item_category"))
+    return tested(tx).groupBy("vendor_key", "amount").agg(F.min_by("item_category", "row_id").alias("item_category"))
 
 
 def digit_shares(tx: DataFrame) -> DataFrame:
@@ -25,41 +37,40 @@ def digit_shares(tx: DataFrame) -> DataFrame:
 
 
 def first_digit_test(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Chi-square of each vendor's first digits against the mean shares of its rows' categories; 8 degrees."""
+    """Chi-square of each vendor's first digits against the mean shares of its rows' categories; 8 degrees. A digit that no peer has counts as a share of 1e-6."""
     rows = distinct_amounts(tx)
-    n = rows.groupBy("vendor_key").agg(F.count("*").alias("n"), (F.max("amount") / F.min("amount")).alias("range")).where((F.col("n") >= t.benford_min) & (F.col("range") >= 30))
+    n = rows.groupBy("vendor_key").agg(F.count("*").alias("n"), (F.max("amount") / F.min("amount")).alias("range")).where((F.col("n") >= t.benford_min) & (F.col("n") >= t.min_distinct_amounts) & (F.col("range") >= 30))
     digits = F.explode(F.sequence(F.lit(1), F.lit(9))).alias("digit")
     weight = rows.groupBy("vendor_key", "item_category").agg(F.count("*").alias("w"))
     peers = digit_shares(tx).select("item_category", "digit", "share")
     grid = weight.join(n, "vendor_key").select("vendor_key", "item_category", "w", "n", digits).join(peers, ["item_category", "digit"], "left")
-    expected = grid.groupBy("vendor_key", "digit").agg((F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))) / F.max("n")).alias("p"), F.max("n").alias("n"))
+    expected = grid.groupBy("vendor_key", "digit").agg((F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))) / F.max("n")).alias("peer"), F.max("n").alias("n"))
     seen = rows.groupBy("vendor_key", first_digit(F.col("amount")).alias("digit")).agg(F.count("*").alias("seen"))
-    both = expected.join(seen, ["vendor_key", "digit"], "left").fillna(0, ["seen"]).withColumn("p", F.greatest("p", F.lit(1e-6)))
+    both = expected.join(seen, ["vendor_key", "digit"], "left").fillna(0, ["seen"]).withColumn("p", F.when(F.col("peer") > 0, F.col("peer")).otherwise(1e-6))
     part = F.pow(F.col("seen") - F.col("p") * F.col("n"), F.lit(2.0)) / (F.col("p") * F.col("n"))
-    out = both.groupBy("vendor_key").agg(F.max("n").alias("n"), F.sum(part).alias("chi2"), (F.sum(F.abs(F.col("seen") / F.col("n") - F.col("p"))) / 9).alias("mad"))
+    out = both.groupBy("vendor_key").agg(F.max("n").alias("n"), F.sum(part).alias("chi2"), (F.sum(F.abs(F.col("seen") / F.col("n") - F.col("peer"))) / 9).alias("mad"))
     return out.withColumn("p_value", chi2_tail_even(F.col("chi2"), 8)).where("mad >= 0.015")
 
 
-def round_number_test(tx: DataFrame, t: Thresholds = DEFAULT, lift: float = 2.0) -> DataFrame:
-    """One-sided binomial test of each vendor's share of distinct amounts that are multiples of round_unit against its categories' mean rate; a category without any takes the rate of all."""
-    rows = distinct_amounts(tx).withColumns({"item_category": F.coalesce("item_category", F.lit("(uncategorised)")), "hit": (F.col("amount") % t.round_unit == 0).cast("double")})
+def share_test(rows: DataFrame, t: Thresholds, lift: float) -> DataFrame:
+    """One-sided binomial test of each vendor's share of hits against its rows' categories' mean rate; a category without any takes the rate of all. rows: vendor_key, item_category, hit (0 or 1). Only an excess of lift times the rate is material."""
     rates = rows.groupBy("item_category").agg(F.avg("hit").alias("rate"))
     overall = rows.agg(F.avg("hit").alias("overall"))
     by = rows.join(rates, "item_category").crossJoin(F.broadcast(overall)).withColumn("rate", F.when(F.col("rate") == 0, F.col("overall")).otherwise(F.col("rate")))  # one row
     out = by.groupBy("vendor_key").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("k"), (F.sum(F.col("rate").cast("decimal(20,12)")).cast("double") / F.count("*")).alias("rate"))
-    out = out.where((F.col("n") >= t.min_distinct_amounts) & (F.col("rate") > 0) & (F.col("rate") < 1))
+    out = out.where((F.col("n") >= t.min_transactions) & (F.col("rate") > 0) & (F.col("rate") < 1))
     return out.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), F.col("rate"))).withColumn("material", F.col("k") / F.col("n") >= lift * F.col("rate"))
 
 
+def round_number_test(tx: DataFrame, t: Thresholds = DEFAULT, lift: float = 2.0) -> DataFrame:
+    """Each vendor's share of distinct amounts that are multiples of round_unit, of vendors with enough of them."""
+    rows = distinct_amounts(tx).withColumn("hit", (F.col("amount") % t.round_unit == 0).cast("double"))
+    return share_test(rows, t, lift).where(F.col("n") >= t.min_distinct_amounts)
+
+
 def period_end_test(tx: DataFrame, t: Thresholds = DEFAULT, lift: float = 2.0) -> DataFrame:
-    """One-sided binomial test of each vendor's share of rows at a period's end against its categories' mean rate."""
-    rows = tx.withColumn("hit", period_end(F.col("txn_date")).cast("double"))
-    rates = rows.groupBy("item_category").agg(F.avg("hit").alias("rate"))
-    overall = rows.agg(F.avg("hit").alias("overall"))
-    by = rows.join(rates, "item_category").crossJoin(F.broadcast(overall)).withColumn("rate", F.when(F.col("rate") == 0, F.col("overall")).otherwise(F.col("rate")))  # one row
-    out = by.groupBy("vendor_key").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("k"), (F.sum(F.col("rate").cast("decimal(20,12)")).cast("double") / F.count("*")).alias("rate"))
-    out = out.where((F.col("n") >= t.min_distinct_amounts) & (F.col("rate") > 0) & (F.col("rate") < 1))
-    return out.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), F.col("rate"))).withColumn("material", F.col("k") / F.col("n") >= lift * F.col("rate"))
+    """Each vendor's share of rows at a period's end."""
+    return share_test(tested(tx).withColumn("hit", period_end(F.col("txn_date")).cast("double")), t, lift)
 
 
 def fisher(tests: DataFrame) -> DataFrame:
@@ -76,9 +87,40 @@ def benjamini_hochberg(p: DataFrame, alpha: float = DEFAULT.fdr_alpha) -> DataFr
     return ranked.withColumn("cutoff", cutoff).withColumn("flagged", F.col("combined_p") <= F.col("cutoff")).drop("rank", "n")
 
 
+def evidence(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """vendor_key, test, p_value of every test that speaks against a vendor."""
+    tests = first_digit_test(tx, t).select("vendor_key", F.lit("first_digit").alias("test"), "p_value")
+    for name, shares in (("round_numbers", round_number_test(tx, t)), ("period_end", period_end_test(tx, t))):
+        tests = tests.unionByName(shares.where("material").select("vendor_key", F.lit(name).alias("test"), "p_value"))
+    return tests
+
+
+def score(combined_p: F.Column) -> F.Column:
+    return F.least(F.lit(1.0), -F.log10(F.greatest(combined_p, F.lit(1e-300))) / 20)
+
+
 def flags(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    tests = first_digit_test(tx, t).select("vendor_key", "p_value")
-    for shares in (round_number_test(tx, t), period_end_test(tx, t)):
-        tests = tests.unionByName(shares.where("material").select("vendor_key", "p_value"))
-    out = benjamini_hochberg(fisher(tests), t.fdr_alpha)
-    return out.withColumn("score", F.least(F.lit(1.0), -F.log10(F.greatest("combined_p", F.lit(1e-300))) / 20))
+    out = benjamini_hochberg(fisher(evidence(tx, t)), t.fdr_alpha)
+    return out.withColumn("score", score(F.col("combined_p")))
+
+
+def roll_up(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """What is known of each vendor: rows, total, largest amount, first date, name, officers, and whether it is new and yet takes amounts that need approval."""
+    rows = tested(tx)
+    start = rows.agg(F.min("txn_date").alias("start"))
+    out = rows.groupBy("vendor_key").agg(
+        F.count("*").alias("n"), F.count_distinct("amount").alias("n_amounts"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"), F.max("amount").alias("largest"), F.min("txn_date").alias("first_seen"),
+        F.min_by("vendor_name", "row_id").alias("vendor_name"), F.array_sort(F.collect_set("officer_id")).alias("officers"),
+    )
+    new = (F.datediff("first_seen", "start") > t.new_vendor_days) & (F.col("largest") >= t.approval)
+    return out.crossJoin(F.broadcast(start)).withColumn("new_vendor_high_value", new).drop("start")  # one row
+
+
+def detect(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Cases of the flagged vendors, each of all the vendor's rows."""
+    found = flags(tx, t).where("flagged").join(roll_up(tx, t), "vendor_key")
+    rows = tested(tx).groupBy("vendor_key").agg(F.collect_list("row_id").alias("row_ids"))
+    tests = evidence(tx, t).groupBy("vendor_key").agg(F.array_join(F.array_sort(F.collect_set("test")), ",").alias("indicators"))  # three at most
+    found = found.join(rows, "vendor_key").join(tests, "vendor_key").withColumns({"score": F.round("score", 4), "at_risk": F.col("total")})
+    more = {"policy_clauses": F.lit(",".join(POLICY_CLAUSES)), "vendor_name": F.col("vendor_name"), "transactions": F.col("n"), "distinct_amounts": F.col("n_amounts"), "indicators": F.col("indicators"), "first_seen": F.col("first_seen").cast("string"), "officers": F.array_join("officers", ","), "new_vendor_high_value": F.col("new_vendor_high_value")}
+    return cases.build(found, "d4", "vendor_flag", t, more)

@@ -1,20 +1,40 @@
-"""Reliable checkpoints in the folder that all executors share."""
+"""Tables and reliable checkpoints in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a private one only where it is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
-        sc.setCheckpointDir(_LOCAL[0])
+        root = _LOCAL[0]
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/ledgerlens-{uuid.uuid4().hex[:12]}-{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, with no lineage to lose."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
