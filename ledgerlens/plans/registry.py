@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Thresholds
-from ..functions import text
+from ..config import DEFAULT
+from ..functions import calculator, text
 from ..functions.stats import wilson
-from ..operators import bands, baseline, cases, evaluate, explore, ingest, linkage, prices, retrieval, runs, store, vendors
+from ..operators import baseline, cases, evaluate, explore, ingest, retrieval, runs, store
+from . import detection, intake, review, scoring
 from ..sources.adapter import AUDIT_FIELDS, TX_SQL, TXO_SQL, ascii_key, line_items, orders, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-LOOSE = Thresholds(price_z=2.0)
 SEVERITY_SQL = "round(100 * 1.0 * least(ln(1 + {0}) / ln(1 + 1e7), 1.0), 2)"
 RAW_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
 
@@ -52,10 +52,6 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.build(found, "baseline", "split").select("case_id", F.element_at("row_ids", 1).alias("row_id"), "severity_prelim", "band", "amount_at_risk")
 
 
-def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.linked(line_items(spark, sf_dir)).select("a_row_id", "b_row_id", "name", "invoice", "context", "date_gap", F.round("posterior", 9).alias("posterior"))
-
-
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("verdict"))
@@ -68,15 +64,8 @@ def quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("source", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs as cases against groups of line items of one order and supplier."""
-    tx = line_items(spark, sf_dir)
-    found = runs.minimal_runs(tx).select(F.concat_ws("-", "vendor_key", "officer_id", F.element_at("row_ids", 1).cast("string")).alias("case_id"), F.col("total").alias("score"), "row_ids")
-    truth = tx.groupBy("vendor_key", F.trunc("txn_date", "MM").alias("month")).agg(F.collect_list("row_id").alias("rows")).select(F.concat_ws("-", "vendor_key", F.col("month").cast("string")).alias("group_id"), "rows")
-    return evaluate.greedy(evaluate.candidate_matches(found, truth))
-
-
-BM25_WORDS = ["the", "of", "license", "version"]
+CALCULATIONS = ("1 + 2 * 3", "-(2,500 - ₹500) / 8", "2 ** 2 ** 2", "7 % 4 + .5", "-7 % 4", "-2 ** 2", "1e3 * 2")
+BM25_WORDS = ["the", "of", "license", "version", "the"]
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +88,10 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_CTE = """w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9₹.,]+'), lambda x: regexp_replace(x, '^[.,]+|[.,]+$', '', 'g')), lambda x: x <> '') AS w FROM documents),
 r AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'of')) AS b, len(list_filter(w, lambda x: x = 'license')) AS c, len(list_filter(w, lambda x: x = 'version')) AS d FROM w),
 s AS (SELECT count(*) AS n, sum(l) AS t, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc, count(*) FILTER (d > 0) AS dd FROM r),
-p AS (SELECT doc_id, a, b, c, d, ln((n - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * l * n / t)) AS pa, ln((n - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * l * n / t)) AS pb,
-  ln((n - dc + 0.5) / (dc + 0.5)) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * l * n / t)) AS pc, ln((n - dd + 0.5) / (dd + 0.5)) * d * 2.5 / (d + 1.5 * (0.25 + 0.75 * l * n / t)) AS pd FROM r, s)"""
-
-PAIRS_SQL = "abs(a.amount - b.amount) < 0.005 * greatest(a.amount, b.amount) AND abs(date_diff('day', a.txn_date, b.txn_date)) BETWEEN {0} AND {1}"
-BUCKETED = """x AS (SELECT *, floor(ln(amount) / -ln(1 - 0.005)) AS k, floor(date_diff('day', DATE '1970-01-01', txn_date) / {1}) AS q FROM {0})"""
-
-
-def _pairs_sql(view: str, low: int, high: int, more: str = "") -> str:
-    return f"""{BUCKETED.format(view, high + 1)}, y AS (SELECT x.* REPLACE (k + dk AS k, q + dq AS q) FROM x, (VALUES (-1), (0), (1)) v(dk), (VALUES (-1), (0), (1)) u(dq)),
-pr AS (SELECT a.row_id AS a_row_id, b.row_id AS b_row_id, a.amount AS a_amount, b.amount AS b_amount, a.officer_id AS ao, b.officer_id AS bo, a.item_category AS ac, b.item_category AS bc, a.quantity AS aq, b.quantity AS bq, abs(date_diff('day', a.txn_date, b.txn_date)) AS gap FROM x a JOIN y b ON a.k = b.k AND a.q = b.q AND a.row_id < b.row_id {more} WHERE {PAIRS_SQL.format(low, high)})"""
-
+p AS (SELECT doc_id, a, b, c, d, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * l * n / t)) AS pa, ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * l * n / t)) AS pb,
+  ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * l * n / t)) AS pc, ln(1 + (n - dd + 0.5) / (dd + 0.5)) * d * 2.5 / (d + 1.5 * (0.25 + 0.75 * l * n / t)) AS pd FROM r, s)"""
 
 DIGIT = "CAST(floor(amount / pow(10.0, floor(log10(amount)))) AS INTEGER)"
-AMOUNTS = "am AS (SELECT vendor_key, amount, arg_min(item_category, row_id) AS item_category FROM tx WHERE amount > 0 GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY vendor_key, amount")
 MONEY = "CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)"
 
 _ENTRIES: dict[str, tuple[Query, str | None]] = {
@@ -135,7 +114,6 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: rule_cases(s, d).drop("case_id"),
         f"WITH {TXO_SQL}, c AS (SELECT row_id, {SEVERITY_SQL.format('amount')} AS severity_prelim, amount AS amount_at_risk FROM txo WHERE amount >= 225000 AND amount < 250000) SELECT *, CASE WHEN severity_prelim >= 66 THEN 'high' WHEN severity_prelim >= 33 THEN 'medium' ELSE 'low' END AS band FROM c",
     ),
-    "case_ids": (rule_cases, None),
     "ingest_clean": (lambda s, d: ingest.canonical(staged(s, d), MAPPING).select("_row", "vendor_name", "amount", "txn_date", "quantity"), f"WITH {RAW_SQL} SELECT _row, vendor_name, amount, txn_date, quantity FROM st WHERE drop_reason IS NULL"),
     "ingest_drop_reasons": (
         lambda s, d: ingest.drop_counts(staged(s, d)),
@@ -143,7 +121,7 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
     ),
     "dataset_card": (
         lambda s, d: ingest.card(orders(s, d), DEFAULT.approval),
-        f"WITH {TXO_SQL} SELECT count(*) AS n_rows, {MONEY} AS total, min(amount) AS least, median(amount) AS median, max(amount) AS most, count(*) FILTER (amount >= 250000) AS n_threshold, count(DISTINCT vendor_name) AS n_names, count(DISTINCT vendor_key) AS n_keys, count(DISTINCT officer_id) AS n_officers, count(DISTINCT item_category) AS n_categories, min(txn_date) AS first_date, max(txn_date) AS last_date FROM txo",
+        f"WITH {TXO_SQL} SELECT count(*) AS n_rows, {MONEY} AS total, min(amount) AS least, median(amount) AS median, (SELECT amount FROM (SELECT amount, row_number() OVER (ORDER BY amount) - 1 AS r, count(*) OVER () AS n FROM txo) WHERE r = round_even(0.95 * (n - 1), 0)) AS p95, max(amount) AS most, count(*) FILTER (amount >= 250000) AS n_threshold, count(DISTINCT vendor_name) AS n_names, count(DISTINCT vendor_key) AS n_keys, count(DISTINCT officer_id) AS n_officers, count(DISTINCT item_category) AS n_categories, min(txn_date) AS first_date, max(txn_date) AS last_date FROM txo",
     ),
     "null_rates": (
         lambda s, d: ingest.null_rates(staged(s, d), ("vendor_name", "amount_num", "day", "quantity_num")),
@@ -157,38 +135,6 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: ingest.collapsed_names(table(s, d, "part").select(F.col("p_brand").alias("vendor_key"), F.col("p_name").alias("vendor_name"))).select("vendor_key", "n_names", F.array_join("names", "|").alias("names")),
         "WITH x AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT p_brand AS vendor_key, count(*) AS n_names, array_to_string(list_sort(list(p_name))[1:6], '|') AS names FROM x GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 8",
     ),
-    "d1_exact_groups": (
-        lambda s, d: table(s, d, "events").groupBy("user_id", "event_type", "value").agg(F.array_sort(F.collect_list("event_id")).alias("row_ids"), F.count("*").alias("n")).where("n > 1").select("user_id", "event_type", "value", "n", ids()),
-        "SELECT user_id, event_type, value, count(*) AS n, array_to_string(list_sort(list(event_id)), ',') AS row_ids FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1",
-    ),
-    "d1_blocked_pairs": (lambda s, d: bands.amount_pairs(line_items(s, d)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {_pairs_sql('tx', 0, 14)} SELECT a_row_id, b_row_id FROM pr"),
-    "d1_reference_pairs": (
-        lambda s, d: bands.amount_pairs(line_items(s, d), days=DEFAULT.reference_days).where("a_vendor_key = b_vendor_key").select("a_row_id", "b_row_id"),
-        f"WITH {TX_SQL}, {_pairs_sql('tx', 30, 180, 'AND a.vendor_key = b.vendor_key')} SELECT a_row_id, b_row_id FROM pr",
-    ),
-    "d1_levels_histogram": (
-        lambda s, d: linkage.levels(bands.amount_pairs(line_items(s, d))).groupBy("context", "date_gap").agg(F.count("*").alias("n")),
-        f"WITH {TX_SQL}, {_pairs_sql('tx', 0, 14)} SELECT CASE WHEN ao = bo AND ac = bc AND aq = bq AND a_amount = b_amount THEN 0 WHEN ao = bo AND ac = bc AND aq = bq THEN 1 WHEN ao = bo OR (ac = bc AND aq = bq) THEN 2 ELSE 3 END AS context, CASE WHEN gap <= 3 THEN 0 WHEN gap <= 7 THEN 1 ELSE 2 END AS date_gap, count(*) AS n FROM pr GROUP BY 1, 2",
-    ),
-    "d1_posteriors": (posteriors, None),
-    "d2_runs": (lambda s, d: runs.minimal_runs(line_items(s, d)).select("vendor_key", "officer_id", ids(), "total", "first_date", "last_date", "n_parts"), None),
-    "d2_scored_runs": (lambda s, d: runs.scored_runs(line_items(s, d)).drop("row_ids"), None),
-    "d3_category_stats": (
-        lambda s, d: prices.category_stats(line_items(s, d)).select("item_category", "n", F.round("median", 9).alias("median"), F.round("mad", 9).alias("mad")),
-        f"WITH {TX_SQL}, e AS (SELECT *, ln(unit_price) AS lp FROM tx WHERE unit_price > 0 AND quantity > 0), m AS (SELECT item_category, median(lp) AS md, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 20) SELECT item_category, max(n) AS n, round(max(md), 9) AS median, round(median(abs(lp - md)), 9) AS mad FROM e JOIN m USING (item_category) GROUP BY 1",
-    ),
-    "d3_scores": (lambda s, d: prices.scores(line_items(s, d), LOOSE).select("row_id", F.round("z", 6).alias("z"), F.round("expected_price", 4).alias("expected_price")), None),
-    "d3_cases": (lambda s, d: cases.build(prices.scores(line_items(s, d), LOOSE).where(F.col("z") >= LOOSE.price_z).withColumn("row_ids", F.array("row_id")), "d3", "inflation"), None),
-    "d4_digit_share": (
-        lambda s, d: vendors.digit_shares(line_items(s, d)),
-        f"WITH {TX_SQL}, {AMOUNTS}, c AS (SELECT item_category, {DIGIT} AS digit, count(*) AS n FROM am GROUP BY 1, 2) SELECT *, n / sum(n) OVER (PARTITION BY item_category) AS share FROM c",
-    ),
-    "d4_first_digit": (lambda s, d: vendors.first_digit_test(line_items(s, d)).select("vendor_key", "n", F.round("chi2", 6).alias("chi2"), F.round("mad", 9).alias("mad"), F.round("p_value", 9).alias("p_value")), None),
-    "d4_period_end": (
-        lambda s, d: vendors.period_end_test(line_items(s, d)).select("vendor_key", "n", "k", F.round("rate", 9).alias("rate"), "material"),
-        f"WITH {TX_SQL}, h AS (SELECT *, (month(txn_date) = 3 OR day(txn_date) > day(last_day(txn_date)) - 4)::INT AS hit FROM tx), r AS (SELECT item_category, avg(hit) AS rate FROM h GROUP BY 1), v AS (SELECT vendor_key, count(*) AS n, sum(hit)::BIGINT AS k, avg(rate) AS rate FROM h JOIN r USING (item_category) GROUP BY 1) SELECT vendor_key, n, k, round(rate, 9) AS rate, k / n >= 2 * rate AS material FROM v WHERE n >= 20 AND rate > 0 AND rate < 1",
-    ),
-    "d4_flags": (lambda s, d: vendors.flags(line_items(s, d)), None),
     "benford": (
         lambda s, d: explore.benford(line_items(s, d)),
         f"WITH {TX_SQL}, a AS (SELECT DISTINCT amount FROM tx WHERE amount > 0), c AS (SELECT {DIGIT} AS digit, count(*) AS n FROM a GROUP BY 1) SELECT digit, n, n / sum(n) OVER () AS share, round(log10(1 + 1.0::DOUBLE / digit), 9) AS expected FROM c",
@@ -202,12 +148,29 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
         f"WITH {TX_SQL}, c AS (SELECT vendor_key, officer_id, count(*) AS n, {MONEY} AS total FROM tx GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY total DESC, officer_id NULLS LAST) AS rank FROM c QUALIFY rank <= 3",
     ),
     "recurring_billing": (
-        lambda s, d: explore.recurring_billing(table(s, d, "events").select(F.col("event_type").alias("vendor_key"), F.round("value", 0).alias("amount"), F.col("ts").cast("date").alias("txn_date")), 1),
-        "SELECT event_type AS vendor_key, round(value, 0) AS amount, count(DISTINCT date_trunc('month', ts)) AS n_months, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(DISTINCT date_trunc('month', ts)) >= 1",
+        lambda s, d: explore.recurring_billing(line_items(s, d).withColumn("amount", F.col("quantity"))),
+        f"WITH {TX_SQL} SELECT vendor_key, quantity AS amount, count(DISTINCT date_trunc('month', txn_date)) AS n_months, count(*) AS n FROM tx GROUP BY 1, 2 HAVING count(DISTINCT date_trunc('month', txn_date)) >= 6",
+    ),
+    "recurring_top": (
+        lambda s, d: explore.recurring_top(line_items(s, d).withColumn("amount", F.col("quantity"))).select("vendor_key", "amount", "n_months", "rank"),
+        f"WITH {TX_SQL}, r AS (SELECT vendor_key, quantity AS amount, count(DISTINCT date_trunc('month', txn_date)) AS n_months FROM tx GROUP BY 1, 2 HAVING count(DISTINCT date_trunc('month', txn_date)) >= 6) SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY n_months DESC, amount)::INT AS rank FROM r QUALIFY rank <= 3",
     ),
-    "similar_rows": (
-        lambda s, d: explore.nearest_rows(line_items(s, d), 3),
-        None,
+    "benford_vendor": (
+        lambda s, d: explore.benford_vendor(line_items(s, d), "000000001 supplier").select("digit", *[F.round(c, 9).alias(c) for c in ("observed", "peers", "benford")]),
+        f"""WITH {TX_SQL}, a AS (SELECT DISTINCT amount FROM tx WHERE vendor_key = '000000001 supplier' AND amount > 0), p AS (SELECT DISTINCT amount FROM tx WHERE amount > 0 AND item_category IN (SELECT DISTINCT item_category FROM tx WHERE vendor_key = '000000001 supplier')), d AS (SELECT unnest(range(1, 10))::INT AS digit)
+SELECT digit, round((SELECT count(*) FROM a WHERE {DIGIT} = d.digit) / (SELECT count(*) FROM a), 9) AS observed, round((SELECT count(*) FROM p WHERE {DIGIT} = d.digit) / (SELECT count(*) FROM p), 9) AS peers, round(log10(1 + 1.0::DOUBLE / digit), 9) AS benford FROM d WHERE (SELECT count(*) FROM a) >= 30""",
+    ),
+    "recent_rows": (
+        lambda s, d: explore.recent(line_items(s, d), 3).select("row_id", "txn_date"),
+        f"WITH {TX_SQL} SELECT row_id, txn_date FROM tx WHERE txn_date > (SELECT max(txn_date) FROM tx) - INTERVAL 3 MONTH",
+    ),
+    "rows_by_id": (
+        lambda s, d: explore.by_ids(line_items(s, d), baseline.inflation(line_items(s, d)).select("row_id")).select("row_id", "vendor_key", "amount"),
+        f"WITH {TX_SQL}, m AS (SELECT item_category, avg(unit_price) AS p FROM tx GROUP BY 1) SELECT row_id, vendor_key, amount FROM tx JOIN m USING (item_category) WHERE unit_price > 2 * p",
+    ),
+    "calculator": (
+        lambda s, d: s.createDataFrame([(e, calculator.evaluate(e)) for e in CALCULATIONS], "expression string, result double"),
+        "SELECT * FROM (VALUES ('1 + 2 * 3', 7.0::DOUBLE), ('-(2,500 - ₹500) / 8', -250.0), ('2 ** 2 ** 2', 16.0), ('7 % 4 + .5', 3.5), ('-7 % 4', 1.0), ('-2 ** 2', -4.0), ('1e3 * 2', 2000.0)) v(expression, result)",
     ),
     "tx_search_page": (
         lambda s, d: explore.page(explore.search(line_items(s, d), words="widget", least=1000, most=60000), [F.desc("amount"), F.asc("row_id")], 10, 25).select("row_id", "vendor_name", "item_desc", "amount"),
@@ -222,18 +185,17 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: orders(s, d).select("row_id", text.indian_money(F.col("amount")).alias("money")),
         f"WITH {TXO_SQL}, t AS (SELECT row_id, printf('%.2f', amount) AS x FROM txo), p AS (SELECT row_id, split_part(x, '.', 1) AS w, split_part(x, '.', 2) AS r FROM t) SELECT row_id, '₹' || CASE WHEN length(w) > 5 THEN w[1:length(w) - 5] || ',' || w[length(w) - 4:length(w) - 3] || ',' || w[length(w) - 2:] WHEN length(w) > 3 THEN w[1:length(w) - 3] || ',' || w[length(w) - 2:] ELSE w END || '.' || r AS money FROM p",
     ),
-    "eval_matches": (matches, None),
     "average_precision": (
         lambda s, d: evaluate.average_precision(table(s, d, "events").select(F.floor("value").alias("score"), (F.col("event_type") == "error").alias("hit")), 1000),
         "WITH g AS (SELECT floor(value) AS score, sum((event_type = 'error')::INT) AS tp, count(*) AS n FROM events GROUP BY 1), r AS (SELECT tp, sum(tp) OVER w AS tps, sum(n) OVER w AS ns FROM g WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(tps / ns * tp / 1000), 9) AS ap FROM r",
     ),
     "row_metrics": (
-        lambda s, d: evaluate.row_metrics(orders(s, d).where("amount >= 225000 and amount < 250000"), orders(s, d).where("row_id % 7 = 0 and amount > 200000")),
-        "WITH f AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice >= 225000 AND o_totalprice < 250000), p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0 AND o_totalprice > 200000), c AS (SELECT count(*) FILTER (f.k IS NOT NULL AND p.k IS NOT NULL) AS tp, count(*) FILTER (p.k IS NULL) AS fp, count(*) FILTER (f.k IS NULL) AS fn FROM f FULL JOIN p ON f.k = p.k) SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c",
+        lambda s, d: evaluate.row_metrics(orders(s, d).where("amount >= 225000 and amount < 250000"), orders(s, d).where("amount > 200000 and officer_id in ('1-URGENT', '2-HIGH')")),
+        "WITH f AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice >= 225000 AND o_totalprice < 250000), p AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')), c AS (SELECT count(*) FILTER (f.k IS NOT NULL AND p.k IS NOT NULL) AS tp, count(*) FILTER (p.k IS NULL) AS fp, count(*) FILTER (f.k IS NULL) AS fn FROM f FULL JOIN p ON f.k = p.k) SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c",
     ),
     "wilson_by_group": (
         quality_by_source,
-        "WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS k, 1.959963984540054::DOUBLE AS z FROM labels JOIN documents USING (doc_id) GROUP BY 1), q AS (SELECT *, k / n AS p FROM c) SELECT source, n, k, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM q",
+        "WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS k, 1.96::DOUBLE AS z FROM labels JOIN documents USING (doc_id) GROUP BY 1), q AS (SELECT *, k / n AS p FROM c) SELECT source, n, k, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM q",
     ),
     "majority_verdict": (
         lambda s, d: evaluate.majority(votes(s, d)),
@@ -244,14 +206,14 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
         "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1",
     ),
     "case_upsert": (
-        lambda s, d: store.upsert(table(s, d, "supplier").where("s_suppkey < 70").select("s_suppkey", "s_name", "s_acctbal"), table(s, d, "supplier").where("s_suppkey >= 40").select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_acctbal") + 1).alias("s_acctbal")), "s_suppkey", ["s_name"]),
-        "SELECT s_suppkey, CASE WHEN s_suppkey < 70 THEN s_name ELSE upper(s_name) END AS s_name, CASE WHEN s_suppkey >= 40 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier",
+        lambda s, d: store.upsert(table(s, d, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name", "s_acctbal"), table(s, d, "supplier").where("s_nationkey < 20").select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_acctbal") + 1).alias("s_acctbal")), "s_suppkey", ["s_name"]),
+        "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE upper(s_name) END AS s_name, CASE WHEN s_nationkey < 20 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_acctbal > 0 OR s_nationkey < 20",
     ),
     "seed_spread": (
         lambda s, d: evaluate.spread(df=table(s, d, "supplier"), by=["s_nationkey"], column="s_acctbal").select("s_nationkey", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd")),
         "SELECT s_nationkey, round(avg(s_acctbal), 6) AS mean, round(coalesce(stddev_samp(s_acctbal), 0), 6) AS sd FROM supplier GROUP BY 1",
     ),
-    "bm25_topk": (bm25, f"WITH {BM25_CTE} SELECT doc_id, round(pa + pb + pc + pd, 9) AS score FROM p WHERE a + b + c + d > 0 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "bm25_topk": (bm25, f"WITH {BM25_CTE} SELECT doc_id, round(2 * pa + pb + pc + pd, 9) AS score FROM p WHERE a + b + c + d > 0 ORDER BY 2 DESC, 1 LIMIT 20"),
     "cosine_topk": (
         cosine,
         "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 20",
@@ -264,9 +226,18 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    out = dict(_ENTRIES)
+    for module in (detection, intake, scoring, review):
+        if clash := set(out) & set(module.ENTRIES):
+            raise ValueError(f"two queries are named {sorted(clash)}")
+        out |= module.ENTRIES
+    return out
+
+
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in _ENTRIES.items()}
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ENTRIES.items() if sql}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
