@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.text import to_prose
+from .retrieval import bm25
 
 SECTION = r"^##\s+(.+?)\s*$"
 # Which row of a policy's table is which threshold.
@@ -65,3 +66,16 @@ def mismatches(found: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     rows = [(k, [float(x) for x in (v if isinstance(v, tuple) else (v,))]) for k, v in own.items()]
     config = found.sparkSession.createDataFrame(rows, "key string, configured array<double>")
     return config.join(found.select("key", F.col("value").alias("policy")), "key", "left").where(~F.col("policy").eqNullSafe(F.col("configured")))
+
+
+def fingerprint(found: DataFrame, model: str) -> DataFrame:
+    """doc_id, fingerprint: a digest of the very texts that are looked up, in order, and of the model's name; what is kept under it is good until either changes."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "prose"))), lambda x: F.concat_ws("\t", x["clause_id"], x["prose"])), "\n")
+    return found.groupBy("doc_id").agg(F.sha2(F.concat_ws("\n", F.lit(model), texts), 256).alias("fingerprint"))
+
+
+def lookup(found: DataFrame, words: list[str], k: int = 3) -> DataFrame:
+    """The k clauses that say most about the words, whole and with their ids."""
+    named = found.select(F.concat_ws("/", F.col("doc_id").cast("string"), "clause_id").alias("doc_id"), F.col("prose").alias("text"))
+    best = bm25(named, words, k)
+    return best.join(named, "doc_id").select(F.col("doc_id").alias("clause"), "score", "text")
