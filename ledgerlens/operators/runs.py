@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,38 +18,38 @@ WEIGHTS = {"window": 0.25, "homogeneity": 0.25, "single_rate": 0.25, "parts": 0.
 POLICY_CLAUSES = ("SG-PP-3.2", "SG-PP-3.3")
 
 
-def folded(threshold: Decimal, days: int):
-    """One pass over rows sorted by vendor, officer, date and id. Only the window is held, however long a group is."""
+def folded(threshold, days: int, unit: int = 1):
+    """One pass over rows sorted by vendor, officer, date and id. Only the window is held, however long a group is. Amounts are exact numbers in units of 1 / unit."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, window, total = None, deque(), Decimal(0)
+        key, window, total = None, deque(), 0
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                k = (r.vendor_key, r.officer_id)
-                if k != key:
-                    key, total = k, Decimal(0)
+            for vendor, officer, day, row_id, amount in zip(*(frame[c].tolist() for c in ("vendor_key", "officer_id", "txn_date", "row_id", "amount")), strict=True):
+                if (vendor, officer) != key:
+                    key, total = (vendor, officer), 0
                     window.clear()
-                while window and (r.txn_date - window[0].txn_date).days > days:
-                    total -= window.popleft().amount
-                window.append(r)
-                total += r.amount
+                while window and (day - window[0][0]).days > days:
+                    total -= window.popleft()[2]
+                window.append((day, row_id, amount))
+                total += amount
                 if total >= threshold:
-                    while len(window) > 1 and total - window[0].amount >= threshold:
-                        total -= window.popleft().amount
-                    out.append((r.vendor_key, r.officer_id, [x.row_id for x in window], float(total), window[0].txn_date, r.txn_date, len(window)))
+                    while len(window) > 1 and total - window[0][2] >= threshold:
+                        total -= window.popleft()[2]
+                    out.append((vendor, officer, [x[1] for x in window], float(total) / unit, window[0][0], day, len(window)))
                     window.clear()
-                    total = Decimal(0)
+                    total = 0
             yield pd.DataFrame(out, columns=["vendor_key", "officer_id", "row_ids", "total", "first_date", "last_date", "n_parts"])
 
     return work
 
 
 def minimal_runs(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """A null officer is a group of its own. Amounts are summed as decimals, so a run exactly at the threshold counts."""
-    parts = tx.where(F.col("amount") < t.approval).select("vendor_key", "officer_id", "txn_date", "row_id", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    """Runs without overlap, each the first to end: from where it ends, the shortest stretch back that reaches the threshold. A null officer is a group of its own. Amounts are summed as whole cents, so a run exactly at the threshold counts."""
+    cents = (F.col("amount").cast("decimal(18,2)") * 100).cast("long")
+    parts = tx.where(F.col("amount") < t.approval).select("vendor_key", "officer_id", "txn_date", "row_id", cents.alias("amount"))
     rows = parts.repartition("vendor_key", "officer_id").sortWithinPartitions("vendor_key", "officer_id", "txn_date", "row_id")
-    return rows.mapInPandas(folded(Decimal(str(t.approval)), t.split_days), "vendor_key string, officer_id string, row_ids array<long>, total double, first_date date, last_date date, n_parts int")
+    return rows.mapInPandas(folded(round(t.approval * 100), t.split_days, 100), "vendor_key string, officer_id string, row_ids array<long>, total double, first_date date, last_date date, n_parts int")
 
 
 def scored_runs(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

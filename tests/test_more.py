@@ -292,3 +292,23 @@ def test_clauses_of_markdown(spark):
     doc = "# T\n**SG-PP-1.1 — Before any section.**\nText one.\n\n\n\nMore | x\n## 2. Limits\nnot a clause\n**SG-PP-2.1 – Bands**\n| a | b |\n|---|---|\n| c | d |\n"
     got = [(x.clause_id, x.title, x.section, x.text, x.prose) for x in policy.clauses(spark.createDataFrame([(1, doc)], "doc_id long, text string")).orderBy("clause_id").collect()]
     assert got == [("SG-PP-1.1", "Before any section", "Procurement policy", "Text one.\n\nMore | x", "Procurement policy. Before any section. Text one. More | x."), ("SG-PP-2.1", "Bands", "2. Limits", "| a | b |\n|---|---|\n| c | d |", "2. Limits. Bands. | a | b |. c, d.")]
+
+
+def test_streams(spark, tmp_path):
+    """A row seen again within the lateness passes once; totals come by day when the watermark has passed it."""
+    from ledgerlens.streaming import fresh_rows, windowed_totals
+
+    schema = "row_id long, at timestamp, vendor string, amount double"
+    at = lambda d, h=0: dt.datetime(2025, 4, d, h)
+    for k, rows in enumerate(([(1, at(1), "a", 1.0), (2, at(1, 5), "b", 2.0)], [(1, at(1), "a", 1.0), (3, at(2), "a", 4.0)], [(4, at(9), "a", 8.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+
+    def run(name, shape, mode):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = shape(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.row_id for r in run("fresh", lambda s: fresh_rows(s, "at", ["row_id"]), "append")) == [1, 2, 3, 4]
+    totals = {(r.start.day, r.vendor): (r.n, r.total) for r in run("totals", lambda s: windowed_totals(s, "at", "vendor", "amount"), "append")}
+    assert totals[1, "b"] == (1, 2.0) and totals[1, "a"] == (2, 2.0) and (9, "a") not in totals
