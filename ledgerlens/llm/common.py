@@ -25,6 +25,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 PARTS = "chunk int, run int, counts binary"
 #: Bytes of a table's files to a group of rows that is held in memory; sizes from UNKNOWN_BYTES on are no estimates.
 GROUP_BYTES, UNKNOWN_BYTES = 96 << 20, 1 << 52
+FILE_ROWS = 5000
 _LOCAL: list[str] = []
 
 
@@ -58,8 +59,10 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint; where its number of rows is known, in files of FILE_ROWS rows or more, as a small table in very many files costs more to open than to read."""
+    if rows is not None:
+        df = df.coalesce(max(1, rows // FILE_ROWS))
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))

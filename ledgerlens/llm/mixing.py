@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs; taken = copies * size."""
+    """doc_id, size, source_size, target, taken, copies, source for every row of docs; taken = copies * size. Rows of one doc_id and source are taken alike."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sizes = known.mapInArrow(_sizes, "doc_id long, source string, size long")
     digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, HASH_DIGITS)
@@ -85,7 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     out = sizes.join(plan, sizes["source"].eqNullSafe(plan["s"]), "left")
     extra = (F.col("h") <= F.col("upto")) & (F.col("passes") < MOST)
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), sizes["source"])
+
+
+def op3(docs: DataFrame) -> DataFrame:
+    return mix(docs).drop("copies", "source")
 
 
 ORACLE = r"""

@@ -4,6 +4,8 @@ Sets. Words are lower-cased (A-Z) and hashed; a document's set holds the 64-bit
 
 Index. A set's members are ordered by how common they are (a fixed-size count sketch over all documents, summed in chunks), then by hash. Two sets that link share a member among the first n - ceil(t n) + 1 of each, so only those prefixes are indexed. Postings go to buckets as packed arrays.
 
+Long lists are cut into parts by a hash of the set, and every two parts meet in a group of their own, so no task holds a long list.
+
 Index-level skipping. In a bucket each list is sorted by set size and cut into blocks of the sizes that may link; within a block entries are ordered by the member's position in its set, and once the position leaves too little overlap for the smallest required, the rest of the block is skipped.
 
 Answer-level skipping. Each list is first compared with one set only, its pivot (the least key). What links to a pivot is in its class; a list whose entries are all of one class is done, so a group of near copies costs one pair for each copy. In the remaining lists, for entry x with known |x & p| and y with known |p & y|, the answer on (x, y) follows from the pivot's: |x & y| <= |p & y| + |x| - |x & p|, and only pairs for which this does not settle it go on. Of any candidates only those are computed whose parity signatures differ in no more bits than linked sets may in members. So every link between different classes is found: the classes are exact.
@@ -28,11 +30,12 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS, CHUNK_BITS = 20, 12
 SHORT = 64
+LIST_PART = 2048  # entries of a list that are compared with each other, or with as many others, in one group
 NEAREST_ROUNDS = 1
 PAIRS_HELD = 1_000_000
 BLOOM_BITS, BLOOM_HASHES = 26, 4
 NO_ID = -1  # stands for a null doc_id where documents are looked for
-FIRST = "doc_id long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
+FIRST = "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, run int, chunk int, counts binary"
 PACKED = "bucket int, tok binary, pos binary, each binary, k1 binary, k2 binary, n binary"
 PAIR = "kind int, tok long, a1 long, a2 long, an long, ai long, b1 long, b2 long, bn long, bi long"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -127,14 +130,14 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [_key(s) for s in sets]
         m = b.num_rows
         yield pa.RecordBatch.from_pydict({
-            "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
+            "doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
             "sign": pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), "run": pa.array([run] * m, pa.int32()), "chunk": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary()),
         })
     parts = [(i, sketch[i << CHUNK_BITS : (i + 1) << CHUNK_BITS]) for i in range(1 << (SKETCH_BITS - CHUNK_BITS))]
     parts = [(i, p.tobytes()) for i, p in parts if p.any()]
     m = len(parts)
     none = pa.nulls(m, pa.int64())
-    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "k1": none, "k2": none, "sign": pa.nulls(m, pa.binary()), "run": pa.array([run] * m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"doc_id": none, "text_hash": none, "n": none, "k1": none, "k2": none, "sign": pa.nulls(m, pa.binary()), "run": pa.array([run] * m, pa.int32()), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
 
 
 def _added(counts: list[bytes]) -> bytes:
@@ -278,15 +281,17 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
     """Pairs of different classes within the lists of a bucket, by blocks of size and, in them, of position; pairs that the pivot's answers or the signatures settle are left out."""
     known = signs.column("own").to_numpy()
     signatures, by_id = Signatures(signs.column("sign")), np.argsort(known)
-    g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure")}
+    g = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure", "part")}
     order = np.lexsort((g["pos"], g["n"], g["size_class"], g["tok"]))
-    tok, size_class, ids, cls, n, pos, sure = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure"))
+    tok, size_class, ids, cls, n, pos, sure, part = (g[c][order] for c in ("tok", "size_class", "id", "cls", "n", "pos", "sure", "part"))
     rank = np.searchsorted(known, ids, sorter=by_id)
     edges = lambda: np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (size_class[1:] != size_class[:-1])]) if len(tok) else np.zeros(0, np.int64)
     # Lists that are all of one class by now are done.
     start = edges()
     mixed_list = np.repeat(np.minimum.reduceat(cls, start) < np.maximum.reduceat(cls, start), np.diff(np.r_[start, len(tok)]))
-    tok, size_class, rank, cls, n, pos, sure = (x[mixed_list] for x in (tok, size_class, rank, cls, n, pos, sure))
+    tok, size_class, rank, cls, n, pos, sure, part = (x[mixed_list] for x in (tok, size_class, rank, cls, n, pos, sure, part))
+    # Of a list's two parts only entries of different ones are compared here.
+    apart = lambda i, j: (cls[i] != cls[j]) & ((part[i] < 0) | (part[i] != part[j]))
     who = by_id[rank]
     start = edges()
     stop = np.r_[start[1:], len(tok)] if len(tok) else start
@@ -311,7 +316,7 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
         if not len(i):
             break
         j = i + step
-        take = np.flatnonzero((cls[i] != cls[j]) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure))
+        take = np.flatnonzero(apart(i, j) & may_link(n[i], pos[i], n[j], pos[j]) & ~_settled(i, j, n, sure))
         take = take[signatures.allow(who[i[take]], who[j[take]], n[i[take]], n[j[take]])]
         add(i[take], j[take])
     for a, b in zip(start, stop, strict=True):
@@ -327,7 +332,7 @@ def _block_pairs(t: pa.Table, signs: pa.Table) -> pa.Table:
                     break  # larger sets need still more
                 upto = block[k] + np.searchsorted(pos[block[k] : edge[k]], sizes[k] - least, "right")  # the rest of the block is skipped
                 j = np.arange(max(block[k], i + 1) if k == lo else block[k], upto)
-                j = j[cls[j] != cls[i]]
+                j = j[apart(np.full(len(j), i), j)]
                 j = j[~_settled(np.full(len(j), i), j, n, sure)]
                 j = j[signatures.allow(np.full(len(j), who[i]), who[j], np.full(len(j), n[i]), n[j])]
                 if len(j):
@@ -408,9 +413,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name_of, name:
 
 def roots(up: DataFrame, rounds: int = 40) -> DataFrame:
     """id, cls of every node of a forest given as (id, up), cls being the least id of its tree: pointers are doubled until all reach a root."""
-    at = checkpointed(up.select("id", "up"))
+    n = up.count()
+    at = checkpointed(up.select("id", "up"), n)
     for _ in range(rounds):
-        nxt = checkpointed(at.join(at.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        nxt = checkpointed(at.join(at.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), n)
         at = nxt.select("id", "up")
         if not nxt.where("moved").limit(1).count():
             break
@@ -418,18 +424,19 @@ def roots(up: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("the forest is deeper than 2 ** rounds")
     tree = at.union(at.select(F.col("up").alias("id"), "up").distinct())
     least = tree.groupBy("up").agg(F.min("id").alias("cls"))
-    return checkpointed(tree.join(least, "up").select("id", "cls"))
+    return checkpointed(tree.join(least, "up").select("id", "cls"), n)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id, cls (least id reachable) of every end of edges (a, b): each round all take the least label around them, then their label's label. Cut by reliable checkpoints; nothing is gathered on the driver but a count."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    label = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cls")))
+    n = both.count()
+    label = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cls")), n)
     for _ in range(rounds):
         around = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cls").alias("near"))
         step = label.join(around, "id").select("id", F.least("cls", "near").alias("to"), F.col("cls").alias("was"))
         hop = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        step = checkpointed(step.join(hop, "to", "left").select("id", F.least("to", "far").alias("cls"), "was"))
+        step = checkpointed(step.join(hop, "to", "left").select("id", F.least("to", "far").alias("cls"), "was"), n)
         label = step.select("id", "cls")
         if not step.where("cls <> was").limit(1).count():
             return label
@@ -454,17 +461,17 @@ def _named(keys: DataFrame) -> tuple[DataFrame, int]:
 
 
 def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; with links also n_links, the number of other rows that the row links to.
+    """doc_id, n_shingles, component_id for every row of docs, and text_hash (xxhash64 of the text), which tells rows of one doc_id apart; with links also n_links, the number of other rows that the row links to.
 
     Sets go by ids of their keys, so rows count by their texts whatever doc_ids they share or lack. Counting links verifies every candidate pair of different sets, as no class settles a count: it takes time with the square of a group of different near copies, where classes do not.
     """
     spark = docs.sparkSession
-    first = written(id_text(docs).mapInArrow(tidy(_first), FIRST), "shingle-keys")
+    first = written(id_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_first), FIRST), "shingle-keys")
     tasks = (first.agg(F.max("run")).first()[0] or 0) + 1
     sketch = np.zeros(1 << SKETCH_BITS, "<u4")  # 4 MB whatever the corpus
     for r in tree_sum(first.where("chunk is not null").select("chunk", "run", "counts"), _added, tasks).collect():
         sketch[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.counts, "<u4")
-    rows = first.where("chunk is null").select("doc_id", "n", "k1", "k2", "run")
+    rows = first.where("chunk is null").select("doc_id", "text_hash", "n", "k1", "k2", "run")
     part = first.where("n > 0").groupBy("k1", "k2", "run").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.count("*").alias("copies"))
     sets = written(part.groupBy("k1", "k2").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.sum("copies").alias("copies")), "sets")
     sets, salt = _named(sets)
@@ -503,8 +510,13 @@ def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
         rest = rest.join(open_, ["tok", "size_class"]).groupBy("same1", "same2", "m", "size_class", "pivot", "id", "cls", "n").agg(F.min("pos").alias("pos")).withColumn("tok", F.col("same1"))
         rest = rest.join(known, ["pivot", "id"], "left")
         sure = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("with_pivot", F.lit(-1))).cast("long")
-        bucket = F.pmod(F.xxhash64("same1", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
-        entries = written(rest.select("tok", "size_class", "id", "n", "pos", sure.alias("sure"), bucket.alias("bucket")), "entries")
+        parts = F.ceil(F.col("m") / LIST_PART).cast("int")
+        rest = rest.select("tok", "same2", "size_class", "id", "n", "pos", sure.alias("sure"), parts.alias("parts"), F.pmod(F.xxhash64("id", F.lit(5)), parts).alias("own"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        rest = rest.withColumn("tok", F.when(F.col("parts") == 1, F.col("tok")).otherwise(F.xxhash64("tok", "low", "high")))
+        bucket = F.pmod(F.xxhash64("tok", "same2", "size_class"), F.lit(4 * buckets)).cast("int")
+        part = F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("own"))
+        entries = written(rest.select("tok", "size_class", "id", "n", "pos", "sure", part.alias("part"), bucket.alias("bucket")), "entries")
         theirs = entries.select("bucket", "id").distinct().join(signs, "id").select(F.col("bucket").alias("at"), F.col("id").alias("own"), "sign")
         return entries, written(theirs, "entry-signatures").groupBy("at")
 
@@ -545,4 +557,8 @@ def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
     of = part.select("k1", "k2", "run").join(of.select("k1", "k2", *more), ["k1", "k2"])
     out = rows.join(of, ["k1", "k2", "run"], "left")
     n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] * links
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links, "text_hash")
+
+
+def op1(docs: DataFrame) -> DataFrame:
+    return ngram_join(docs).drop("text_hash")

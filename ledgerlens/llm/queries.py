@@ -12,9 +12,9 @@ from .common import documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_ngram_jaccard_join": lambda spark, sf_dir: ngram_join.ngram_join(documents(spark, sf_dir)),
+        "op1_ngram_jaccard_join": lambda spark, sf_dir: ngram_join.op1(documents(spark, sf_dir)),
         "op2_language_id": lambda spark, sf_dir: language_id.op2(documents(spark, sf_dir)),
-        "op3_source_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)).drop("copies"),
+        "op3_source_mixing": lambda spark, sf_dir: mixing.op3(documents(spark, sf_dir)),
         "op4_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op4(documents(spark, sf_dir)),
         "op5_ctw_scoring": lambda spark, sf_dir: ctw.op5(documents(spark, sf_dir)),
         "op6_license_scan": lambda spark, sf_dir: license_scan.license_scan(documents(spark, sf_dir)),

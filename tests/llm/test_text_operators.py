@@ -52,7 +52,7 @@ def by_id(df):
 
 
 ALL = {
-    "join": ngram_join.ngram_join, "lang": language_id.op2, "mix": mixing.mix, "suffix": suffix_dedup.op4, "ctw": ctw.op5, "license": license_scan.license_scan,
+    "join": ngram_join.op1, "lang": language_id.op2, "mix": mixing.mix, "suffix": suffix_dedup.op4, "ctw": ctw.op5, "license": license_scan.license_scan,
     "dedup": exact_dedup.exact_dedup, "files": token_files.token_files, "bpe": byte_bpe.byte_bpe, "quality": quality_rules.op10,
 }
 
@@ -90,11 +90,22 @@ def test_block_pairs_miss_nothing():
     r = np.random.default_rng(2)
     for m in (20, 150):
         n = np.sort(r.integers(20, 40, m))
-        t = {"tok": np.ones(m, int), "size_class": np.ones(m, int), "id": np.arange(m), "cls": r.integers(0, 9, m), "n": n, "pos": r.integers(0, 6, m), "sure": np.full(m, -1)}
+        t = {"tok": np.ones(m, int), "size_class": np.ones(m, int), "id": np.arange(m), "cls": r.integers(0, 9, m), "n": n, "pos": r.integers(0, 6, m), "sure": np.full(m, -1), "part": np.full(m, -1)}
         unsigned = pa.table({"own": np.arange(m), "sign": pa.nulls(m, pa.binary())})
         got = {*zip(*(c.to_pylist() for c in ngram_join._block_pairs(pa.table(t), unsigned).columns), strict=True)}
         want = {(i, j) for i in range(m) for j in range(i + 1, m) if t["cls"][i] != t["cls"][j] and ngram_join.may_link(n[i], t["pos"][i], n[j], t["pos"][j])}
         assert got == want
+        # Two parts that meet give the pairs across, and only these.
+        part = r.integers(0, 2, m)
+        got = {*zip(*(c.to_pylist() for c in ngram_join._block_pairs(pa.table(t | {"part": part}), unsigned).columns), strict=True)}
+        assert got == {(i, j) for i, j in want if part[i] != part[j]}
+
+
+def test_ngram_join_with_lists_in_parts(docs, rows, monkeypatch):
+    """The same classes and links where every list is cut into parts of two."""
+    plain = sorted(map(str, ngram_join.ngram_join(docs, links=True).collect()))
+    monkeypatch.setattr(ngram_join, "LIST_PART", 2)
+    assert sorted(map(str, ngram_join.ngram_join(docs, links=True).collect())) == plain
 
 
 def test_signatures_allow_every_link():
@@ -413,7 +424,7 @@ def test_ngram_join_goes_by_texts_not_ids(spark):
         w = [f"w{k}x{r.randrange(500)}" for _ in range(60)]
         step = lambda n, w=w, k=k: " ".join([*w[n:], *(f"n{k}x{i}" for i in range(n))])
         rows += [(10 * k, step(0)), (5, step(3)), (None, step(6)), (10 * k + 1, step(10)), (10 * k + 1, step(10)), (3, f"alone {k} " * 2)]
-    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True).collect()
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True).drop("text_hash").collect()
     key = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(map(tuple, got), key=key) == sorted(joined(rows), key=key)
 
@@ -540,3 +551,136 @@ def test_language_id_of_held_out_documents(spark):
         best = max(range(len(cosine)), key=lambda j: cosine[j])
         assert g.score == pytest.approx(cosine[best], abs=1e-4) and max(cosine[j] for j in range(len(cosine)) if model.langs[model.of[j]] == g.lang_pred) == pytest.approx(cosine[best], abs=1e-5)
     assert seen > 50 and right >= 0.98 * seen
+
+
+CLASHING = "doc_id long, text string, lang string, source string, k1 string, k2 string, block string, bucket string, n int, h string, run string, key string, shard string, records string, kept string, id string, sign string, chunk string, counts string, held_out string, size string, target string, vals string, kind string"
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Repeated rows, doc_ids with several texts, null doc_ids, blanks and nulls in every column, ties, a text over a megabyte, and columns whose names the operators use themselves."""
+    r = random.Random(17)
+    long_text = " ".join(f"word{r.randrange(3000)}" for _ in range(140_000))
+    base = [(1, "Released under the MIT License. " * 3, "en", "s"), (1, "another text of document one, with more words than before", "en", None), (2, None, None, None), (2, "", "fr", "s"), (None, "no id here", "en", "t"), (None, "no id here", "en", "t"), (None, None, None, None), (3, long_text, "fr", "t"), (4, "x", None, "s"), (4, "x", None, "s"), (4, "x", None, "s")]
+    rows = [(*b, *("clash",) * 4, 7, *("clash",) * 15) for b in base]
+    return spark.createDataFrame(rows, CLASHING).repartition(3), base
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_edge_rows(edges, name):
+    """Every operator answers each row, repeated or not, without minding other columns; equal rows get equal answers."""
+    df, base = edges
+    got = ALL[name](df).collect()
+    if name == "license":
+        assert {(g.doc_id, g.license_id) for g in got} == {(1, "MIT")}
+        return
+    assert collections.Counter(g.doc_id for g in got) == collections.Counter(b[0] for b in base)
+    four = [g.asDict() for g in got if g.doc_id == 4]
+    if name in ("dedup", "files"):
+        four = [{k: v for k, v in x.items() if k not in ("kept", "start")} for x in four]
+    assert all(x == four[0] for x in four)
+
+
+def test_edge_rows_of_join_dedup_and_bpe(edges):
+    df, base = edges
+    join = ngram_join.ngram_join(df, links=True).drop("text_hash").collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(map(tuple, join), key=key) == sorted(joined([b[:2] for b in base]), key=key)
+    kept = [g for g in exact_dedup.exact_dedup(df).collect() if g.kept]
+    assert len(kept) == len({(b[1] or "").encode().translate(None, b" \t\n\x0b\x0c\r") for b in base})
+    long_text = base[7][1]
+    (three,) = [g for g in byte_bpe.byte_bpe(df).collect() if g.doc_id == 3]
+    assert three.decoded_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
+
+
+def mixed_copies(rows):
+    """How often the mix takes each doc_id of a source, from sizes sorted by hash. rows: doc_id, text, source."""
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    by = collections.defaultdict(int)
+    for (_, _, s), n in zip(rows, size, strict=True):
+        by[s] += n
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(size)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 2 * by[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2 * by[s] for s in over}
+        left -= sum(2 * by[s] for s in over)
+        open_ -= over
+    out = {}
+    h = lambda d: int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:12], 16)
+    for s in order:
+        mine = sorted((h(d), n, d) for (d, _, x), n in zip(rows, size, strict=True) if x == s)
+        passes = min(2, int(target[s] // by[s])) if by[s] else 0
+        need, below = target[s] - passes * by[s], 0
+        for k in sorted({m[0] for m in mine}):
+            own = sum(n for x, n, _ in mine if x == k)
+            take = passes < 2 and need > 0 and (below + own <= need or (below <= need and below + own - need <= need - below))
+            below += own
+            for x, _, d in mine:
+                if x == k:
+                    out[d, s] = passes + take
+    return out
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """run() against every stage by brute force: quality, exact copies, near copies, the mix, tokens."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randrange(2, 8)))
+    rows = [(900, None, "en", "a"), (901, "", "en", "b"), (902, "too few words", "en", "c"), (903, "same three words " * 40, "en", "a")]
+    for i in range(70):
+        w = [word() for _ in range(r.randrange(55, 120))]
+        kind = i % 7
+        if kind == 1 and i > 7:
+            w = rows[-1][1].split()
+            w[r.randrange(len(w))] = word()
+        text = "  ".join(rows[-1][1].split()) + " " if kind == 2 and i > 7 else " ".join(w)
+        rows.append((None if i == 30 else i // 2 if i in (40, 41) else i, text, "en", r.choice(["a", "b", "c", None])))
+    rows += rows[10:14]
+    rows.append((rows[12][0], " ".join(word() for _ in range(80)), "en", "a"))  # another text of a doc_id whose first text is a copy
+    rows.append((rows[5][0], rows[20][1] + " and then " + word(), "en", "b"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((g.doc_id, g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    docs = [x for x in rows if plain_quality(x[1])[6]]
+    norm = lambda t: (t or "").encode().translate(None, b" \t\n\x0b\x0c\r")
+    stays = {}
+    for x in docs:
+        k = (-len(x[1]), x[0] is None, x[0] or 0, exact_dedup.text_hash(x[1].encode()))
+        if norm(x[1]) not in stays or k < stays[norm(x[1])][0]:
+            stays[norm(x[1])] = (k, x)
+    docs = [x for _, x in stays.values()]
+    component = joined([x[:2] for x in docs])
+    docs = [x for x, c in zip(docs, component, strict=True) if c[2] is None or c[0] is None or c[2] == c[0]]
+    copies = mixed_copies([(d, t, s) for d, t, _, s in docs])
+    bpe = byte_bpe.model(vocabulary_path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    want = collections.Counter()
+    for d, t, _, s in docs:
+        ids = np.array(enc.encode_ordinary(t), "<u4")
+        want[d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += copies[d, s]
+    assert len(docs) < len(rows) and got == +want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], CLASHING).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_ties(spark):
+    """Rows of one doc_id share a hash, so they are taken together or not at all."""
+    rows = [(d, " ".join(["w"] * (1 + d % 5)), s) for s in ("a", "b", None) for d in (1, 2, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    want = mixed_copies(rows)
+    assert len(got) == len(rows) and all(g.copies == want[g.doc_id, g.source] for g in got)
