@@ -33,15 +33,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates. Documents without words or with a null doc_id are in no class and stay."""
-    gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The document of least doc_id of each class of near duplicates. Documents without words or with a null doc_id are in no class and stay; of a doc_id with several texts only those in a class of a lesser doc_id go."""
+    gone = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(f"{MARK}id"), F.col("text_hash").alias(f"{MARK}hash")).distinct()
+    same = (docs["doc_id"].cast("long") == gone[f"{MARK}id"]) & (F.xxhash64(docs["text"].cast("string")) == gone[f"{MARK}hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times. A null doc_id counts as a value."""
-    plan = mix(docs).groupBy(F.col("doc_id").alias(f"{MARK}id")).agg(F.max("copies").alias(f"{MARK}copies")).where(F.col(f"{MARK}copies") > 0)
-    taken = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[f"{MARK}id"]))
+    """Each document as often as the mix takes it: 0, 1 or 2 times. A null doc_id and a null source count as values."""
+    plan = mix(docs).groupBy(F.col("doc_id").alias(f"{MARK}id"), F.col("source").alias(f"{MARK}source")).agg(F.max("copies").alias(f"{MARK}copies")).where(F.col(f"{MARK}copies") > 0)
+    taken = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[f"{MARK}id"]) & docs["source"].cast("string").eqNullSafe(plan[f"{MARK}source"]))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), f"{MARK}copies")).alias(f"{MARK}copy")).drop(f"{MARK}copy")
 
 
