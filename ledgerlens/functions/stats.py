@@ -59,9 +59,15 @@ def exact_ranks(df: DataFrame, value: str, by: list[str], wanted: dict[str, tupl
     """
     shares = sorted(wanted.values())
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p, _ in shares for d in (-4 / accuracy, 4 / accuracy)})
+    brackets: list[list[float]] = []
+    for low, high in sorted((max(0.0, p - 4 / accuracy), min(1.0, p + 4 / accuracy)) for p, _ in shares):
+        if brackets and low <= brackets[-1][1]:
+            brackets[-1][1] = max(high, brackets[-1][1])
+        else:
+            brackets.append([low, high])
+    cuts = [c for b in brackets for c in b]
     edge = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("b"))
-    joined = rows.join(F.broadcast(edge), by) if by else rows.crossJoin(F.broadcast(edge))  # a row a group
+    joined = rows.join(edge, by) if by else rows.crossJoin(F.broadcast(edge))  # one row
     # An even number of cuts below, or all of them: outside every bracket. Such values count as the cut that ends their stretch.
     below = F.size(F.filter("b", lambda x: x < F.col("v")))
     at_edge = F.array_contains("b", F.col("v"))

@@ -38,10 +38,6 @@ def indian_money(amount: Column) -> Column:
     return F.concat(sign, F.lit("₹"), head, F.lit("."), rest)
 
 
-def header_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-
-
 def retrieval_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9₹.,]+)"), 1), lambda w: F.regexp_replace(w, r"^[.,]+|[.,]+$", "")), lambda w: w != "")
 

@@ -87,16 +87,16 @@ def same_supplier(tx: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
 def _in_blocks(rows: DataFrame, by: str, value: str, k: int, blocks: int = 128) -> DataFrame:
     """rows with block and own: a group's rows dealt by stretches of value of about equal numbers of rows, equal values together, and to each stretch also the k rows below and the k above it (own is false). Each stretch passes on only its k first and last rows, and as it has one at least, none is needed beyond the kth stretch."""
     cuts = rows.groupBy(by).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("_cuts"))
-    x = rows.join(F.broadcast(cuts), by).withColumn("block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")  # a row a group
+    x = rows.join(cuts, by).withColumn("block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     dense = x.select(by, "block").distinct().withColumn("_no", F.row_number().over(Window.partitionBy(by).orderBy("block")))
-    x = x.join(F.broadcast(dense), [by, "block"]).withColumn("block", F.col("_no")).drop("_no")  # at most blocks rows a group
+    x = x.join(dense, [by, "block"]).withColumn("block", F.col("_no")).drop("_no")
     edges = None
     for order, step in ((F.desc(value), 1), (F.asc(value), -1)):
         w = Window.partitionBy(by, "block").orderBy(order, "row_id")
         edge = x.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k).drop("_at")
         edge = edge.withColumn("block", F.explode(F.array(*[F.col("block") + step * i for i in range(1, k + 1)])))
         edges = edge if edges is None else edges.unionByName(edge)
-    return x.withColumn("own", F.lit(True)).unionByName(edges.join(F.broadcast(dense.select(by, F.col("_no").alias("block"))), [by, "block"], "left_semi").withColumn("own", F.lit(False)))
+    return x.withColumn("own", F.lit(True)).unionByName(edges.join(dense.select(by, F.col("_no").alias("block")), [by, "block"], "left_semi").withColumn("own", F.lit(False)))
 
 
 def same_commodity(tx: DataFrame, k: int = 5) -> DataFrame:

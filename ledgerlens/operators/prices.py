@@ -22,37 +22,40 @@ def eligible(tx: DataFrame) -> DataFrame:
 def category_stats(rows: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Exact median and MAD of the log price of each category of enough rows. rows: of eligible()."""
     medians = exact_medians(rows, "log_price", ["item_category"]).where(F.col("n") >= t.min_category)
-    off = rows.join(F.broadcast(medians.drop("n")), "item_category").withColumn("off", F.abs(F.col("log_price") - F.col("median")))  # a row a category
+    off = rows.join(medians.drop("n"), "item_category").withColumn("off", F.abs(F.col("log_price") - F.col("median")))
     mads = exact_medians(off, "off", ["item_category"]).select("item_category", F.col("median").alias("mad"))
     return medians.join(mads, "item_category")
 
 
 def scores(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """z of each row's residual after least squares of the relative log price on (1, log quantity, days), the price to expect, and the vendor's share of its category's spend. Nine sums, a date and two medians reach the driver.
+    """z of each row's residual after least squares of the relative log price on (1, log quantity, days), the price to expect, and the vendor's share of its category's spend. Three means, five sums, a date and two medians reach the driver.
 
     The eligible rows are written once, as five passes go over them.
     """
     keep = [c for c in ("row_id", "vendor_key", "item_category", "unit_price", "quantity", "amount", "txn_date") if c in tx.columns]
     every = written(eligible(tx.select(*keep)), "priced")
     stats = written(category_stats(every, t), "categories")
-    rows = every.join(F.broadcast(stats), "item_category").withColumns({"rel": F.col("log_price") - F.col("median"), "lq": F.log("quantity")})
+    rows = every.join(stats, "item_category").withColumns({"rel": F.col("log_price") - F.col("median"), "lq": F.log("quantity")})
     first = rows.agg(F.min("txn_date")).first()[0]
     rows = rows.withColumn("days", F.datediff("txn_date", F.lit(first)).cast("double"))
+    x = ("lq", "days", "rel")
+    means = rows.agg(*[F.avg(c).alias(c) for c in x]).first()
+    if means["rel"] is None:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in ("vendor_share", "residual", "z", "expected_price", "score", "at_risk")})
+    # About the means: sums of squares of days would else swamp those of the logarithms.
+    off = {c: F.col(c) - float(means[c]) for c in x}
     money = F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
     spend = rows.groupBy("item_category").agg(money.alias("category_spend"))
-    by_vendor = rows.groupBy("item_category", "vendor_key").agg(money.alias("vendor_spend")).join(F.broadcast(spend), "item_category")
+    by_vendor = rows.groupBy("item_category", "vendor_key").agg(money.alias("vendor_spend")).join(spend, "item_category")
     rows = rows.join(by_vendor.select("item_category", "vendor_key", (F.col("vendor_spend") / F.col("category_spend")).alias("vendor_share")), ["item_category", "vendor_key"])
-    x = ["1.0D", "lq", "days"]
-    sums = rows.agg(*[F.sum(F.expr(f"{a} * {b}")).alias(f"s{i}{j}") for i, a in enumerate(x) for j, b in enumerate([*x, "rel"]) if j >= i]).first()
-    if sums is None or sums["s00"] is None:
-        return rows.withColumns({c: F.lit(None).cast("double") for c in ("residual", "z", "expected_price", "score", "at_risk")})
-    gram = np.array([[float(sums[f"s{min(i, j)}{max(i, j)}"]) for j in range(3)] for i in range(3)])
-    beta = np.linalg.pinv(gram) @ np.array([float(sums[f"s{i}3"]) for i in range(3)])
-    rows = rows.withColumn("residual", F.col("rel") - (float(beta[0]) + float(beta[1]) * F.col("lq") + float(beta[2]) * F.col("days")))
+    sums = rows.agg(*[F.sum(off[a] * off[b]).alias(f"{a}_{b}") for a, b in (("lq", "lq"), ("lq", "days"), ("days", "days"), ("lq", "rel"), ("days", "rel"))]).first()
+    gram = np.array([[sums["lq_lq"], sums["lq_days"]], [sums["lq_days"], sums["days_days"]]], float)
+    beta = np.linalg.pinv(gram) @ np.array([sums["lq_rel"], sums["days_rel"]], float)
+    rows = rows.withColumn("residual", off["rel"] - (float(beta[0]) * off["lq"] + float(beta[1]) * off["days"]))
     centre = exact_medians(rows, "residual", []).first()["median"]
     spread = exact_medians(rows.withColumn("off", F.abs(F.col("residual") - centre)), "off", []).first()["median"]
     z = (F.col("residual") - centre) / max(SCALE * spread, FLOOR)
-    expected = F.exp(F.col("median") + float(beta[1]) * F.col("lq") + float(beta[2]) * F.col("days"))
+    expected = F.exp(F.col("median") + float(beta[0]) * F.col("lq") + float(beta[1]) * F.col("days"))
     return rows.withColumns({"z": z, "expected_price": expected}).withColumns({"score": logistic(F.col("z") - t.price_z), "at_risk": F.greatest((F.col("unit_price") - F.col("expected_price")) * F.col("quantity"), F.lit(0.0))})
 
 

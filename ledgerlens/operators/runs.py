@@ -70,7 +70,9 @@ def scored_runs(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     for w in reversed(windows):
         tightest = F.when(span <= w, w).otherwise(tightest)
     parts = F.when(F.col("n_parts").between(3, 6), 1.0).when(F.col("n_parts") == 2, 0.6).otherwise(0.7)
-    return runs.withColumns({"window_days": tightest, "span_days": span, "window": F.round(tight, 3), "homogeneity": share("item"), "single_rate": share("rate"), "parts": parts}).withColumn("score", F.round(sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0)), 4)).drop("top_item", "top_rate")
+    # Exact, so that a score on the edge between two is the same whatever the order of its parts.
+    total = sum((F.lit(str(w)).cast("decimal(4,2)") * F.col(c).cast("decimal(6,3)") for c, w in WEIGHTS.items()), F.lit(0).cast("decimal(1,0)"))
+    return runs.withColumns({"window_days": tightest, "span_days": span, "window": F.round(tight, 3), "homogeneity": share("item"), "single_rate": share("rate"), "parts": parts}).withColumn("score", F.round(total, 4).cast("double")).drop("top_item", "top_rate")
 
 
 def detect(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

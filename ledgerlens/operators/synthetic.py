@@ -53,7 +53,7 @@ def ledger(spark: SparkSession, n: int, n_vendors: int = 200, officers: int = 25
     quantity = F.when(F.col("_g.category") == "Consulting", 1.0).otherwise(F.greatest(F.lit(1.0), F.round(F.exp(F.col("_quantity") * 4))))
     price = F.round(F.col("_g.price") * (0.85 + 0.3 * F.col("_price")) * (1 - 0.02 * F.log(quantity)), 2)
     rows = rows.withColumns({"quantity": quantity, "unit_price": price}).withColumn("amount", F.round(F.col("quantity") * F.col("unit_price"), 2))
-    rows = rows.join(F.broadcast(vendors(spark, n_vendors, seed)), "vendor")  # n_vendors rows
+    rows = rows.join(vendors(spark, n_vendors, seed), "vendor")
     fy = fiscal_year(F.col("txn_date"))
     by = Window.partitionBy("vendor").orderBy("txn_date", "row_id")
     rows = rows.withColumns({"_seq": F.row_number().over(by), "_fy": F.row_number().over(Window.partitionBy("vendor", fy).orderBy("txn_date", "row_id"))})

@@ -135,6 +135,12 @@ gc AS (SELECT array_to_string(list_sort(list(id)), ',') AS row_ids, max(score) A
   FROM gm JOIN gs USING (root) GROUP BY gm.root)"""
 
 
+def _model_sql() -> str:
+    """m, u and match weight of every level."""
+    rows = [f"SELECT '{f}' AS field, {i} AS level, m_{f}[{i + 1}] AS m, u_{f}[{i + 1}] AS u FROM last, us" for f, start in linkage.FIELDS for i in range(len(start))]
+    return f"WITH RECURSIVE {MODEL_SQL}, ml AS ({' UNION ALL '.join(rows)}) SELECT field, level, round(m, 6) AS m, round(u, 9) AS u, round(log2(m / u), 1) AS match_weight FROM ml"
+
+
 def same_vendor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.amount_pairs(line_items(spark, sf_dir)).where("a_vendor_key = b_vendor_key").select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))
 
@@ -155,7 +161,7 @@ sc AS (SELECT r.vendor_key, r.officer_id, r.ids, r.total, r.first_date, r.last_d
   CASE WHEN span_days <= 3 THEN 3 WHEN span_days <= 7 THEN 7 ELSE 14 END AS window_days, CASE WHEN span_days <= 3 THEN 1.0 WHEN span_days <= 7 THEN 0.75 ELSE 0.5 END::DOUBLE AS "window",
   round(coalesce(it.top / n_parts, 0.5), 3) AS homogeneity, round(coalesce(rt.top / n_parts, 0.5), 3) AS single_rate, CASE WHEN n_parts BETWEEN 3 AND 6 THEN 1.0 WHEN n_parts = 2 THEN 0.6 ELSE 0.7 END::DOUBLE AS parts
   FROM r LEFT JOIN it USING (vendor_key, officer_id, e) LEFT JOIN rt USING (vendor_key, officer_id, e)),
-sr AS (SELECT *, round(0.25 * "window" + 0.25 * homogeneity + 0.25 * single_rate + 0.25 * parts, 4) AS score FROM sc)"""
+sr AS (SELECT *, round(0.25::DECIMAL(4,2) * ("window"::DECIMAL(6,3) + homogeneity::DECIMAL(6,3) + single_rate::DECIMAL(6,3) + parts::DECIMAL(6,3)), 4)::DOUBLE AS score FROM sc)"""
 
 # ---------------------------------------------------------------- prices
 
@@ -268,6 +274,7 @@ ENTRIES = {
         lambda s, d: linkage.linked(line_items(s, d)).select("a_row_id", "b_row_id", "name", "invoice", "context", "date_gap", F.round("posterior", 6).alias("posterior")),
         f"WITH RECURSIVE {MODEL_SQL} SELECT a_row_id, b_row_id, name, invoice, context, date_gap, round(posterior, 6) AS posterior FROM vpr JOIN post USING (name, invoice, context, date_gap)",
     ),
+    "d1_model": (lambda s, d: linkage.model_frame(line_items(s, d)).select("field", "level", F.round("m", 6).alias("m"), F.round("u", 9).alias("u"), F.round(F.log2(F.col("m") / F.col("u")), 1).alias("match_weight")), _model_sql()),
     "d1_cases": (
         lambda s, d: shown(duplicates.detect(line_items(s, d))),
         f"""WITH RECURSIVE {MODEL_SQL}, {EDGES_SQL.format('tx').replace('ed AS', 'e1 AS')}, ed AS (SELECT a, b, 1.0::DOUBLE AS probability FROM e1
@@ -285,13 +292,21 @@ ENTRIES = {
         lambda s, d: shown(runs.detect(line_items(s, d), EASY)),
         f"WITH RECURSIVE {SCORED_SQL}, c AS (SELECT array_to_string(list_sort(ids), ',') AS row_ids, score, total AS at_risk, vendor_key FROM sr WHERE score >= 0.6) {case_sql('d2', 'split', 'c')}",
     ),
+    "case_metadata": (
+        lambda s, d: runs.detect(line_items(s, d), EASY).select(joined(), *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("policy_clauses", "grain", "parts", "window_days")]),
+        f"WITH RECURSIVE {SCORED_SQL} SELECT array_to_string(list_sort(ids), ',') AS row_ids, CASE WHEN window_days <= 7 THEN 'SG-PP-3.2,SG-PP-3.3' ELSE 'SG-PP-3.2' END AS policy_clauses, 'supplier and officer' AS grain, n_parts::VARCHAR AS parts, window_days::VARCHAR AS window_days FROM sr WHERE score >= 0.6",
+    ),
     "d3_category_stats": (
         lambda s, d: prices.category_stats(prices.eligible(line_items(s, d))).select("item_category", "n", F.round("median", 9).alias("median"), F.round("mad", 9).alias("mad")),
         f"WITH {TX_SQL}, e AS (SELECT *, ln(unit_price) AS lp FROM tx WHERE unit_price > 0 AND quantity > 0), m AS (SELECT item_category, median(lp) AS md, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 20) SELECT item_category, max(n) AS n, round(max(md), 9) AS median, round(median(abs(lp - md)), 9) AS mad FROM e JOIN m USING (item_category) GROUP BY 1",
     ),
     "d3_scores": (
-        lambda s, d: prices.scores(line_items(s, d), LOOSE).select("row_id", F.round("z", 6).alias("z"), F.round("expected_price", 4).alias("expected_price"), F.round("vendor_share", 9).alias("vendor_share")),
-        f"WITH {PRICES_SQL} SELECT row_id, round(z, 6) AS z, round(expected_price, 4) AS expected_price, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY item_category, vendor_key) AS DOUBLE) / CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY item_category) AS DOUBLE), 9) AS vendor_share FROM z",
+        lambda s, d: prices.scores(line_items(s, d), LOOSE).select("row_id", F.round("z", 3).alias("z"), F.round("expected_price", 4).alias("expected_price"), F.round("vendor_share", 9).alias("vendor_share")),
+        f"WITH {PRICES_SQL} SELECT row_id, round(z, 3) AS z, round(expected_price, 4) AS expected_price, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY item_category, vendor_key) AS DOUBLE) / CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY item_category) AS DOUBLE), 9) AS vendor_share FROM z",
+    ),
+    "d3_cases": (
+        lambda s, d: shown(prices.detect(line_items(s, d), Thresholds(price_z=0.6))),
+        f"WITH {PRICES_SQL}, c AS (SELECT row_id::VARCHAR AS row_ids, round(1 / (1 + exp(-(z - 0.6))), 4) AS score, greatest((unit_price - expected_price) * quantity, 0) AS at_risk, vendor_key FROM z WHERE z >= 0.6) {case_sql('d3', 'inflation', 'c')}",
     ),
     "d4_digit_share": (
         lambda s, d: vendors.digit_shares(line_items(s, d)),

@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.names import name_similarity
 from ..operators import evaluate, ingest, intake
 from ..sources import tables
-from ..sources.adapter import TX_SQL, ascii_key, line_items, table
+from ..sources.adapter import TX_SQL, line_items, table
 from ..sources.scratch import shared_path
 from .detection import names_sql
 
@@ -34,7 +34,7 @@ def written_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.read_csv(spark, written_csv(spark, sf_dir), MAPPING)
-    return ingest.stage(rows, MAPPING, ascii_key(F.coalesce("vendor_name", F.lit(""))))
+    return ingest.stage(rows, MAPPING)
 
 
 RAW_SQL = """raw AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey AS k, CASE WHEN o_orderkey % 17 <> 0 THEN '"Customer", ' || o_custkey || chr(10) || 'Pvt Ltd' END AS vendor_name, o_custkey,
@@ -105,7 +105,7 @@ ENTRIES = {
     ),
     "ingest_canonical": (
         canonical,
-        f"""WITH {RAW_SQL} SELECT row_id, vendor_name, array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(vendor_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ') AS vendor_key, k::VARCHAR AS invoice_no, round(amount * 80, 4) AS amount, txn_date,
+        f"""WITH {RAW_SQL} SELECT row_id, vendor_name, o_custkey || ' customer' AS vendor_key, k::VARCHAR AS invoice_no, round(amount * 80, 4) AS amount, txn_date,
   NULL::VARCHAR AS officer_id, NULL::VARCHAR AS item_desc, NULL::VARCHAR AS item_category, quantity, unit_price, 'orders' AS source_dataset, k::VARCHAR AS source_row_ref, FALSE AS is_injected, NULL::VARCHAR AS injection_group_id, NULL::VARCHAR AS injection_type FROM st WHERE drop_reason IS NULL""",
     ),
     "ingest_coerced": (

@@ -22,7 +22,7 @@ BAND = "CASE WHEN {0} >= 66 THEN 'high' WHEN {0} >= 33 THEN 'medium' ELSE 'low'
 CASES_SQL = f"""cs AS (SELECT *, {BAND.format('severity_prelim')} AS band FROM (SELECT c_custkey::VARCHAR AS case_id, {KIND} AS anomaly_type, {DETECTOR} AS detector, lower(c_name) AS vendor_key, {STATUS} AS status, c_mktsegment IN ('MACHINERY', 'BUILDING') AS investigated,
   c_nationkey = 3 AS dismissed_by_agent, {SEVERITY} AS severity_prelim, greatest(c_acctbal, 0) AS amount_at_risk FROM customer))"""
 NOTES_SQL = f"""no AS (SELECT o_orderkey AS note_id, o_custkey::VARCHAR AS case_id, o_orderdate AS created_at, {VERDICT} AS verdict, o_orderstatus = 'P' AS is_ablation, CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'unverified' END AS verification_status,
-  (o_totalprice::BIGINT % 9) AS citations_checked, (o_totalprice::BIGINT % 9) // 2 AS citations_passed, 'Order of ' || o_orderdate::DATE AS finding FROM orders),
+  (floor(o_totalprice)::BIGINT % 9) AS citations_checked, (floor(o_totalprice)::BIGINT % 9) // 2 AS citations_passed, 'Order of ' || o_orderdate::DATE AS finding FROM orders),
 la AS (SELECT * FROM no WHERE NOT is_ablation QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, note_id) = 1)"""
 
 
@@ -34,7 +34,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = "cast(round(o_totalprice) as bigint) % 9"
+    checked = "cast(floor(o_totalprice) as bigint) % 9"
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as note_id", "cast(o_custkey as string) as case_id", "o_orderdate as created_at", f"{VERDICT} as verdict", "o_orderstatus = 'P' as is_ablation", "case when o_orderstatus = 'F' then 'verified' else 'unverified' end as verification_status",
         f"{checked} as citations_checked", f"({checked}) div 2 as citations_passed", "concat('Order of ', cast(cast(o_orderdate as date) as string)) as finding", "o_orderpriority as arm", "cast(null as string) as model",
@@ -300,6 +300,10 @@ SELECT detector, flagged, reviewed, plausible, implausible, unclear, round(p, 9)
         lambda s, d: policy.mismatches(policy.thresholds(policies(s, d)).where("doc_id = 1")).select("key", F.array_join(F.transform("policy", lambda x: F.format_string("%.0f", x)), ",").alias("policy"), F.array_join(F.transform("configured", lambda x: F.format_string("%.0f", x)), ",").alias("configured")),
         "SELECT * FROM (VALUES ('split_detection_window', '15', '14'), ('duplicate_date_window', NULL, '14'), ('new_vendor_period', NULL, '90')) v(key, policy, configured)",
     ),
+    "notes_by_arm": (
+        lambda s, d: queue.latest_notes(notes(s, d), arm="2-HIGH").select("case_id", "note_id"),
+        f"WITH {NOTES_SQL} SELECT case_id, note_id FROM no JOIN orders ON o_orderkey = note_id WHERE o_orderpriority = '2-HIGH' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, note_id) = 1",
+    ),
     "newest_by_key": (
         lambda s, d: store.latest(notes(s, d), ["case_id"], [F.desc("created_at"), F.asc("note_id")]).select("case_id", "note_id"),
         f"WITH {NOTES_SQL} SELECT case_id, note_id FROM no QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, note_id) = 1",

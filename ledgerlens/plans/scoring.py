@@ -186,6 +186,10 @@ ENTRIES = {
     "inject_inflation": (raised, INFLATION_SQL),
     "inject_splits": (cut, SPLITS_SQL),
     "inject_duplicates": (rebooked, DUPLICATES_SQL),
+    "service_categories": (
+        lambda s, d: inject.service_categories(line_items(s, d), 1000, 5, (20, 30)),
+        f"WITH {TX_SQL} SELECT item_category, median(unit_price) AS price, arg_min(item_desc, row_id) AS item_desc FROM tx GROUP BY 1 HAVING median(quantity) BETWEEN 20 AND 30 AND median(unit_price) >= 1000 AND count(*) >= 5",
+    ),
     "inject_table": (planted_shape, f"WITH {TX_SQL}, {COUNTS_SQL} SELECT kind, TRUE AS ids_are_keys, n AS groups FROM pl UNION ALL SELECT 'clean', TRUE, 0"),
     "name_variants": (perturbed, 'SELECT s_suppkey, TRUE AS "case", TRUE AS honorific, TRUE AS blank, TRUE AS suffix, TRUE AS typo FROM supplier'),
     "eval_matches": (matches, f"WITH RECURSIVE {MATCH_SQL} SELECT case_id, group_id FROM mt"),

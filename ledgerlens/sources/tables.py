@@ -42,7 +42,7 @@ def with_row_ids(source: DataFrame, name: str = "row_id") -> DataFrame:
     parts = rows.groupBy("_file", "_start").agg(F.min("_mid").alias("_low"), F.count("*").alias("_n"))
     upto = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = parts.withColumn("_before", upto).drop("_n")
-    out = rows.join(F.broadcast(base), ["_file", "_start"])  # a row a part of a file
+    out = rows.join(base, ["_file", "_start"])
     return out.withColumn(name, F.col("_before") + F.col("_mid") - F.col("_low") + 1).drop("_file", "_start", "_mid", "_low", "_before")
 
 
