@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, small, vocabulary_path
+from .common import id_text, small, tidy, vocabulary_path
 from .token_files import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -136,6 +136,10 @@ class ByteBPE:
         except KeyError:  # the table was emptied on the way
             return b"".join(known[p] if p in known else self.encode(p) for p in cut)
 
+    def forget(self) -> None:
+        for table in (self.known, self.windows, self.parts):
+            table.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         parts = [self.bytes_of[i] for i in ids]
         while len(parts) > 1:
@@ -149,8 +153,8 @@ def model(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
     return _MODELS[path, pattern, cache]
 
 
-def byte_bpe(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids as an array; cache is how many pieces a worker remembers, which changes memory and time, not results."""
+def byte_bpe(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids as an array; cache is how many pieces a worker remembers, and keep whether it does so beyond its task; both change memory and time, not results."""
     import public_tokenizers
 
     path, pattern = vocabulary_path(vocabulary), public_tokenizers.PATTERN
@@ -169,5 +173,7 @@ def byte_bpe(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = Fal
                     ids.append(i)
             out = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
+        if not keep:
+            bpe.forget()
 
-    return id_text(docs).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return id_text(docs).mapInArrow(work if keep else tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
