@@ -1,4 +1,4 @@
-"""The operators as queries over the whole table of documents, and the SQL that gives the same rows where SQL can."""
+"""The operators as queries over the whole tables, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ctw, exact_dedup, language_id, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, token_files
+from . import annulus_kmeans, block_topk, byte_bpe, ctw, exact_dedup, fill_middle, language_id, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, token_files
 from .common import documents
+from .vectors import embeddings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +23,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": lambda spark, sf_dir: token_files.token_files(documents(spark, sf_dir)),
         "op9_byte_bpe": lambda spark, sf_dir: byte_bpe.byte_bpe(documents(spark, sf_dir)),
         "op10_quality_rules": lambda spark, sf_dir: quality_rules.op10(documents(spark, sf_dir)),
+        "op11_centroid_clustering": lambda spark, sf_dir: annulus_kmeans.op11(embeddings(spark, sf_dir)),
+        "op12_fill_in_middle": lambda spark, sf_dir: fill_middle.op12(documents(spark, sf_dir)),
+        "op13_exact_topk": lambda spark, sf_dir: block_topk.op13(embeddings(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op3_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_centroid_clustering": annulus_kmeans.oracle(), "op12_fill_in_middle": fill_middle.ORACLE, "op13_exact_topk": block_topk.ORACLE,
+    }
