@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..functions.stats import binomial_tail, chi2_tail_even, first_digit
 from . import cases
+from .ranks import running
 
 POLICY_CLAUSES = ("SG-PP-5.5", "SG-PP-7.1")
 
@@ -81,10 +82,11 @@ def fisher(tests: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(p: DataFrame, alpha: float = DEFAULT.fdr_alpha) -> DataFrame:
-    """flagged where p is at most the largest p with p <= alpha * rank / n. One row a vendor is ranked."""
-    ranked = p.withColumns({"rank": F.row_number().over(Window.orderBy("combined_p", "vendor_key")), "n": F.count("*").over(Window.partitionBy())})
-    cutoff = F.coalesce(F.max(F.when(F.col("combined_p") <= alpha * F.col("rank") / F.col("n"), F.col("combined_p"))).over(Window.partitionBy()), F.lit(0.0))
-    return ranked.withColumn("cutoff", cutoff).withColumn("flagged", F.col("combined_p") <= F.col("cutoff")).drop("rank", "n")
+    """flagged where p is at most the largest p with p <= alpha * rank / n. Vendors are ranked over ranges of p."""
+    ranked = running(p, ["combined_p", "vendor_key"], rank="rank")
+    n = ranked.count()
+    cutoff = ranked.where(F.col("combined_p") <= alpha * F.col("rank") / F.lit(n)).agg(F.max("combined_p")).first()[0] or 0.0
+    return ranked.drop("rank").withColumn("cutoff", F.lit(cutoff).cast("double")).withColumn("flagged", F.col("combined_p") <= F.col("cutoff"))
 
 
 def evidence(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

@@ -1,7 +1,6 @@
 import datetime as dt
 import itertools
 import random
-from decimal import Decimal
 
 import pytest
 
@@ -51,29 +50,6 @@ def test_runs(spark, parts, want):
     assert [x.row_ids for x in runs.minimal_runs(rows).collect()] == want
 
 
-def test_runs_fold_is_the_greedy_rule():
-    import pandas as pd
-
-    r = random.Random(4)
-    for _ in range(200):
-        rows, day = [], 0
-        for i in range(r.randrange(1, 14)):
-            day += r.randrange(8)
-            rows.append((i, DAY + dt.timedelta(day), Decimal(r.randrange(1, 6))))
-        want, i = [], 0
-        while i < len(rows):
-            ends = [j for j in range(i, len(rows)) if (rows[j][1] - rows[i][1]).days <= 14 and sum(x[2] for x in rows[i : j + 1]) >= 9]
-            if not ends:
-                i += 1
-                continue
-            while i < ends[0] and sum(x[2] for x in rows[i + 1 : ends[0] + 1]) >= 9:
-                i += 1
-            want.append([x[0] for x in rows[i : ends[0] + 1]])
-            i = ends[0] + 1
-        frame = pd.DataFrame([("v", "o", d, k, a) for k, d, a in rows], columns=["vendor_key", "officer_id", "txn_date", "row_id", "amount"])
-        assert list(next(runs.folded(Decimal(9), 14)(iter([frame]))).row_ids) == want
-
-
 def test_em():
     strong, weak = (0, 0, 0, 0), (2, 2, 3, 2)
     post, _, _ = linkage.fit({strong: 200, weak: 2000})
