@@ -15,7 +15,8 @@ PART = "_part"
 
 def ranged(df: DataFrame, order: list[Column | str], parts: int | None = None) -> DataFrame:
     """df, stored, with the number of the range that each row is in (_part): what is in a range comes before all that is in the next. Rows of equal order are in one range. parts: the number of ranges; by default as many as the session's partitions, fewer for little data."""
-    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    rows = written(df, "unranged")  # dealing to ranges reads its input twice, first for a sample of the order
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
     return written(dealt.withColumn(PART, F.spark_partition_id()), "ranged")
 
 

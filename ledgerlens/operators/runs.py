@@ -23,8 +23,9 @@ def numbered(tx: DataFrame, limit: int, days: int, parts: int | None = None) ->
     """Parts of purchases in one order, stored: g, the place of a row; cum, the running sum of cents over the whole table; s, where the shortest stretch ends that reaches back from the row to the limit, if it is in the row's range, of its vendor and officer and within the days; ask, rows whose stretch begins in an earlier range; tail, rows of a range in which such a stretch may begin."""
     cents = (F.col("amount").cast("decimal(18,2)") * 100).cast("long")
     rows = tx.select("vendor_key", "officer_id", "txn_date", "row_id", cents.alias("cents")).where((F.col("cents") > 0) & (F.col("amount") < limit / 100))
-    rows = running(rows, ["vendor_key", "officer_id", "txn_date", "row_id"], rank="g", sums={"cum": F.col("cents")}, parts=parts, edges=True)
-    by_place = Window.partitionBy(PART).orderBy("g")
+    order = ["vendor_key", "officer_id", "txn_date", "row_id"]
+    rows = running(rows, order, rank="g", sums={"cum": F.col("cents")}, parts=parts, edges=True)
+    by_place = Window.partitionBy(PART).orderBy(*order)
     reached = Window.partitionBy(PART).orderBy("cum").rangeBetween(Window.unboundedPreceding, -limit)
     me, want, base = F.struct("g", "vendor_key", "officer_id", "txn_date"), F.col("cum") - limit, F.col("_before_cum")
     rows = rows.withColumns({"after": F.lead(me).over(by_place), "first": F.first(me).over(by_place)})
