@@ -11,7 +11,7 @@ from ..config import DEFAULT
 from ..functions import calculator, text
 from ..functions.stats import wilson
 from ..operators import baseline, cases, evaluate, explore, ingest, retrieval, runs, store
-from . import detection, intake, reports, review, scoring
+from . import detection, intake, reports, review, scoring, streams
 from ..sources.adapter import AUDIT_FIELDS, TX_SQL, TXO_SQL, ascii_key, line_items, orders, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +228,7 @@ SELECT digit, round((SELECT count(*) FROM a WHERE {DIGIT} = d.digit) / (SELECT c
 
 def _all() -> dict[str, tuple[Query, str | None]]:
     out = dict(_ENTRIES)
-    for module in (detection, intake, scoring, review, reports):
+    for module in (detection, intake, scoring, review, reports, streams):
         if clash := set(out) & set(module.ENTRIES):
             raise ValueError(f"two queries are named {sorted(clash)}")
         out |= module.ENTRIES
