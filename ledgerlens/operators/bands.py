@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 
 
-def amount_pairs(tx: DataFrame, tolerance: float = DEFAULT.dup_tolerance, days: tuple[int, int] = (0, DEFAULT.dup_days)) -> DataFrame:
-    """Pairs a < b of rows whose amounts differ by less than tolerance of the larger and whose dates are days[0]..days[1] apart.
+def band(rows: DataFrame, tolerance: float = DEFAULT.dup_tolerance, days: tuple[int, int] = (0, DEFAULT.dup_days)) -> DataFrame:
+    """Pairs of rows, in no order of the two (p_*, q_*), whose amounts differ by less than tolerance of the larger and whose dates are days[0]..days[1] apart (gap).
 
-    Amount buckets are so wide that a pair is in one or two neighbours, date buckets are days[1] + 1 days. Of a bucket's eight neighbours one side is copied to four, so that every pair meets once; within a bucket the lesser row_id comes first. Both buckets are keys of a shuffled join, so a crowded amount is spread over its dates, and AQE splits what is still skewed.
+    Amount buckets are so wide that a pair is in one or two neighbours, date buckets are days[1] + 1 days. Of a bucket's eight neighbours one side is copied to four, so that every pair meets once; within a bucket the lesser row_id comes first. Both buckets are keys of a shuffled join, so a crowded amount is spread over its dates, and AQE splits what is still skewed. Both sides read rows, so a view of several tables should be stored first, with the columns that are wanted.
     """
     width = -math.log1p(-tolerance)
     day = F.datediff("txn_date", F.lit("1970-01-01").cast("date"))
-    rows = tx.where("amount > 0").withColumns({"_ab": F.floor(F.log("amount") / width).cast("long"), "_db": F.floor(day / (days[1] + 1)).cast("long")})
+    rows = rows.where("amount > 0")
+    keyed = rows.withColumns({"_ab": F.floor(F.log("amount") / width).cast("long"), "_db": F.floor(day / (days[1] + 1)).cast("long")})
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(d).alias("d")) for a, d in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])).alias("_step")
-    left = rows.select(*[F.col(c).alias(f"p_{c}") for c in tx.columns], "_ab", "_db")
-    right = rows.select(*[F.col(c).alias(f"q_{c}") for c in tx.columns], "_ab", "_db", steps)
+    left = keyed.select(*[F.col(c).alias(f"p_{c}") for c in rows.columns], "_ab", "_db")
+    right = keyed.select(*[F.col(c).alias(f"q_{c}") for c in rows.columns], "_ab", "_db", steps)
     right = right.withColumns({"_home": (F.col("_step.a") == 0) & (F.col("_step.d") == 0), "_ab": F.col("_ab") + F.col("_step.a"), "_db": F.col("_db") + F.col("_step.d")}).drop("_step")
     gap = F.abs(F.datediff("p_txn_date", "q_txn_date"))
     near = F.abs(F.col("p_amount") - F.col("q_amount")) < tolerance * F.greatest("p_amount", "q_amount")
     once = ~F.col("_home") | (F.col("p_row_id") < F.col("q_row_id"))
     pairs = left.join(right, ["_ab", "_db"]).where(once & near & gap.between(*days) & (F.col("p_row_id") != F.col("q_row_id")))
+    return pairs.withColumn("gap", gap).drop("_ab", "_db", "_home")
+
+
+def amount_pairs(tx: DataFrame, tolerance: float = DEFAULT.dup_tolerance, days: tuple[int, int] = (0, DEFAULT.dup_days)) -> DataFrame:
+    """The pairs of the band as a_* and b_*, the lesser row_id first."""
     first = F.col("p_row_id") < F.col("q_row_id")
     side = lambda x, y, name: [F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{name}_{c}") for c in tx.columns]
-    return pairs.select(*side("p", "q", "a"), *side("q", "p", "b"), gap.alias("gap"))
+    return band(tx, tolerance, days).select(*side("p", "q", "a"), *side("q", "p", "b"), "gap")

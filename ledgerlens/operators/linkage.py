@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.names import name_similarity
+from ..functions.names import identity_name, name_similarity
 from ..functions.text import core_numbers
 from ..sources.scratch import written
-from .bands import amount_pairs
+from .bands import band
 
 # Where the share of each level among duplicates starts.
 FIELDS = (("name", (0.70, 0.20, 0.10)), ("invoice", (0.45, 0.45, 0.05, 0.05)), ("context", (0.85, 0.08, 0.05, 0.02)), ("date_gap", (0.40, 0.35, 0.25)))
@@ -20,23 +20,41 @@ COMPARED = ("row_id", "vendor_name", "invoice_no", "amount", "txn_date", "office
 STRENGTH, SMOOTH, PRIOR = 50.0, 1e-3, (2.0, 38.0)
 
 
+def comparable(tx: DataFrame) -> DataFrame:
+    """The columns that pairs are compared by, and what is worked out once a row rather than once a pair, stored: the view is read once."""
+    return written(tx.select(*COMPARED).withColumns({"invoice": F.lower(F.trim("invoice_no")), "core": core_numbers(F.col("invoice_no"), F.col("txn_date"))}).drop("invoice_no"), "compared")
+
+
 def levels(pairs: DataFrame) -> DataFrame:
-    """invoice, context and date_gap levels of pairs from amount_pairs; 0 is the strongest agreement."""
-    same = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
+    """invoice, context and date_gap levels of pairs of comparable rows from bands.band; 0 is the strongest agreement."""
+    same = lambda c: F.col(f"p_{c}") == F.col(f"q_{c}")
     sure = lambda c: F.coalesce(c, F.lit(False))
-    invoice = F.when(F.col("a_invoice_no").isNull() | F.col("b_invoice_no").isNull(), 3).when(F.lower(F.trim("a_invoice_no")) == F.lower(F.trim("b_invoice_no")), 0)
-    core = lambda p: F.col(f"{p}_core") if f"{p}_core" in pairs.columns else core_numbers(F.col(f"{p}_invoice_no"), F.col(f"{p}_txn_date"))
-    invoice = invoice.when(F.arrays_overlap(core("a"), core("b")), 1).otherwise(2)
-    officer, item = sure(same("officer_id")), sure(same("item_category")) & F.col("a_quantity").eqNullSafe(F.col("b_quantity"))
+    invoice = F.when(F.col("p_invoice").isNull() | F.col("q_invoice").isNull(), 3).when(same("invoice"), 0).when(F.arrays_overlap("p_core", "q_core"), 1).otherwise(2)
+    officer, item = sure(same("officer_id")), sure(same("item_category")) & F.col("p_quantity").eqNullSafe(F.col("q_quantity"))
     context = F.when(officer & item & same("amount"), 0).when(officer & item, 1).when(officer | item, 2).otherwise(3)
     gap = F.when(F.col("gap") <= 3, 0).when(F.col("gap") <= 7, 1).otherwise(2)
     return pairs.withColumns({"invoice": invoice, "context": context, "date_gap": gap})
 
 
-def with_names(pairs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """The name level, from the similarity of distinct name pairs; pairs below the bound go."""
-    names = pairs.select("a_vendor_name", "b_vendor_name").distinct().withColumn("sim", name_similarity("a_vendor_name", "b_vendor_name")).where(F.col("sim") >= t.name_confirm)
-    return pairs.join(names, ["a_vendor_name", "b_vendor_name"]).withColumn("name", F.when(F.col("sim") >= 95, 0).when(F.col("sim") >= 88, 1).otherwise(2))
+def may_be_alike(a: F.Column, b: F.Column, shared: F.Column, least: float) -> F.Column:
+    """Whether two texts, of which so many letters are shared, can be alike by least of 100: their longest common subsequence is no longer than that, nor than the shorter text."""
+    both = F.length(a) + F.length(b)
+    return 200.0 * F.least(shared, F.length(a), F.length(b)) >= least * both
+
+
+def similar_names(pairs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """p_vendor_name, q_vendor_name, name (its level) of the distinct pairs of names that are alike enough. Lengths and shared letters rule out pairs before they are compared in Python; a name's own form is made once."""
+    names = pairs.select("p_vendor_name", "q_vendor_name").distinct()
+    each = names.select(F.explode(F.array("p_vendor_name", "q_vendor_name")).alias("vendor_name")).distinct().withColumn("form", identity_name("vendor_name"))
+    # The n-th of a letter gets the number n, so that a set's overlap counts letters.
+    ordered = F.array_sort(F.split("form", ""))
+    told = written(each.withColumn("ordered", ordered).withColumn("letters", F.transform("ordered", lambda c, i: F.concat(c, (i - F.array_position(F.col("ordered"), c)).cast("string")))).drop("ordered"), "names")
+    side = lambda x: told.select(F.col("vendor_name").alias(f"{x}_vendor_name"), F.col("form").alias(f"{x}_form"), F.col("letters").alias(f"{x}_letters"))
+    both = names.join(side("p"), "p_vendor_name").join(side("q"), "q_vendor_name")
+    shared = F.size(F.array_intersect("p_letters", "q_letters"))
+    left = both.where(may_be_alike(F.col("p_form"), F.col("q_form"), shared, t.name_confirm)).select("p_vendor_name", "q_vendor_name")
+    sim = left.withColumn("sim", name_similarity("p_vendor_name", "q_vendor_name")).where(F.col("sim") >= t.name_confirm)
+    return written(sim.select("p_vendor_name", "q_vendor_name", "sim", F.when(F.col("sim") >= 95, 0).when(F.col("sim") >= 88, 1).otherwise(2).alias("name")), "alike")
 
 
 def fit(counts: dict[tuple[int, ...], int], reference: dict[tuple[int, ...], int] | None = None, t: Thresholds = DEFAULT) -> tuple[dict[tuple[int, ...], float], list, list]:
@@ -74,9 +92,10 @@ def fit(counts: dict[tuple[int, ...], int], reference: dict[tuple[int, ...], int
     return {v: posterior(v) for v in counts}, m, u
 
 
-def vector_counts(pairs: DataFrame) -> dict[tuple[int, ...], int]:
+def vector_counts(vectors: DataFrame) -> dict[tuple[int, ...], int]:
+    """How many pairs have each vector: 144 at most. vectors: the levels and n."""
     names = [f for f, _ in FIELDS]
-    return {tuple(r[f] for f in names): r["n"] for r in pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    return {tuple(r[f] for f in names): r["n"] for r in vectors.groupBy(*names).agg(F.sum("n").alias("n")).collect()}
 
 
 def weights(m: list, u: list) -> list[tuple[str, int, float, float, float]]:
@@ -84,16 +103,29 @@ def weights(m: list, u: list) -> list[tuple[str, int, float, float, float]]:
     return [(f, i, float(m[j][i]), float(u[j][i]), round(math.log2(m[j][i] / u[j][i]), 2)) for j, (f, start) in enumerate(FIELDS) for i in range(len(start))]
 
 
-def compared(tx: DataFrame, days: tuple[int, int], t: Thresholds = DEFAULT) -> DataFrame:
-    """Pairs of the amount and date band whose names pass, with their comparison vectors, whatever the vendor keys."""
-    rows = tx.select(*COMPARED).withColumn("core", core_numbers(F.col("invoice_no"), F.col("txn_date")))
-    return with_names(levels(amount_pairs(rows, t.dup_tolerance, days)), t)
+ALIKE = ("p_vendor_name", "q_vendor_name", "invoice", "context", "date_gap")
+
+
+def candidates(rows: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """a_row_id, b_row_id, sim and the four levels of pairs close in amount and time whose names pass, whatever the vendor keys."""
+    pairs = levels(band(rows, t.dup_tolerance, (0, t.dup_days))).select(F.least("p_row_id", "q_row_id").alias("a_row_id"), F.greatest("p_row_id", "q_row_id").alias("b_row_id"), *ALIKE)
+    pairs = written(pairs, "pairs")
+    names = [f for f, _ in FIELDS]
+    return pairs.join(similar_names(pairs, t), ["p_vendor_name", "q_vendor_name"]).select("a_row_id", "b_row_id", "sim", *names)
+
+
+def reference(rows: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The vectors, with their numbers n, of pairs that pass the same checks but are too far apart in time to be duplicates. Pairs are counted by names and levels as they are met; none is stored or sent."""
+    counted = levels(band(rows, t.dup_tolerance, t.reference_days)).groupBy(*ALIKE).agg(F.count("*").alias("n"))
+    counted = written(counted, "reference")
+    return counted.join(similar_names(counted, t), ["p_vendor_name", "q_vendor_name"])
 
 
 def model(tx: DataFrame, t: Thresholds = DEFAULT) -> tuple[dict[tuple[int, ...], float], list, list, DataFrame]:
-    """Posteriors of the vectors, m, u and the candidates they were counted on. u is of the pairs that pass the same checks but are too far apart in time to be duplicates. Candidates and reference are counted from tables of vectors, so only counts reach the driver."""
-    near = written(compared(tx, (0, t.dup_days), t).select("a_row_id", "b_row_id", "sim", *[f for f, _ in FIELDS]), "candidates")
-    post, m, u = fit(vector_counts(near), vector_counts(compared(tx, t.reference_days, t)), t)
+    """Posteriors of the vectors, m, u and the candidates they were counted on; u is of the reference. Only counts reach the driver."""
+    rows = comparable(tx)
+    near = written(candidates(rows, t), "candidates")
+    post, m, u = fit(vector_counts(near.withColumn("n", F.lit(1).cast("long"))), vector_counts(reference(rows, t)), t)
     return post, m, u, near
 
 

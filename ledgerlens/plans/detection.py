@@ -9,6 +9,7 @@ from ..config import Thresholds
 from ..functions.names import identity_name, name_similarity, normalize_vendor
 from ..operators import bands, baseline, cases, detection, duplicates, explore, graph, linkage, prices, runs, vendors
 from ..sources.adapter import TX_SQL, TXO_SQL, line_items, orders, table
+from ..sources.scratch import written
 
 LOOSE = Thresholds(price_z=2.0)
 #: Split runs of the provided tables score lower than real ones do.
@@ -24,6 +25,11 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("case_id", "anomaly_type", "detector", joined(), F.round("detector_score", 4).alias("detector_score"), F.round("amount_at_risk", 2).alias("amount_at_risk"), "severity_prelim", "band", "vendor_key")
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the band join needs of the view, stored."""
+    return written(line_items(spark, sf_dir).select("row_id", "amount", "txn_date"), "dated")
+
+
 def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item, and each booked again three days later with its invoice number in another case and blanks around it."""
     tx = line_items(spark, sf_dir)
@@ -262,10 +268,10 @@ ENTRIES = {
         lambda s, d: shown(duplicates.duplicate_cases(twice(s, d), duplicates.exact_edges(twice(s, d)).select("a", "b", F.lit("exact").alias("stage"), F.lit(1.0).alias("probability")))),
         f"WITH RECURSIVE {TX_SQL}, {TWICE_SQL}, {EDGES_SQL.format('tw').replace('ed AS (SELECT *', 'ed AS (SELECT *, 1.0::DOUBLE AS probability')}, {GROUPS_SQL}, {group_cases_sql('tw')} {case_sql('d1', 'duplicate', 'gc')}",
     ),
-    "d1_blocked_pairs": (lambda s, d: bands.amount_pairs(line_items(s, d)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT a_row_id, b_row_id FROM pr"),
-    "d1_reference_pairs": (lambda s, d: bands.amount_pairs(line_items(s, d), days=(30, 180)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(30, 180)} SELECT a_row_id, b_row_id FROM pr"),
+    "d1_blocked_pairs": (lambda s, d: bands.amount_pairs(dated(s, d)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT a_row_id, b_row_id FROM pr"),
+    "d1_reference_pairs": (lambda s, d: bands.amount_pairs(dated(s, d), days=(30, 180)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(30, 180)} SELECT a_row_id, b_row_id FROM pr"),
     "d1_levels_histogram": (
-        lambda s, d: linkage.levels(bands.amount_pairs(line_items(s, d))).groupBy("context", "date_gap", "invoice").agg(F.count("*").alias("n")),
+        lambda s, d: linkage.levels(bands.band(linkage.comparable(line_items(s, d)))).groupBy("context", "date_gap", "invoice").agg(F.count("*").alias("n")),
         f"""WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT CASE WHEN ao = bo AND ac = bc AND aq = bq AND a_amount = b_amount THEN 0 WHEN ao = bo AND ac = bc AND aq = bq THEN 1 WHEN ao = bo OR (ac = bc AND aq = bq) THEN 2 ELSE 3 END AS context,
   CASE WHEN gap <= 3 THEN 0 WHEN gap <= 7 THEN 1 ELSE 2 END AS date_gap, CASE WHEN lower(trim(ai)) = lower(trim(bi)) THEN 0 WHEN list_has_any({core_sql("ai", "ad")}, {core_sql("bi", "bd")}) THEN 1 ELSE 2 END AS invoice, count(*) AS n FROM pr GROUP BY 1, 2, 3""",
     ),
