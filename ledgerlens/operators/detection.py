@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..sources.scratch import written
 from . import baseline, duplicates, prices, runs, vendors
 
 REGISTRY: dict[str, Callable[[DataFrame, Thresholds], DataFrame]] = {"baseline": baseline.detect, "d1": duplicates.detect, "d2": runs.detect, "d3": prices.detect, "d4": vendors.detect}
@@ -24,7 +25,7 @@ def run_detection(tx: DataFrame, detectors: Sequence[str] = PRODUCTION, t: Thres
         raise KeyError(f"unknown detectors {unknown}; there are {sorted(REGISTRY)}")
     if planted:
         raise PlantedDataError("planted anomalies are for evaluation, not for the queue of cases")
-    out = None
+    tx, out = written(tx, "audited"), None  # a view of several tables is joined once
     for name in detectors:
         found = REGISTRY[name](tx, t)
         out = found if out is None else out.unionByName(found)

@@ -347,10 +347,22 @@ ENTRIES = {
   UNION ALL SELECT count(*) FILTER (amount % 1000 = 0), CAST(sum(CAST(amount AS DECIMAL(18,2))) FILTER (amount % 1000 = 0) AS DOUBLE) FROM tx GROUP BY vendor_key HAVING count(*) >= 10 AND count(*) FILTER (amount % 1000 = 0) / count(*) >= 0.5)
 SELECT 'baseline' AS detector, count(*) AS n_cases, sum(n)::BIGINT AS n_rows, CAST(sum(CAST(r AS DECIMAL(24,4))) AS DOUBLE) AS at_risk FROM c""",
     ),
-    "clean_check": (
-        lambda s, d: detection.clean_check(detection.run_detection(line_items(s, d), ("d2", "d4")), ("d2", "d4", "d9")),
-        f"WITH RECURSIVE {SCORED_SQL}, {VENDORS_SQL[len(TX_SQL) + 2 :]} SELECT 'd2' AS detector, count(*) AS n_cases, coalesce(sum(n_parts), 0)::BIGINT AS n_rows FROM sr WHERE score >= 0.85 UNION ALL SELECT 'd4', (SELECT count(*) FROM fg WHERE flagged), (SELECT count(*) FROM tx WHERE amount > 0 AND vendor_key IN (SELECT vendor_key FROM fg WHERE flagged)) UNION ALL SELECT 'd9', 0, 0",
-    ),
+    "clean_check": (lambda s, d: detection.clean_check(detection.run_detection(line_items(s, d))), None),
     "vendor_names": (disguised_names, _names_sql()),
     "similar_rows": (lambda s, d: explore.similar_rows(line_items(s, d), 3), SIMILAR_SQL),
 }
+
+
+def _clean_sql() -> str:
+    """Cases and distinct rows of all four detectors at their own thresholds."""
+    own = {
+        "d1": ENTRIES["d1_cases"][1],
+        "d2": ENTRIES["d2_cases"][1].replace("score >= 0.6", "score >= 0.85"),
+        "d3": ENTRIES["d3_cases"][1].replace("z - 0.6", "z - 5.5").replace("z >= 0.6", "z >= 5.5"),
+        "d4": ENTRIES["d4_cases"][1],
+    }
+    each = "SELECT '{0}' AS detector, count(DISTINCT case_id) AS n_cases, count(DISTINCT x) AS n_rows FROM (SELECT case_id, unnest(string_split(row_ids, ',')) AS x FROM ({1}))"
+    return " UNION ALL ".join(each.format(d, sql) for d, sql in own.items())
+
+
+ENTRIES["clean_check"] = (ENTRIES["clean_check"][0], _clean_sql())
