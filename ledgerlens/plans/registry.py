@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import calculator, text
 from ..functions.stats import wilson
-from ..operators import baseline, cases, evaluate, explore, ingest, retrieval, runs, store
+from ..operators import baseline, cases, evaluate, explore, indexes, ingest, retrieval, runs, store
 from . import detection, intake, reports, review, scoring, streams
+from ..sources.scratch import shared_path
 from ..sources.adapter import AUDIT_FIELDS, TX_SQL, TXO_SQL, ascii_key, line_items, orders, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,16 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf_dir, "documents"), BM25_WORDS, 20)
 
 
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes.write_lexical(table(spark, sf_dir, "documents"), path := shared_path(spark, "lexical"))
+    return indexes.search_lexical(spark, path, BM25_WORDS, 20)
+
+
+def cosine_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes.write_vectors(table(spark, sf_dir, "embeddings"), path := shared_path(spark, "vectors"))
+    return indexes.search_vectors(spark, path, one_vector(spark, sf_dir), 20)[0]
+
+
 def one_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding]
 
@@ -218,6 +229,11 @@ SELECT digit, round((SELECT count(*) FROM a WHERE {DIGIT} = d.digit) / (SELECT c
         cosine,
         "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 20",
     ),
+    "bm25_indexed": (bm25_indexed, f"WITH {BM25_CTE} SELECT doc_id, round(2 * pa + pb + pc + pd, 9) AS score FROM p WHERE a + b + c + d > 0 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "cosine_indexed": (
+        cosine_indexed,
+        "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 20",
+    ),
     "rrf_fuse": (
         fused,
         f"WITH {BM25_CTE}, x AS (SELECT doc_id, row_number() OVER (ORDER BY round(pa + pb, 9) DESC, doc_id) AS k FROM p WHERE a + b > 0), y AS (SELECT doc_id, row_number() OVER (ORDER BY round(pc + pd, 9) DESC, doc_id) AS k FROM p WHERE c + d > 0), z AS (SELECT * FROM x WHERE k <= 5 UNION ALL SELECT * FROM y WHERE k <= 5) SELECT doc_id AS id, round(sum(1 / (60 + k)), 12) AS score FROM z GROUP BY 1",
