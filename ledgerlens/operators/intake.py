@@ -133,8 +133,13 @@ def load(spark: SparkSession, path: str, mapping: Mapping, table: str) -> dict:
     from ..sources.scratch import written
     from ..sources.tables import replace_table
 
-    staged = written(ingest.stage(ingest.read_csv(spark, path, mapping), mapping), "staged")
+    told = Observation()
+    rows = ingest.stage(ingest.read_csv(spark, path, mapping), mapping)
+    lost = [F.count_if(F.col("drop_reason").isNull() & F.col(c).isNotNull() & F.col(f"{c}_num").isNull()).alias(f"lost_{c}") for c in ("quantity", "unit_price")]
+    gone = [F.count_if(F.col("drop_reason") == r).alias(r) for r in ingest.REASONS]
+    # The counts come with the one pass that stores the rows.
+    staged = written(rows.observe(told, F.count("*").alias("read"), *gone, *lost), "staged")
     replace_table(ingest.canonical_table(staged, mapping), table)
-    reasons = {r.drop_reason: r.n for r in ingest.drop_counts(staged).collect()}  # five rows
-    read = staged.count()
-    return {"read": read, "loaded": read - sum(reasons.values()), "dropped": reasons, "coerced": {r.field: r.n for r in ingest.coerced(staged).collect()}}
+    n = told.get
+    reasons = {r: n[r] for r in ingest.REASONS}
+    return {"read": n["read"], "loaded": n["read"] - sum(reasons.values()), "dropped": reasons, "coerced": {c: n[f"lost_{c}"] for c in ("quantity", "unit_price")}}

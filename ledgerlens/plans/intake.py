@@ -98,7 +98,24 @@ def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", bumped.alias("bumped"), written.alias("written"), text.fiscal_year(F.col("o_orderdate")).alias("fiscal_year"), text.same_text(F.concat(F.lit(" '"), F.upper("o_orderpriority"), F.lit("'. ")), F.col("o_orderpriority")).alias("same"))
 
 
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items stored for lookups, and found by id, by vendor and day, and by day alone."""
+    path = shared_path(spark, "indexed")
+    tables.write_indexed(line_items(spark, sf_dir).select("row_id", "vendor_key", "txn_date", "amount"), path)
+    ids = [r.row_id for r in spark.read.parquet(path).select("row_id").orderBy("row_id").limit(20).collect()]
+    quarter = (ingest.dt.date(1995, 1, 1), ingest.dt.date(1995, 3, 31))
+    found = tables.lookup(spark, path, row_ids=ids).withColumn("by", F.lit("id"))
+    found = found.unionByName(tables.lookup(spark, path, vendors=[FIRST_VENDOR], days=quarter).withColumn("by", F.lit("vendor")))
+    return found.unionByName(tables.lookup(spark, path, days=(quarter[0], quarter[0])).withColumn("by", F.lit("day")))
+
+
+FIRST_VENDOR = "000000001 supplier"
 ENTRIES = {
+    "row_lookup": (
+        looked_up,
+        f"""WITH {TX_SQL}, t AS (SELECT row_id, vendor_key, txn_date, amount FROM tx) SELECT * FROM (SELECT *, 'id' AS by FROM t ORDER BY row_id LIMIT 20)
+  UNION ALL SELECT *, 'vendor' FROM t WHERE vendor_key = '{FIRST_VENDOR}' AND txn_date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' UNION ALL SELECT *, 'day' FROM t WHERE txn_date = DATE '1995-01-01'""",
+    ),
     "csv_row_ids": (
         lambda s, d: tables.with_row_ids(tables.read_text_csv(s, written_csv(s, d))).select("row_id", F.col("Order #").cast("long").alias("k"), F.length("Supplier Name").alias("n")),
         "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 2 ELSE length(' \"Customer\", ' || o_custkey || 'Pvt Ltd ') + 1 END::INT AS n FROM orders",

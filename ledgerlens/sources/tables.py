@@ -53,14 +53,42 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in CANONICAL])
 
 
-def replace_table(df: DataFrame, path: str, by: str = "vendor_key") -> None:
-    """df in place of what is at path. Rows are dealt by vendor and sorted by it and date, so that files' statistics let readers skip what they don't ask for, as an index would; the old table goes only when the new one is whole."""
-    new = f"{path}.new-{uuid.uuid4().hex[:8]}"
-    canonical_columns(df).repartition(F.col(by)).sortWithinPartitions(by, "txn_date").write.parquet(new)
+#: Rows of a row group, which is what a lookup reads or leaves out.
+GROUP_ROWS = 100_000
+LOOKED_UP = ("row_id", "vendor_key")
+
+
+def write_indexed(df: DataFrame, path: str, order: tuple[str, ...] = ("vendor_key", "txn_date", "row_id"), keys: tuple[str, ...] = LOOKED_UP, group_rows: int = GROUP_ROWS, parts: int | None = None) -> None:
+    """df as a table that is looked up without being read whole. Rows are dealt to ranges of the order and sorted by it, so a vendor of many rows is spread over files, and each row group's least and largest values leave out other vendors and days; Bloom filters do it for the keys, whatever their order."""
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    write = dealt.sortWithinPartitions(*order).write.option("parquet.block.row.count.limit", group_rows)
+    for key in keys:
+        write = write.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", group_rows)
+    write.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, row_ids: list[int] | None = None, vendors: list[str] | None = None, days: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    """Rows of a table of write_indexed by id, by vendor and by day, both ends included; what is given must all hold. The conditions reach the files, as they are plain comparisons."""
+    rows = spark.read.parquet(path)
+    for column, values in (("row_id", row_ids), ("vendor_key", vendors)):
+        if values is not None:
+            rows = rows.where(F.col(column).isin(values))
+    return rows if days is None else rows.where((F.col("txn_date") >= F.lit(days[0])) & (F.col("txn_date") <= F.lit(days[1])))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df in place of what is at path, as write_indexed writes it. The old table is set aside, and goes when the new one is in its place; if that fails it is put back."""
+    new, old = (f"{path}.{x}-{uuid.uuid4().hex[:8]}" for x in ("new", "old"))
+    write_indexed(canonical_columns(df), new)
     fs, _path = _files(df.sparkSession, path)
-    fs.delete(_path(path), True)
+    there = fs.exists(_path(path))
+    if there and not fs.rename(_path(path), _path(old)):
+        raise OSError(f"cannot set the old table at {path} aside")
     if not fs.rename(_path(new), _path(path)):
+        if there:
+            fs.rename(_path(old), _path(path))
         raise OSError(f"cannot put the new table at {path}")
+    fs.delete(_path(old), True)
 
 
 def append(df: DataFrame, path: str, schema: str) -> None:
