@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import BENFORD, first_digit
+from ..sources.scratch import written
 from .baseline import money
+from .ranks import running
 
 
 def vendor_profiles(tx: DataFrame) -> DataFrame:
@@ -60,60 +62,48 @@ def benford_vendor(tx: DataFrame, vendor: str, least: int = 30) -> DataFrame:
     return out.withColumn("n", F.max("n_observed").over(Window.partitionBy())).where(F.col("n") >= least).select("digit", "observed", "peers", "benford")
 
 
-def _closest(rows: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
-    """near: for each row the rows of its group that can be among the k closest in value, ties by row_id. Of those with its own value these are the k + 1 of least row_id; where they are no more than k, the k beside them on either side lie within 2 k places."""
-    me = F.struct(value, "row_id")
-    same = Window.partitionBy(*by, value).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sides = [Window.partitionBy(*by).orderBy(order, "row_id") for order in (F.asc(value), F.desc(value))]
-    near = [F.nth_value(me, i).over(same) for i in range(1, k + 2)] + [F.lead(me, i).over(w) for w in sides for i in range(1, 2 * k)]
-    return rows.withColumns({f"_near{i}": c for i, c in enumerate(near)}).withColumn("near", F.array_distinct(F.filter(F.array(*[f"_near{i}" for i in range(len(near))]), lambda x: x.isNotNull() & (x["row_id"] != F.col("row_id"))))).drop(*[f"_near{i}" for i in range(len(near))])
-
-
-def _ranked(rows: DataFrame, gap, k: int, most: float | None = None) -> DataFrame:
-    """row_id, rank, near_id, gap of the k closest by gap and row_id, of those at most most away."""
-    found = F.transform("near", lambda x: F.struct(gap(x).cast("double").alias("gap"), x["row_id"].alias("near_id")))
+#: Values that a task looks at together, of one group or of several.
+STRETCH = 4096
+
+
+def nearest(rows: DataFrame, by: str, value: str, k: int, most: float | None = None, stretch: int = STRETCH) -> DataFrame:
+    """row_id, rank, near_id, gap: for each row the k other rows of its group closest in value, ties by row_id, at most most away. Rows without a value are looked up as 0 and found by none; rows without a group have no others.
+
+    Of equal values only the k + 1 least ids can be among the closest, so a value that many rows share is one line. Lines are numbered in one order of groups and values and dealt to stretches of that many, each with the k + 1 lines beyond either end: neither a group nor a value is gathered. Rows of one value share its answer, but for themselves.
+    """
+    rows = written(rows.select("row_id", F.col(by).alias("of"), F.col(value).cast("double").alias("v")).where("of is not null"), "valued")
+    reach = k + 1
+    least = Window.partitionBy("of", "v").orderBy("row_id")
+    ids = rows.where("v is not null").withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= reach).select("of", "v", F.array("row_id").alias("ids"))
+    asked = rows.where("v is null").select("of", F.lit(0.0).alias("v"), F.array().cast("array<bigint>").alias("ids")).distinct()
+    lines = ids.unionByName(asked).groupBy("of", "v").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))  # k + 1 of them
+    lines = running(lines, ["of", "v"], rank="g")
+    at, own = F.col("g") % stretch, F.floor(F.col("g") / stretch)
+    dealt = lines.withColumn("own", own).withColumn("stretch", F.explode(F.filter(F.array(F.col("own"), F.when(at <= reach, F.col("own") - 1), F.when(at >= stretch - 1 - reach, F.col("own") + 1)), lambda x: x.isNotNull())))
+    # A line that was only asked for holds no id, so it does not count as one of the k.
+    beside = Window.partitionBy("stretch").orderBy("g").rowsBetween(-reach, reach)
+    around = dealt.withColumn("around", F.collect_list(F.struct("of", "v", "ids")).over(beside)).where("own = stretch")
+    found = F.flatten(F.transform(F.filter("around", lambda x: x["of"] == F.col("of")), lambda x: F.transform(x["ids"], lambda i: F.struct(F.abs(x["v"] - F.col("v")).alias("gap"), i.alias("near_id")))))
     found = found if most is None else F.filter(found, lambda x: x["gap"] <= most)
-    return rows.select("row_id", F.posexplode(F.slice(F.array_sort(found), 1, k)).alias("at", "x")).select("row_id", (F.col("at") + 1).alias("rank"), "x.near_id", "x.gap")
+    answers = around.select("of", "v", F.slice(F.array_sort(found), 1, k + 1).alias("found"))
+    both = rows.withColumn("v", F.coalesce("v", F.lit(0.0))).join(answers, ["of", "v"])
+    others = F.slice(F.filter("found", lambda x: x["near_id"] != F.col("row_id")), 1, k)
+    return both.select("row_id", F.posexplode(others).alias("at", "x")).select("row_id", (F.col("at") + 1).alias("rank"), "x.near_id", "x.gap")
 
 
 def same_supplier(tx: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
-    """For each row the k rows of its vendor nearest in time, at most days away, ties by row_id. A vendor's rows are dealt by stretches of days, each row also to the stretches beside its own, so that no task holds all of a vendor's rows."""
-    own = F.floor(F.datediff("txn_date", F.lit("1970-01-01").cast("date")) / days).cast("long")
-    rows = tx.select("row_id", "vendor_key", "txn_date", own.alias("own")).withColumn("stretch", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    near = _closest(rows, ["vendor_key", "stretch"], "txn_date", k).where("own = stretch")
-    return _ranked(near, lambda x: F.abs(F.datediff(x["txn_date"], F.col("txn_date"))), k, days)
-
-
-def _in_blocks(rows: DataFrame, by: str, value: str, k: int, blocks: int = 128) -> DataFrame:
-    """rows with block and own: a group's rows dealt by stretches of value of about equal numbers of rows, equal values together, and to each stretch also the k rows below and the k above it (own is false). Each stretch passes on only its k first and last rows, and as it has one at least, none is needed beyond the kth stretch."""
-    cuts = rows.groupBy(by).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("_cuts"))
-    x = rows.join(cuts, by).withColumn("block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    dense = x.select(by, "block").distinct().withColumn("_no", F.row_number().over(Window.partitionBy(by).orderBy("block")))
-    x = x.join(dense, [by, "block"]).withColumn("block", F.col("_no")).drop("_no")
-    edges = None
-    for order, step in ((F.desc(value), 1), (F.asc(value), -1)):
-        w = Window.partitionBy(by, "block").orderBy(order, "row_id")
-        edge = x.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k).drop("_at")
-        edge = edge.withColumn("block", F.explode(F.array(*[F.col("block") + step * i for i in range(1, k + 1)])))
-        edges = edge if edges is None else edges.unionByName(edge)
-    return x.withColumn("own", F.lit(True)).unionByName(edges.join(dense.select(by, F.col("_no").alias("block")), [by, "block"], "left_semi").withColumn("own", F.lit(False)))
+    """For each row the k rows of its vendor nearest in time, at most days away, ties by row_id."""
+    return nearest(tx.select("row_id", "vendor_key", F.unix_date("txn_date").alias("day")).where("day is not null"), "vendor_key", "day", k, days)
 
 
 def same_commodity(tx: DataFrame, k: int = 5) -> DataFrame:
-    """For each row with a category the k other rows of it closest in unit price, ties by row_id. Rows without a price are looked up as 0 and found by none. A category's rows are dealt by stretches of price, so that no task holds all of them."""
-    rows = tx.where("item_category is not null").select("row_id", "item_category", "unit_price")
-    blocked = _in_blocks(rows.where("unit_price is not null"), "item_category", "unit_price", k)
-    priced = _closest(blocked, ["item_category", "block"], "unit_price", k).where("own")
-    out = _ranked(priced, lambda x: F.abs(x["unit_price"] - F.col("unit_price")), k)
-    # Those without a price share one answer a category.
-    zero = rows.where("unit_price is not null").select("item_category", F.struct(F.abs("unit_price").alias("gap"), F.col("row_id").alias("near_id")).alias("x"))
-    zero = zero.withColumn("rank", F.row_number().over(Window.partitionBy("item_category").orderBy("x"))).where(F.col("rank") <= k)
-    bare = rows.where("unit_price is null").select("row_id", "item_category").join(zero, "item_category").select("row_id", "rank", "x.near_id", F.col("x.gap").cast("double").alias("gap"))
-    return out.unionByName(bare)
+    """For each row with a category the k other rows of it closest in unit price, ties by row_id. Rows without a price are looked up as 0 and found by none."""
+    return nearest(tx.select("row_id", "item_category", "unit_price"), "item_category", "unit_price", k)
 
 
 def similar_rows(tx: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
     """Both lists of every row: leg, row_id, rank, near_id, gap (days or money)."""
+    tx = written(tx.select("row_id", "vendor_key", "item_category", "txn_date", "unit_price"), "looked-up")
     legs = {"same_supplier": same_supplier(tx, k, days), "same_commodity": same_commodity(tx, k)}
     out = [df.withColumn("leg", F.lit(name)) for name, df in legs.items()]
     return out[0].unionByName(out[1])
