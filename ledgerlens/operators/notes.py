@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,21 @@ from ..functions.text import indian_money, same_number, same_text, stated_date
 
 NUMBERS = ("amount", "quantity", "unit_price")
 DATES = ("txn_date",)
-#: Wording that says more than purchase records can: the register of that name may be cited.
-WORDING = r"(?i)\bduplicate[\s-]payments?\b(?![\s-]register)"
-# The clauses that each kind of case rests on, and what a template note recommends.
+# The clauses that each kind of case rests on.
 CLAUSES = {"duplicate": ("SG-PP-4.4", "SG-PP-4.1"), "split": ("SG-PP-3.1", "SG-PP-3.2"), "inflation": ("SG-PP-6.3", "SG-PP-6.2"), "vendor_flag": ("SG-PP-5.5", "SG-PP-5.3")}
-AT_RISK = {"duplicate": "in the repeated records", "split": "across the run", "inflation": "as the excess over the category benchmark", "vendor_flag": "in the supplier's billing for the period"}
+#: What a template note says of each kind of case; {supplier}, {when}, {money} and {n} stand for its own.
+TEXTS = {
+    "duplicate": "Records of {supplier} {when} repeat one another ({n} in all). What goes beyond the first is {money}.",
+    "split": "Purchases from {supplier} {when}, each below the approval limit, make {money} together ({n} in all).",
+    "inflation": "{supplier} billed {when} above what its category usually costs: {money} more than expected ({n} in all).",
+    "vendor_flag": "What {supplier} billed {when} is unlike its peers' billing: {money} in {n} records.",
+}
+
+
+def says_paid_twice(text: Column) -> Column:
+    """Whether a note speaks of duplicate payments, which records of purchases cannot show. The register of that name may be cited."""
+    plain = F.regexp_replace(F.lower(text), "[ \t\n-]+", " ")
+    return F.regexp_replace(plain, "duplicate payments? register", "").contains("duplicate payment")
 
 
 def value_matches(field: Column, stated: Column, row: dict[str, Column]) -> Column:
@@ -38,7 +50,7 @@ def note_checks(notes: DataFrame, clauses: DataFrame) -> DataFrame:
     """note_id, problem: clauses that the policy hasn't, and wording that is not allowed. notes: note_id, text, clauses (array)."""
     cited = notes.select("note_id", F.explode(F.array_distinct("clauses")).alias("clause_id")).join(clauses.select("clause_id").distinct(), "clause_id", "left_anti")
     unknown = cited.select("note_id", F.concat(F.lit("no clause "), "clause_id").alias("problem"))
-    return unknown.unionByName(notes.where(F.col("text").rlike(WORDING)).select("note_id", F.lit("wording").alias("problem")))
+    return unknown.unionByName(notes.where(says_paid_twice(F.col("text"))).select("note_id", F.lit("wording").alias("problem")))
 
 
 def report(notes: DataFrame, checked: DataFrame, problems: DataFrame, judged: DataFrame | None = None) -> DataFrame:
@@ -65,8 +77,11 @@ def template_notes(cases: DataFrame, tx: DataFrame) -> DataFrame:
     n = F.size("row_ids")
     of = lambda table: F.coalesce(*[F.when(F.col("anomaly_type") == k, v) for k, v in table.items()])
     when = F.when(F.col("first") == F.col("last"), F.concat(F.lit("on "), F.col("first").cast("string"))).otherwise(F.concat(F.lit("from "), F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")))
-    finding = F.concat(
-        F.lit("Detector "), F.upper("detector"), F.lit(" flagged "), n.cast("string"), F.lit(" transaction record"), F.when(n == 1, "").otherwise("s"), F.lit(" from "), "supplier", F.lit(", "), indian_money(F.col("amount_at_risk")),
-        F.lit(" at risk "), of({k: F.lit(v) for k, v in AT_RISK.items()}), F.lit(", at a detector score of "), F.format_string("%.2f", "detector_score"), F.lit(", recorded "), when, F.lit("."),
-    )
+    own = {"supplier": F.col("supplier"), "when": when, "money": indian_money(F.col("amount_at_risk")), "n": n.cast("string")}
+
+    def filled(text: str) -> Column:
+        pieces = [own[p[1:-1]] if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", text) if p]
+        return F.concat(*pieces, F.lit(" Found by "), F.upper("detector"), F.lit(" with a score of "), F.format_string("%.2f", "detector_score"), F.lit("."))
+
+    finding = of({k: filled(v) for k, v in TEXTS.items()})
     return x.select("case_id", finding.alias("finding"), of({k: F.array(*[F.lit(c) for c in v]) for k, v in CLAUSES.items()}).alias("clauses"), "facts")

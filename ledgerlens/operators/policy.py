@@ -11,7 +11,7 @@ from ..config import DEFAULT, Thresholds
 from ..functions.text import to_prose
 from .retrieval import bm25
 
-SECTION = r"^##\s+(.+?)\s*$"
+DASHES = "\u2014\u2013-"
 # Which row of a policy's table is which threshold.
 MIRRORED = {"principal_control_threshold": "approval", "split_detection_window": "split_days", "heightened_scrutiny_windows": "scrutiny_days", "duplicate_amount_tolerance": "dup_tolerance", "duplicate_date_window": "dup_days", "new_vendor_period": "new_vendor_days"}
 
@@ -20,17 +20,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
+def _section(line: Column) -> Column:
+    """The title of a line that heads a section ('## title'), else null."""
+    return F.when(line.startswith("## "), F.nullif(F.trim(F.substr(line, F.lit(4))), F.lit("")))
+
+
+def _clause(line: Column, prefix: str) -> Column:
+    """id and title of a line that heads a clause, in bold: the prefix with numbers, a dash, a title that may end in a stop; else null."""
+    bold = F.rtrim(line)
+    inner = F.substr(bold, F.lit(3), F.length(bold) - 4)
+    name = F.split_part(inner, F.lit(" "), F.lit(1))
+    rest = F.ltrim(F.substr(inner, F.length(name) + 1))
+    numbered = F.translate(F.substr(name, F.lit(len(prefix) + 2)), "0123456789.", "") == ""
+    title = F.rtrim(F.ltrim(rest, F.lit(DASHES + " ")), F.lit(". "))
+    fits = bold.startswith(f"**{prefix}-") & bold.endswith("**") & numbered & F.instr(F.lit(DASHES), F.substr(rest, F.lit(1), F.lit(1))).between(1, len(DASHES)) & (title != "")
+    return F.when(fits, F.struct(name.alias("id"), title.alias("title")))
+
+
 def clauses(docs: DataFrame, prefix: str = "SG-PP") -> DataFrame:
     """doc_id, clause_id, title, section, text, prose of each clause: its heading's body up to the next clause or section, never cut by length. A clause without a body is none. docs: doc_id, text."""
-    heading = rf"^\*\*({prefix}-[\d.]+)\s*[—–-]\s*(.+?)\.?\*\*\s*$"
-    lines = _lines(docs)
-    is_clause, is_section = F.col("line").rlike(heading), F.col("line").rlike(SECTION)
+    lines = _lines(docs).withColumns({"_section": _section(F.col("line")), "_clause": _clause(F.col("line"), prefix)})
+    is_clause, is_section = F.col("_clause").isNotNull(), F.col("_section").isNotNull()
     before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     # What each line is under: the last heading of either kind.
     marked = lines.withColumns({
-        "section": F.last(F.when(is_section, F.regexp_extract("line", SECTION, 1)), ignorenulls=True).over(before),
-        "under": F.last(F.when(is_section, F.lit(-1)).when(is_clause, F.col("at")), ignorenulls=True).over(before),
-        "clause_id": F.last(F.when(is_clause, F.regexp_extract("line", heading, 1)), ignorenulls=True).over(before), "title": F.last(F.when(is_clause, F.regexp_extract("line", heading, 2)), ignorenulls=True).over(before),
+        "section": F.last("_section", ignorenulls=True).over(before), "under": F.last(F.when(is_section, F.lit(-1)).when(is_clause, F.col("at")), ignorenulls=True).over(before),
+        "clause_id": F.last("_clause.id", ignorenulls=True).over(before), "title": F.last("_clause.title", ignorenulls=True).over(before),
     })
     body = marked.where((F.col("under") >= 0) & (F.col("under") < F.col("at")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
@@ -41,11 +56,13 @@ def clauses(docs: DataFrame, prefix: str = "SG-PP") -> DataFrame:
 
 
 def threshold(raw: Column) -> Column:
-    """A value of the summary table as numbers: '3 and 7 days', '0.5%', '14 days', '₹2,50,000'; null where it is none of these."""
-    text = F.trim(F.regexp_replace(raw, r"\*\*|`", ""))
-    pair, share, single, money = r"^(\d+)\s+and\s+(\d+)\s+\w+$", r"^([\d.]+)\s*%$", r"^(\d+)\s+\w+$", r"^[^\d]*([\d,]+(?:\.\d+)?)$"
-    got = lambda p, i: F.replace(F.regexp_extract(text, p, i), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(text.rlike(pair), F.array(got(pair, 1), got(pair, 2))).when(text.rlike(share), F.array(got(share, 1) / 100)).when(text.rlike(single), F.array(got(single, 1))).when(text.rlike(money), F.array(got(money, 1)))
+    """The numbers of a cell of the summary table: '3 and 7 days', '0.5%', '14 days', '₹2,50,000'. Words that hold a digit are read as numbers, a hundredth of them where they end in a per cent sign; null where there is none, or more than a unit follows the last."""
+    words = F.filter(F.split(F.translate(raw, "*`", ""), " "), lambda w: w != "")
+    numbers = F.filter(words, lambda w: F.translate(w, "0123456789", "") != w)
+    last = F.element_at(numbers, -1)
+    read = F.transform(numbers, lambda w: F.regexp_replace(w, "[^0-9.]", "").try_cast("double") / F.when(w.endswith("%"), 100.0).otherwise(1.0))
+    clear = (F.size(numbers) > 0) & (F.size(words) - F.array_position(words, last) <= 1) & F.forall(read, lambda x: x.isNotNull())
+    return F.when(F.size(numbers) > 0, F.when(clear, read))
 
 
 def thresholds(docs: DataFrame, heading: str = "## Threshold summary") -> DataFrame:

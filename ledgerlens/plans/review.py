@@ -192,7 +192,7 @@ def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESTATED_SQL = f"""WITH {TXO_SQL}, t AS (SELECT *, printf('%.2f', amount) AS x FROM txo WHERE amount >= 225000 AND amount < 250000)
-SELECT row_id, 'Detector BASELINE flagged 1 transaction record from ' || vendor_name || ', ₹' || x[1:1] || ',' || x[2:3] || ',' || x[4:] || ' at risk across the run, at a detector score of 1.00, recorded on ' || txn_date || '.' AS finding, 'SG-PP-3.1,SG-PP-3.2' AS clauses, amount AS fact FROM t"""
+SELECT row_id, 'Purchases from ' || vendor_name || ' on ' || txn_date || ', each below the approval limit, make ₹' || x[1:1] || ',' || x[2:3] || ',' || x[4:] || ' together (1 in all). Found by BASELINE with a score of 1.00.' AS finding, 'SG-PP-3.1,SG-PP-3.2' AS clauses, amount AS fact FROM t"""
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
