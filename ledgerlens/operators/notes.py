@@ -85,3 +85,28 @@ def template_notes(cases: DataFrame, tx: DataFrame) -> DataFrame:
 
     finding = of({k: filled(v) for k, v in TEXTS.items()})
     return x.select("case_id", finding.alias("finding"), of({k: F.array(*[F.lit(c) for c in v]) for k, v in CLAUSES.items()}).alias("clauses"), "facts")
+
+
+#: Characters of a result that are kept.
+KEPT_CHARS = 20_000
+
+
+def kept_result(value: Column, most: int = KEPT_CHARS) -> Column:
+    """A result as JSON text, as it is up to so many characters; a longer one by its beginning, and with how long it was, so that nothing is cut unseen."""
+    return F.when(value.isNull() | (F.length(value) <= most), value).otherwise(F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(value).alias("chars"), F.substring(value, 1, most).alias("head"))))
+
+
+def citation_rows(notes: DataFrame, checked: DataFrame) -> DataFrame:
+    """A row for each claim of a note and each row that it cites: note_id, claim_index, claim, row_id, asserted (what it states, JSON), row_exists, values_match, failure. What was not checked has nulls there. notes: note_id, claims (an array of text, cited: an array of row_id, field, stated); checked: as check_citations gives it."""
+    claims = notes.select("note_id", F.posexplode("claims").alias("claim_index", "claim"))
+    each = claims.select("note_id", "claim_index", F.col("claim.text").alias("claim"), F.explode("claim.cited").alias("c")).select("note_id", "claim_index", "claim", "c.*")
+    stated = F.to_json(F.array_sort(F.collect_set(F.struct("field", "stated"))))
+    said = each.groupBy("note_id", "claim_index", "claim", "row_id").agg(stated.alias("asserted"))
+    found = checked.groupBy("note_id", "claim_index", "row_id").agg(F.bool_and("row_exists").alias("row_exists"), F.bool_and("value_ok").alias("values_match"), F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("failure"))
+    out = said.join(found, ["note_id", "claim_index", "row_id"], "left")
+    return out.select("note_id", "claim_index", "claim", "row_id", kept_result(F.col("asserted")).alias("asserted"), "row_exists", "values_match", F.nullif("failure", F.lit("")).alias("failure"))
+
+
+def trace_rows(traces: DataFrame) -> DataFrame:
+    """Steps of investigations as they are kept: what a tool was asked and answered no longer than KEPT_CHARS."""
+    return traces.withColumns({c: kept_result(F.col(c)) for c in ("tool_args", "tool_result")})

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cases as case_table
 from ..operators import notes as note_checks
-from ..operators import policy, queue, review, store
-from ..sources.adapter import TXO_SQL, orders, table
+from ..operators import policy, queue, report, review, store
+from ..sources.adapter import TXO_SQL, ascii_key, orders, table
 
 KIND = "CASE WHEN c_nationkey < 6 THEN 'duplicate' WHEN c_nationkey < 12 THEN 'split' WHEN c_nationkey < 18 THEN 'inflation' ELSE 'vendor_flag' END"
 DETECTOR = "CASE WHEN c_nationkey < 6 THEN 'd1' WHEN c_nationkey < 12 THEN 'd2' WHEN c_nationkey < 18 THEN 'd3' ELSE 'd4' END"
@@ -204,7 +204,56 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("# Policy\n"), "body", rows).alias("text"))
 
 
+def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notes: clerks' priorities are models, and one line item of each order in three that is cited does not match."""
+    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("citations_checked"), F.count_if(F.col("l_linenumber") % 3 != 0).alias("citations_passed"))
+    rows = table(spark, sf_dir, "orders").join(by, "o_orderkey", "left").select(F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderstatus") == "P", "control").otherwise("agent").alias("arm"), "citations_checked", "citations_passed")
+    return report.citation_validity(rows)
+
+
+def kept_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notes with a claim for each return flag, which states prices of line items, every fifth of them wrong."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.min("l_extendedprice").alias("l_extendedprice"))
+    stated = F.when(F.col("l_linenumber") % 5 == 0, "1").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    row = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")
+    fact = F.struct(row, F.lit("amount").alias("field"), stated.alias("stated"))
+    claims = items.groupBy("l_orderkey", F.col("l_returnflag").alias("text")).agg(F.collect_list(fact).alias("cited"))
+    made = claims.groupBy(F.col("l_orderkey").alias("note_id")).agg(F.array_sort(F.collect_list(F.struct("text", "cited"))).alias("claims"))
+    flat = made.select("note_id", F.posexplode("claims").alias("claim_index", "c")).select("note_id", "claim_index", F.explode("c.cited").alias("f")).select("note_id", "claim_index", "f.*")
+    known = items.select(row, F.col("l_extendedprice").alias("amount"))
+    return note_checks.citation_rows(made, note_checks.check_citations(flat, known, ("amount",)))
+
+
+def told_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as a case of its orders, as a document."""
+    tx = orders(spark, sf_dir)
+    rows = tx.groupBy("vendor_key").agg(F.collect_list("row_id").alias("row_ids"))
+    every = cases(spark, sf_dir).drop("vendor_key").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("case_id"), ascii_key(F.col("c_name")).alias("vendor_key")), "case_id").join(rows, "vendor_key")
+    cited = every.select("case_id", F.explode("row_ids").alias("row_id")).where("row_id % 2 = 0")
+    return report.case_markdown(every, notes(spark, sf_dir), tx, cited, "7")
+
+
 ENTRIES = {
+    "citation_validity": (
+        valid,
+        """WITH c AS (SELECT l_orderkey, count(*) AS c, count(*) FILTER (l_linenumber % 3 <> 0) AS p FROM lineitem GROUP BY 1),
+m AS (SELECT o_orderpriority AS model, count(*) AS notes, sum(c)::BIGINT AS checked, sum(p)::BIGINT AS passed FROM orders JOIN c ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1),
+t AS (SELECT * FROM m ORDER BY notes DESC, model LIMIT 1)
+SELECT model, notes, checked, round(passed / checked, 9) AS validity, printf('%.1f%% over %d note(s)', 100 * passed / checked, notes) AS quoted, (SELECT string_agg(x.model, ', ' ORDER BY x.model) FROM m x WHERE x.model <> t.model) AS others FROM t""",
+    ),
+    "citation_rows": (
+        kept_citations,
+        """WITH u AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2), t AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS i FROM u)
+SELECT l_orderkey AS note_id, i::INT AS claim_index, l_returnflag AS claim, l_orderkey * 10 + l_linenumber AS row_id, '[{"field":"amount","stated":"' || CASE WHEN l_linenumber % 5 = 0 THEN '1' ELSE CAST(l_extendedprice AS DECIMAL(18,2))::VARCHAR END || '"}]' AS asserted, TRUE AS row_exists,
+  l_linenumber % 5 <> 0 AS values_match, CASE WHEN l_linenumber % 5 = 0 THEN 'row ' || (l_orderkey * 10 + l_linenumber) || ' amount differs' END AS failure FROM t""",
+    ),
+    "case_markdown": (
+        told_case,
+        f"""WITH {CASES_SQL}, {NOTES_SQL}, {TXO_SQL}, o AS (SELECT * FROM cs LEFT JOIN la USING (case_id) WHERE case_id = '7'),
+h AS (SELECT unnest(['# Case 7', '', '- Type: ' || anomaly_type, '- Detector: ' || detector, '- Status: ' || status, '- Severity: ' || band || ' (' || printf('%.2f', severity_prelim) || ')', '- At risk: ' || printf('%.2f', amount_at_risk), '- Verdict: ' || coalesce(verdict, '-'),
+  '- Citations: ' || coalesce(citations_passed || ' of ' || citations_checked, '-'), '', coalesce(finding, 'No note yet.'), '', '| Row | Date | Amount | Cited |', '|---|---|---|---|']) AS text, unnest(range(1, 15)) AS line FROM o)
+SELECT line, text FROM h UNION ALL SELECT 14 + row_number() OVER (ORDER BY o_orderdate, o_orderkey), '| ' || o_orderkey || ' | ' || o_orderdate::DATE || ' | ' || printf('%.2f', o_totalprice) || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE '' END || ' |' FROM orders WHERE o_custkey = 7""",
+    ),
     "case_queue": (
         asked,
         f"""WITH {CASES_SQL}, {NOTES_SQL} SELECT case_id, status, anomaly_type, band, severity_prelim, verdict, CASE WHEN length(finding) <= 12 THEN finding ELSE regexp_replace(finding[1:11], '\\s+$', '') || '…' END AS finding FROM cs JOIN la USING (case_id)

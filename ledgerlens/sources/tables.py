@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
 import re
@@ -76,8 +77,32 @@ def lookup(spark: SparkSession, path: str, row_ids: list[int] | None = None, ven
     return rows if days is None else rows.where((F.col("txn_date") >= F.lit(days[0])) & (F.col("txn_date") <= F.lit(days[1])))
 
 
+class WriterError(RuntimeError):
+    """Another writer holds the table."""
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession, path: str):
+    """Holds a table for one writer: a second one is refused until the first is through. Readers are not held up. What holds it is a file beside the table that only one can create; if a writer died, it has to be removed by hand."""
+    fs, _path = _files(spark, path)
+    held = _path(f"{path}.writing")
+    try:
+        fs.create(held, False).close()
+    except Exception as e:  # it is there already
+        raise WriterError(f"{path} is being written; remove {path}.writing if its writer died") from e
+    try:
+        yield
+    finally:
+        fs.delete(held, False)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """df in place of what is at path, as write_indexed writes it. The old table is set aside, and goes when the new one is in its place; if that fails it is put back."""
+    """df in place of what is at path, as write_indexed writes it. The old table is set aside, and goes when the new one is in its place; if that fails it is put back. One writer at a time."""
+    with writing(df.sparkSession, path):
+        _replace(df, path)
+
+
+def _replace(df: DataFrame, path: str) -> None:
     new, old = (f"{path}.{x}-{uuid.uuid4().hex[:8]}" for x in ("new", "old"))
     write_indexed(canonical_columns(df), new)
     fs, _path = _files(df.sparkSession, path)
