@@ -30,6 +30,11 @@ def running(df: DataFrame, order: list[Column | str], rank: str | None = None, s
     return out if edges else out.drop(PART)
 
 
+def _placed(x) -> tuple:
+    """Where a value lies among others as Spark orders them: null first, a struct field by field."""
+    return (0,) if x is None else (1, tuple(map(_placed, x))) if isinstance(x, tuple) else (1, x)
+
+
 def carried(rows: DataFrame, w: Window, sums: list[str], maxima: list[str] | None = None, edges: bool = False) -> DataFrame:
     """Running sums and maxima of columns of a ranged table in place of these, by a window over each range."""
     maxima = maxima or []
@@ -37,7 +42,7 @@ def carried(rows: DataFrame, w: Window, sums: list[str], maxima: list[str] | Non
     before, lines = {c: 0 for c in sums} | {c: None for c in maxima}, []
     for r in sorted(by.collect(), key=lambda r: r[PART]):  # one line a range
         lines.append([r[PART], *(before[c] for c in (*sums, *maxima))])
-        before |= {c: before[c] + (r[c] or 0) for c in sums} | {c: max((x for x in (before[c], r[c]) if x is not None), default=None) for c in maxima}
+        before |= {c: before[c] + (r[c] or 0) for c in sums} | {c: max((before[c], r[c]), key=_placed) for c in maxima}
         lines[-1] += [before[c] for c in sums]
     kinds = {f.name: f.dataType.simpleString() for f in by.schema}
     held = rows.sparkSession.createDataFrame(lines, ", ".join([f"{PART} int", *(f"_before_{c} {kinds[c]}" for c in (*sums, *maxima)), *(f"_upto_{c} {kinds[c]}" for c in sums)]))

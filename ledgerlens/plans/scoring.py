@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions import draws
-from ..operators import detection, evaluate, inject, runs
-from ..sources.adapter import TX_SQL, line_items, table
+from ..operators import detection, evaluate, inject, invoices, runs
+from ..sources.adapter import TX_SQL, TXO_SQL, line_items, orders, table
 from .detection import SCORED_SQL, joined
 
 #: The provided line items are cheaper than what the policy has in mind.
@@ -182,6 +182,12 @@ p AS (SELECT count(*) AS units, avg((k = 1)::INT) AS exact FROM (SELECT u, count
 SELECT round(nominal, 9) AS nominal, round(ordinal, 9) AS ordinal, units, round(exact, 9) AS exact FROM e, p"""
 
 ENTRIES = {
+    "invoice_numbers": (
+        lambda s, d: invoices.numbered(orders(s, d)),
+        f"""WITH {TXO_SQL}, y AS (SELECT row_id, vendor_key, txn_date, year(txn_date) - (month(txn_date) < 4)::INT AS fy FROM txo),
+n AS (SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY txn_date, row_id) AS seq, row_number() OVER (PARTITION BY vendor_key, fy ORDER BY txn_date, row_id) AS year_seq FROM y)
+SELECT row_id, vendor_key, txn_date, seq, year_seq, printf('INV-%05d', seq) AS plain, lpad((fy % 100)::VARCHAR, 2, '0') || '-' || lpad(((fy + 1) % 100)::VARCHAR, 2, '0') || '/' || printf('%03d', year_seq) AS by_year FROM n""",
+    ),
     "inject_plan": (planned, f"WITH {TX_SQL}, {COUNTS_SQL} SELECT kind AS anomaly_type, n FROM pl"),
     "inject_inflation": (raised, INFLATION_SQL),
     "inject_splits": (cut, SPLITS_SQL),
