@@ -71,7 +71,7 @@ def share_test(cells: DataFrame, t: Thresholds, lift: float) -> DataFrame:
     rates = cells.groupBy("item_category").agg((F.sum("k") / F.sum("n")).alias("rate"))
     overall = cells.agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("overall"))
     by = cells.join(rates, "item_category").crossJoin(F.broadcast(overall)).withColumn("rate", F.when(F.col("rate") == 0, F.col("overall")).otherwise(F.col("rate")))  # one row
-    out = by.groupBy("vendor_key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), (F.sum(F.col("rate").cast("decimal(20,12)") * F.col("n").cast("decimal(12,0)")).cast("double") / F.sum("n")).alias("rate"))
+    out = by.groupBy("vendor_key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), (F.sum(F.col("rate").cast("decimal(28,24)") * F.col("n").cast("decimal(12,0)")).cast("double") / F.sum("n")).alias("rate"))
     out = out.where((F.col("n") >= t.min_transactions) & (F.col("rate") > 0) & (F.col("rate") < 1))
     return out.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), F.col("rate"))).withColumn("material", F.col("k") / F.col("n") >= lift * F.col("rate"))
 
