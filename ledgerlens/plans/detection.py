@@ -148,7 +148,8 @@ def _model_sql() -> str:
 
 
 def same_vendor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.amount_pairs(line_items(spark, sf_dir)).where("a_vendor_key = b_vendor_key").select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))
+    rows = written(line_items(spark, sf_dir).select("row_id", "amount", "txn_date", "vendor_key"), "dated")
+    return bands.amount_pairs(rows, same=("vendor_key",)).select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))
 
 
 # ---------------------------------------------------------------- split runs
