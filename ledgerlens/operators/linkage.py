@@ -20,11 +20,15 @@ COMPARED = ("row_id", "vendor_name", "invoice_no", "amount", "txn_date", "office
 STRENGTH, SMOOTH, PRIOR = 50.0, 1e-3, (2.0, 38.0)
 
 
-def comparable(tx: DataFrame) -> DataFrame:
-    """The columns that pairs are compared by, and what is worked out once a row rather than once a pair, stored: the view is read once. name_id: a number for each vendor_name, which pairs carry in its place; only: the single digit group of an invoice number that has one."""
-    rows = written(tx.select(*COMPARED).withColumns({"invoice": F.lower(F.trim("invoice_no")), "core": core_numbers(F.col("invoice_no"), F.col("txn_date"))}).drop("invoice_no"), "uncompared")
+def comparable(tx: DataFrame, named: bool = True) -> DataFrame:
+    """The columns that pairs are compared by, and what is worked out once a row rather than once a pair, stored: the view is read once. name_id: a number for each vendor_name, which pairs carry in its place (left out unless named); only: the single digit group of an invoice number that has one."""
+    core = core_numbers(F.col("invoice_no"), F.col("txn_date"))
+    rows = tx.select(*COMPARED).withColumns({"invoice": F.lower(F.trim("invoice_no")), "core": core}).drop("invoice_no").withColumn("only", F.when(F.size("core") == 1, F.col("core")[0]))
+    rows = written(rows, "compared")
+    if not named:
+        return rows
     names = written(rows.select("vendor_name").where("vendor_name is not null").distinct().withColumn("name_id", F.monotonically_increasing_id()), "named")
-    return written(rows.join(names, "vendor_name", "left").withColumn("only", F.when(F.size("core") == 1, F.col("core")[0])), "compared")
+    return written(rows.join(names, "vendor_name", "left"), "compared")
 
 
 def levels(pairs: DataFrame) -> DataFrame:

@@ -272,7 +272,7 @@ ENTRIES = {
     "d1_blocked_pairs": (lambda s, d: bands.amount_pairs(dated(s, d)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT a_row_id, b_row_id FROM pr"),
     "d1_reference_pairs": (lambda s, d: bands.amount_pairs(dated(s, d), days=(30, 180)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(30, 180)} SELECT a_row_id, b_row_id FROM pr"),
     "d1_levels_histogram": (
-        lambda s, d: linkage.levels(bands.band(linkage.comparable(line_items(s, d)))).groupBy("context", "date_gap", "invoice").agg(F.count("*").alias("n")),
+        lambda s, d: linkage.levels(bands.band(linkage.comparable(line_items(s, d), named=False))).groupBy("context", "date_gap", "invoice").agg(F.count("*").alias("n")),
         f"""WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT CASE WHEN ao = bo AND ac = bc AND aq = bq AND a_amount = b_amount THEN 0 WHEN ao = bo AND ac = bc AND aq = bq THEN 1 WHEN ao = bo OR (ac = bc AND aq = bq) THEN 2 ELSE 3 END AS context,
   CASE WHEN gap <= 3 THEN 0 WHEN gap <= 7 THEN 1 ELSE 2 END AS date_gap, CASE WHEN lower(trim(ai)) = lower(trim(bi)) THEN 0 WHEN list_has_any({core_sql("ai", "ad")}, {core_sql("bi", "bd")}) THEN 1 ELSE 2 END AS invoice, count(*) AS n FROM pr GROUP BY 1, 2, 3""",
     ),
