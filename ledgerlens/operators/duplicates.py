@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
@@ -16,10 +16,10 @@ POLICY_CLAUSE = "SG-PP-4.4"
 
 def exact_edges(tx: DataFrame) -> DataFrame:
     """(a, b) from the first row of each vendor, amount and invoice number, case and blanks aside, to each other row of it. Rows without an invoice number match none."""
-    keys = ["vendor_key", "amount", F.lower(F.trim("invoice_no")).alias("invoice")]
-    rows = tx.where("invoice_no is not null").select("row_id", *keys)
-    first = rows.groupBy("vendor_key", "amount", "invoice").agg(F.min("row_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, ["vendor_key", "amount", "invoice"]).where("row_id <> a").select("a", F.col("row_id").alias("b"))
+    rows = tx.where("invoice_no is not null and vendor_key is not null and amount is not null").select("row_id", "vendor_key", "amount", F.lower(F.trim("invoice_no")).alias("invoice"))
+    # Rows are shuffled once. They are sorted, and the first is carried along, so no group is held in memory.
+    w = Window.partitionBy("vendor_key", "amount", "invoice").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(F.first("row_id").over(w).alias("a"), F.col("row_id").alias("b")).where("a <> b")
 
 
 def evidence(tx: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

@@ -34,7 +34,8 @@ def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item, and each booked again three days later with its invoice number in another case and blanks around it."""
     tx = line_items(spark, sf_dir)
     again = {"row_id": F.col("row_id") + F.lit(1 << 60), "invoice_no": F.concat(F.lit("  "), F.lower("invoice_no"), F.lit(" ")), "txn_date": F.date_add("txn_date", 3)}
-    return tx.unionByName(tx.withColumns(again))
+    both = tx.withColumn("_again", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.withColumns({k: F.when(F.col("_again"), v).otherwise(F.col(k)) for k, v in again.items()}).drop("_again")
 
 
 TWICE_SQL = """tw AS (SELECT * FROM tx UNION ALL BY NAME
