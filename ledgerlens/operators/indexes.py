@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
-from ..sources.scratch import written
+from ..sources.scratch import cleaned, discard, written
 
 #: Folders that words are dealt to; texts in a block; blocks that are scored first.
 FOLDERS, BLOCK_TEXTS, FIRST_BLOCKS = 64, 512, 4
+#: Blocks of a folder's words that one task groups and one file holds.
+FILE_BLOCKS = 256
 #: Scores are rounded to nine digits, cosines to six.
 SLACK, COSINE_SLACK = 2e-9, 2e-6
 MOST_CENTRES = 1024
@@ -29,17 +31,34 @@ def write_lexical(docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75)
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("text_no"), retrieval_tokens(F.coalesce("text", F.lit(""))).alias("w"))
     rows = rows.select("doc_id", "text_no", F.size("w").cast("long").alias("len"), "w")
-    found = rows.select("doc_id", "text_no", "len", F.explode_outer("w").alias("word")).groupBy("doc_id", "text_no", "len", "word").agg(F.count("*").alias("tf"))
-    found = written(found, "terms")
-    texts = found.select("text_no", "len").distinct()
-    texts.agg(F.count("*").alias("n_docs"), F.sum("len").alias("total")).write.parquet(f"{path}/stats")
-    found.where("word is not null").groupBy("word").agg(F.count("*").alias("df")).repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
-    n, total = spark.read.parquet(f"{path}/stats").first()
-    block = F.pmod(F.xxhash64("text_no"), F.lit(max(1, -(-n // BLOCK_TEXTS)))).cast("int")
-    share = part(F.col("tf"), F.col("len"), F.lit(n), F.lit(max(1, total or 0)), k1, b)
-    by = found.where("word is not null").groupBy("word", block.alias("block")).agg(F.max(share).alias("top"), F.collect_list(F.struct("text_no", "doc_id", "tf", "len")).alias("texts"))
-    by = by.withColumn("folder", folder(F.col("word")))
-    by.repartition("folder").sortWithinPartitions("folder", "word", "block").write.partitionBy("folder").parquet(f"{path}/postings")
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, text_no long, len long, word string, tf long, head boolean"
+    found = written(rows.mapInArrow(_counted, kinds), "terms")
+    with cleaned(spark):
+        found.where("head").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total")).write.parquet(f"{path}/stats")
+        found.where("word is not null").groupBy("word").agg(F.count("*").alias("df")).repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
+        n, total = spark.read.parquet(f"{path}/stats").first()
+        blocks = max(1, -(-n // BLOCK_TEXTS))
+        block = F.pmod(F.xxhash64("text_no"), F.lit(blocks)).cast("int")
+        share = part(F.col("tf"), F.col("len"), F.lit(n), F.lit(max(1, total or 0)), k1, b)
+        # Terms are shuffled once, by folder and a part of the blocks, which is also how they are grouped and written.
+        dealt = found.where("word is not null").select(folder(F.col("word")).alias("folder"), F.pmod(block, F.lit(-(-blocks // FILE_BLOCKS))).alias("file"), "word", block.alias("block"), "text_no", "doc_id", "tf", "len").repartition("folder", "file")
+        by = dealt.groupBy("folder", "file", "word", "block").agg(F.max(share).alias("top"), F.collect_list(F.struct("text_no", "doc_id", "tf", "len")).alias("texts"))
+        by.select("word", "block", "top", "texts", "folder").sortWithinPartitions("folder", "word", "block").write.partitionBy("folder").parquet(f"{path}/postings")
+    discard(found)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a word of each text with how often it is there; head: whether it is the text's first row. A text without words is one row without a word."""
+    for batch in batches:
+        at, word, tf, head = [], [], [], []
+        for i, w in enumerate(batch.column("w")):
+            counts = Counter(w.as_py()) or {None: 0}
+            at += [i] * len(counts)
+            word += counts.keys()
+            tf += counts.values()
+            head += [True, *[False] * (len(counts) - 1)]
+        own = batch.select(["doc_id", "text_no", "len"]).take(pa.array(at, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(word, pa.string()), pa.array(tf, pa.int64()), pa.array(head, pa.bool_())], names=["doc_id", "text_no", "len", "word", "tf", "head"])
 
 
 def folder(word: Column) -> Column:
