@@ -19,11 +19,12 @@ def run_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a stream of several batches in no order of time, and the split runs that it gives."""
     folder = shared_path(spark, "stream")
     rows = line_items(spark, sf_dir).select(*FIELDS)
-    rows.repartition(BATCHES, "row_id").write.parquet(f"{folder}/in")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    files = max(1, int(parts) // BATCHES)  # to a batch, so that no task writes a batch alone
+    rows.repartition(BATCHES * files, "row_id").write.parquet(f"{folder}/in")
     end = rows.limit(1).select(F.lit("").alias("vendor_key"), F.lit("").alias("officer_id"), F.lit(END).cast("date").alias("txn_date"), F.lit(0).cast("long").alias("row_id"), F.lit(0.01).alias("amount"))
     end.write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), 2 * spark.sparkContext.defaultParallelism)))  # a state store each
     try:
         out = split_runs(stream, lateness=LATENESS).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
