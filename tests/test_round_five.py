@@ -4,6 +4,8 @@ import random
 import pyarrow as pa
 
 from ledgerlens.config import Thresholds
+from ledgerlens.llm import token_files
+from ledgerlens.llm.common import vocabulary_path
 from ledgerlens.operators import runs
 from ledgerlens.streaming import split_runs as streamed
 
@@ -43,3 +45,17 @@ def test_bucket_runs_keep_vendors_apart():
     then, window = streamed.bucket_runs(streamed.unpacked(pieces), 16 * d, 1000, 14)
     assert [(r.vendor_key, r.officer_id, list(r.row_ids), r.total) for r in then.itertuples()] == [("a", "x", [2, 4], 10.0)]
     assert sorted(window.column("row_id").to_pylist()) == [1, 5]
+
+
+def test_words_are_encoded_once_whatever_follows(monkeypatch):
+    """op8: a word is one entry with and without punctuation after it, and ids are those of the whole text."""
+    enc = token_files.Encoder(vocabulary_path(token_files.VOCABULARY))
+    enc.encode(["x zorbelquat zorbelquat. zorbelquat, zorbelquat!! (zorbelquat) "])
+    assert " zorbelquat" in enc.known and not any(p.startswith(" zorbelquat") and p != " zorbelquat" for p in enc.known)
+    r = random.Random(11)
+    bits = ["a", "Zürich", "\u0120", "naïve", "Ǆ", "ß", "don't", "I'LL", "'s", "x's.", "the", ".", "...", "-'s", "#$%", "7", "3rd", "_a", "\u00d7", "中文", "é", "e\u0301", "\u00ad", "😀", "\x00", "\u2028", "<|end", "<|endoftext|>"]
+    gaps = ["", "", " ", " ", " ", "  ", "\n", " \n ", "\t", "\u00a0", "\u3000", "\x1c", "\x85"]
+    texts = ["".join(r.choice(bits) + r.choice(gaps) for _ in range(r.randrange(60))) for _ in range(1500)]
+    assert enc.encode(texts) == enc._whole(texts)
+    monkeypatch.setattr(token_files, "CACHE", 50)
+    assert enc.encode(texts[:40]) == enc._whole(texts[:40])
