@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from . import cases
 from .graph import components
 from .linkage import linked
@@ -33,12 +33,15 @@ def duplicate_cases(tx: DataFrame, pairs: DataFrame, t: Thresholds = DEFAULT) ->
     """A case for each group of rows joined by pairs: everything after the first row, by date and row_id, is at risk. score: the best pair's probability; stages: how its pairs were found."""
     pairs = written(pairs, "pairs")
     root = components(pairs)
+    # Each step is stored, so that its shuffle files go before the next: of all that was shuffled the largest step is left.
+    found = written(pairs.join(root.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("probability").alias("score"), F.array_sort(F.collect_set("stage")).alias("stages"), F.count("*").alias("n_pairs")), "found")
+    discard(pairs)
+    rows = written(root.join(tx.select(F.col("row_id").alias("id"), "txn_date", "vendor_key", F.col("amount").cast("decimal(18,2)").alias("amount")), "id"), "grouped")
+    discard(root)
     # Few groups have many rows, so rows are shuffled as they are, narrower than what is summed of them; a group's list of rows is part of the case itself.
-    rows = root.join(tx.select(F.col("row_id").alias("id"), "txn_date", "vendor_key", F.col("amount").cast("decimal(18,2)").alias("amount")), "id")
     first = F.min(F.struct("txn_date", "id", "amount", "vendor_key")).alias("first")
     groups = rows.repartition("root").groupBy("root").agg(F.collect_list("id").alias("row_ids"), F.sum("amount").alias("total"), first)
     groups = groups.select("root", "row_ids", "total", F.col("first.amount").alias("own"), "first.vendor_key", F.col("first.id").alias("original_row_id"))
-    found = pairs.join(root.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("probability").alias("score"), F.array_sort(F.collect_set("stage")).alias("stages"), F.count("*").alias("n_pairs"))
     both = groups.join(found, "root").withColumn("at_risk", (F.col("total") - F.col("own")).cast("double"))
     return cases.build(both, "d1", "duplicate", t, {"policy_clause": F.lit(POLICY_CLAUSE), "original_row_id": F.col("original_row_id"), "stages": F.array_join("stages", ","), "n_pairs": F.col("n_pairs")})
 

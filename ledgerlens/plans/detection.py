@@ -9,7 +9,7 @@ from ..config import Thresholds
 from ..functions.names import identity_name, name_similarity, normalize_vendor
 from ..operators import bands, baseline, cases, detection, duplicates, explore, graph, linkage, prices, runs, vendors
 from ..sources.adapter import TX_SQL, TXO_SQL, line_items, orders, table
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 
 LOOSE = Thresholds(price_z=2.0)
 #: Split runs of the provided tables score lower than real ones do.
@@ -30,14 +30,23 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(line_items(spark, sf_dir).select("row_id", "amount", "txn_date"), "dated")
 
 
-def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item, and each booked again three days later with its invoice number in another case and blanks around it."""
-    tx = line_items(spark, sf_dir)
+def twice(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+    """Every line item (tx, where the view is stored), and each booked again three days later with its invoice number in another case and blanks around it."""
+    tx = line_items(spark, sf_dir) if tx is None else tx
     again = {"row_id": F.col("row_id") + F.lit(1 << 60), "invoice_no": F.concat(F.lit("  "), F.lower("invoice_no"), F.lit(" ")), "txn_date": F.date_add("txn_date", 3)}
     both = tx.withColumn("_again", F.explode(F.array(F.lit(False), F.lit(True))))
     return both.withColumns({k: F.when(F.col("_again"), v).otherwise(F.col(k)) for k, v in again.items()}).drop("_again")
 
 
+def exact_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of what is booked twice. The view is joined once and stored with the columns that are read."""
+    once = written(line_items(spark, sf_dir).select("row_id", "vendor_key", "invoice_no", "amount", "txn_date"), "booked")
+    tx = twice(spark, sf_dir, once)
+    found = duplicates.duplicate_cases(tx, duplicates.exact_edges(tx).select("a", "b", F.lit("exact").alias("stage"), F.lit(1.0).alias("probability")))
+    discard(once)  # groups have stored what they need of it
+    return shown(found)
+
+
 TWICE_SQL = """tw AS (SELECT * FROM tx UNION ALL BY NAME
   SELECT * REPLACE (row_id + (1::BIGINT << 60) AS row_id, '  ' || lower(invoice_no) || ' ' AS invoice_no, (txn_date + 3)::DATE AS txn_date) FROM tx)"""
 
@@ -267,7 +276,7 @@ ENTRIES = {
     "case_ids": (lambda s, d: shown(cases.build(baseline.near_threshold(orders(s, d)), "baseline", "split")), f"WITH {TXO_SQL}, c AS (SELECT row_id::VARCHAR AS row_ids, 1.0::DOUBLE AS score, amount AS at_risk, vendor_key FROM txo WHERE amount >= 225000 AND amount < 250000) {case_sql('baseline', 'split', 'c')}"),
     "d1_exact_edges": (lambda s, d: duplicates.exact_edges(twice(s, d)), f"WITH {TX_SQL}, {TWICE_SQL}, {EDGES_SQL.format('tw')} SELECT a, b FROM ed"),
     "d1_exact_cases": (
-        lambda s, d: shown(duplicates.duplicate_cases(twice(s, d), duplicates.exact_edges(twice(s, d)).select("a", "b", F.lit("exact").alias("stage"), F.lit(1.0).alias("probability")))),
+        exact_cases,
         f"WITH RECURSIVE {TX_SQL}, {TWICE_SQL}, {EDGES_SQL.format('tw').replace('ed AS (SELECT *', 'ed AS (SELECT *, 1.0::DOUBLE AS probability')}, {GROUPS_SQL}, {group_cases_sql('tw')} {case_sql('d1', 'duplicate', 'gc')}",
     ),
     "d1_blocked_pairs": (lambda s, d: bands.amount_pairs(dated(s, d)).select("a_row_id", "b_row_id"), f"WITH {TX_SQL}, {pairs_sql(0, 14)} SELECT a_row_id, b_row_id FROM pr"),
